@@ -1,78 +1,114 @@
-"""Fixed table schemas of the three signals, their rollups and the alerting tables."""
+"""Fixed table schemas of the three signals, their special points and the alerting tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-STR_MAP = T.MapType(T.StringType(), T.StringType())
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SPAN_EVENT = "struct<timestamp: timestamp, name: string, attributes: map<string, string>>"
-SPAN_LINK = "struct<trace_id: string, span_id: string, trace_state: string, attributes: map<string, string>>"
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
-SPAN_SCHEMA = _struct(
-    f"""
-    trace_id string, span_id string, parent_span_id string, trace_state string,
-    service_name string, operation_name string, start_time timestamp, end_time timestamp,
-    duration_ms bigint, status int, status_message string, kind int,
-    attributes map<string, string>, resource_attributes map<string, string>,
-    events array<{SPAN_EVENT}>, links array<{SPAN_LINK}>
-    """
+TEXT, LONG, INT, DOUBLE = StringType(), LongType(), IntegerType(), DoubleType()
+FLAG, TIME, STR_MAP = BooleanType(), TimestampType(), MapType(StringType(), StringType())
+
+
+def _row(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+SPAN_EVENT = _row(timestamp=TIME, name=TEXT, attributes=STR_MAP)
+SPAN_LINK = _row(trace_id=TEXT, span_id=TEXT, trace_state=TEXT, attributes=STR_MAP)
+
+SPAN_SCHEMA = _row(
+    trace_id=TEXT,
+    span_id=TEXT,
+    parent_span_id=TEXT,
+    trace_state=TEXT,
+    service_name=TEXT,
+    operation_name=TEXT,
+    start_time=TIME,
+    end_time=TIME,
+    duration_ms=LONG,
+    status=INT,
+    status_message=TEXT,
+    kind=INT,
+    attributes=STR_MAP,
+    resource_attributes=STR_MAP,
+    events=ArrayType(SPAN_EVENT),
+    links=ArrayType(SPAN_LINK),
 )
 
-LOG_SCHEMA = _struct(
-    """
-    timestamp timestamp, observed_timestamp timestamp, severity int, severity_text string,
-    body string, service_name string, trace_id string, span_id string, trace_flags bigint,
-    resource_attributes map<string, string>, log_attributes map<string, string>,
-    structured_fields map<string, string>
-    """
+LOG_SCHEMA = _row(
+    timestamp=TIME,
+    observed_timestamp=TIME,
+    severity=INT,
+    severity_text=TEXT,
+    body=TEXT,
+    service_name=TEXT,
+    trace_id=TEXT,
+    span_id=TEXT,
+    trace_flags=LONG,
+    resource_attributes=STR_MAP,
+    log_attributes=STR_MAP,
+    structured_fields=STR_MAP,
 )
 
-METRIC_SCHEMA = _struct(
-    """
-    name string, description string, unit string, type int, labels map<string, string>,
-    value double, timestamp timestamp, service_name string
-    """
+METRIC_SCHEMA = _row(
+    name=TEXT,
+    description=TEXT,
+    unit=TEXT,
+    type=INT,
+    labels=STR_MAP,
+    value=DOUBLE,
+    timestamp=TIME,
+    service_name=TEXT,
 )
 
 # Histogram and summary points carry the metric columns plus their own.
-HISTOGRAM_SCHEMA = T.StructType(
+HISTOGRAM_SCHEMA = StructType(
     METRIC_SCHEMA.fields
-    + _struct(
-        "count bigint, sum double, bucket_counts array<bigint>, explicit_bounds array<double>, min double, max double"
+    + _row(
+        count=LONG, sum=DOUBLE, bucket_counts=ArrayType(LONG), explicit_bounds=ArrayType(DOUBLE), min=DOUBLE, max=DOUBLE
     ).fields
 )
-SUMMARY_SCHEMA = T.StructType(
+SUMMARY_SCHEMA = StructType(
     METRIC_SCHEMA.fields
-    + _struct("count bigint, sum double, quantiles array<struct<quantile: double, value: double>>").fields
+    + _row(count=LONG, sum=DOUBLE, quantiles=ArrayType(_row(quantile=DOUBLE, value=DOUBLE))).fields
 )
 
-CONDITION = "struct<type: string, operator: string, threshold: double>"
-
-RULE_SCHEMA = _struct(
-    f"""
-    name string, expression string, duration_s bigint, severity string, enabled boolean,
-    labels map<string, string>, annotations map<string, string>,
-    conditions array<{CONDITION}>, notification_channels array<string>
-    """
-)
-
-RULE_GROUP_SCHEMA = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("rules", T.ArrayType(RULE_SCHEMA))]
+CONDITION = _row(type=TEXT, operator=TEXT, threshold=DOUBLE)
+
+RULE_SCHEMA = _row(
+    name=TEXT,
+    expression=TEXT,
+    duration_s=LONG,
+    severity=TEXT,
+    enabled=FLAG,
+    labels=STR_MAP,
+    annotations=STR_MAP,
+    conditions=ArrayType(CONDITION),
+    notification_channels=ArrayType(TEXT),
 )
-
-MATCHER = "struct<name: string, value: string, is_regex: boolean, is_equal: boolean>"
-
-SILENCE_SCHEMA = _struct(
-    f"""
-    id string, matchers array<{MATCHER}>, starts_at timestamp, ends_at timestamp,
-    created_by string, comment string, updated_at timestamp, deleted boolean
-    """
+RULE_GROUP_SCHEMA = _row(name=TEXT, rules=ArrayType(RULE_SCHEMA))
+
+MATCHER = _row(name=TEXT, value=TEXT, is_regex=FLAG, is_equal=FLAG)
+SILENCE_SCHEMA = _row(
+    id=TEXT,
+    matchers=ArrayType(MATCHER),
+    starts_at=TIME,
+    ends_at=TIME,
+    created_by=TEXT,
+    comment=TEXT,
+    updated_at=TIME,
+    deleted=FLAG,
 )
 
-CHANNEL_SCHEMA = _struct("channel string, repeat_interval_s bigint")
+CHANNEL_SCHEMA = _row(channel=TEXT, repeat_interval_s=LONG)

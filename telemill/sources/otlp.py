@@ -217,17 +217,14 @@ def flatten_otlp_metrics(df: DataFrame, column: str = "value") -> DataFrame:
 
     The points of a metric are tagged with their type and exploded together, so the input is read once.
     """
-    tagged = F.concat(
-        *[
-            F.coalesce(
-                F.transform(
-                    f"m.{kind}.dataPoints", lambda p, code=code: F.struct(F.lit(code).alias("type"), p.alias("p"))
-                ),
-                F.array().cast(f"array<struct<type: int, p: {_NUMBER_POINT}>>"),
-            )
-            for kind, code in (("gauge", GAUGE), ("sum", COUNTER))
-        ]
-    )
+    none = F.array().cast(f"array<struct<type: int, p: {_NUMBER_POINT}>>")
+
+    def tagged_points(kind: str, code: int) -> Column:
+        return F.coalesce(
+            F.transform(f"m.{kind}.dataPoints", lambda p: F.struct(F.lit(code).alias("type"), p.alias("p"))), none
+        )
+
+    tagged = F.concat(tagged_points("gauge", GAUGE), tagged_points("sum", COUNTER))
     points = _metrics(df, column).select("service_name", "m", F.explode(tagged).alias("t"))
     points = points.select("service_name", "m", F.col("t.type").alias("kind"), F.col("t.p").alias("p"))
     return points.select(

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from telemill.functions.timegrid import MICROS, micros
 from telemill.schemas import SPAN_EVENT, SPAN_LINK
+from telemill.sources.topics import JSON_OPTIONS
 
 DEFAULT_RETENTION_DAYS = 7
 
@@ -48,7 +50,7 @@ def write_table(df: DataFrame, path: str, layout: TableLayout, mode: str = "appe
 
 def write_spans(spans: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
     """Spans with events and links as JSON text."""
-    stored = spans.withColumn("events", F.to_json("events")).withColumn("links", F.to_json("links"))
+    stored = spans.withColumn("events", F.to_json("events", JSON_OPTIONS)).withColumn("links", F.to_json("links"))
     write_table(stored, path, SPANS, mode, cluster)
 
 
@@ -67,8 +69,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
     stored = read_table(spark, path)
-    return stored.withColumn("events", F.from_json("events", f"array<{SPAN_EVENT}>")).withColumn(
-        "links", F.from_json("links", f"array<{SPAN_LINK}>")
+    return stored.withColumn("events", F.from_json("events", ArrayType(SPAN_EVENT))).withColumn(
+        "links", F.from_json("links", ArrayType(SPAN_LINK))
     )
 
 

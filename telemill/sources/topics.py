@@ -18,6 +18,9 @@ LOG_BATCH_ROWS = 500
 
 TOPIC_KEYS = {"spans": "trace_id", "logs": "service_name", "metrics": "name"}
 
+# Times in messages and in JSON columns keep microseconds.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 _CORRUPT = "_corrupt"
 
 
@@ -78,7 +81,7 @@ def decode_metrics(messages: DataFrame) -> DataFrame:
 
 def encode(rows: DataFrame, key: str) -> DataFrame:
     """Rows as keyed JSON messages; equal keys keep their order within a topic partition."""
-    return rows.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return rows.select(F.col(key).alias("key"), F.to_json(F.struct("*"), JSON_OPTIONS).alias("value"))
 
 
 def sample_export(points: DataFrame) -> DataFrame:
