@@ -79,4 +79,6 @@ def tick_cover(df, at_us: Column, range_us: Column | int, step_us: int, first_us
 
 def to_ticks(df, step_us: int):
     """Copy every state row to the ticks that see it; adds ``tick_us``, keeps ``lo`` and ``hi``."""
-    return df.withColumn("tick_us", F.explode(F.sequence("lo", "hi")) * F.lit(step_us))
+    return df.withColumn("tick_us", F.explode(F.sequence("lo", "hi"))).withColumn(
+        "tick_us", F.col("tick_us") * F.lit(step_us)
+    )

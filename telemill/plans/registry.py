@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from telemill.plans import log_queries, row_queries, trace_queries
+from telemill.plans import log_queries, metric_queries, row_queries, trace_queries
 
-REGISTERED = {**trace_queries.QUERIES, **row_queries.QUERIES, **log_queries.QUERIES}
+REGISTERED = {
+    **trace_queries.QUERIES,
+    **log_queries.QUERIES,
+    **metric_queries.QUERIES,
+    **row_queries.QUERIES,
+}

@@ -92,12 +92,17 @@ def value_text(v: Column) -> Column:
 
 def attrs_to_map(attrs: Column) -> Column:
     """Attribute list to map<string,string>; an empty list gives null, a repeated key keeps its last value."""
-    entries = F.transform(attrs, lambda a: F.struct(a["key"].alias("key"), value_text(a["value"]).alias("value")))
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    return F.when(F.size(attrs) > 0, F.map_from_entries(last))
+
+    def to_map(items: Column) -> Column:
+        return F.map_from_entries(
+            F.transform(items, lambda a: F.struct(a["key"].alias("key"), value_text(a["value"]).alias("value")))
+        )
+
+    keys = F.transform(attrs, lambda a: a["key"])
+    # Keys are unique in well-formed requests, so the search for later equals is the rare branch.
+    last = F.filter(attrs, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), a["key"]))
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(F.size(attrs) > 0, F.when(unique, to_map(attrs)).otherwise(to_map(last)))
 
 
 def _service(resource: Column) -> Column:
