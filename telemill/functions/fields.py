@@ -187,17 +187,16 @@ def label(labels: Column | str, key: str) -> Column:
     return F.coalesce(_col(labels)[key], F.lit(""))
 
 
-def series_key(labels: Column | str = "labels") -> Column:
-    """Canonical text of a label set: ``k=v`` pairs sorted by key, separators escaped."""
+def sorted_labels(labels: Column | str = "labels") -> Column:
+    """Label entries sorted by key: equal for equal label sets, and unlike a map it can be ordered,
+    joined and windowed on.  No labels and null labels are the same empty set."""
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    return F.coalesce(F.sort_array(F.map_entries(_col(labels))), none)
 
-    def esc(c: Column) -> Column:
-        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-        c = F.replace(c, F.lit(","), F.lit("\\,"))
-        return F.replace(c, F.lit("="), F.lit("\\="))
 
-    entries = F.array_sort(F.map_entries(_col(labels)))
-    text = F.array_join(F.transform(entries, lambda e: F.concat(esc(e["key"]), F.lit("="), esc(e["value"]))), ",")
-    return F.coalesce(text, F.lit(""))
+def series_key(labels: Column | str = "labels") -> Column:
+    """Canonical text of a label set: JSON with sorted keys."""
+    return F.to_json(F.map_from_entries(sorted_labels(labels)))
 
 
 MATCH_OPERATORS = ("=", "!=", "=~", "!~")

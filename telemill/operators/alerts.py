@@ -10,9 +10,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telemill.functions.fields import compare
+from telemill.functions.fields import compare, sorted_labels
 from telemill.functions.timegrid import MICROS, micros, prune_days, tick_cover, to_ticks
-from telemill.operators.metrics import Selector, label_set
+from telemill.operators.metrics import Selector
 
 SEVERITIES = ("critical", "warning", "info")
 DEFAULT_LOOKBACK_S = 300
@@ -48,7 +48,7 @@ def load_rules(groups: DataFrame) -> DataFrame:
 def fingerprint(name: Column, labels: Column) -> Column:
     """First 16 hex digits of SHA-256 over the rule name and its ``k=v,`` pairs in key order."""
     pairs = F.transform(
-        F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(","))
+        F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(","))
     )
     return F.substring(F.sha2(F.concat(name, F.coalesce(F.array_join(pairs, ""), F.lit(""))), 256), 1, 16)
 
@@ -71,7 +71,7 @@ def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end
     return (
         prune_days(points, "timestamp", start, end)
         .withColumn("rule_name", F.explode(wanted))
-        .select("rule_name", label_set().alias("series"), "timestamp", "value")
+        .select("rule_name", sorted_labels().alias("series"), "timestamp", "value")
     )
 
 
@@ -139,7 +139,7 @@ def evaluate_rules(
     if per_series:
         found = seen.select("rule_name", "series").distinct()
         subjects = rules.withColumnRenamed("name", "rule_name").join(found, "rule_name", "left")
-        subjects = subjects.withColumn("series", F.coalesce("series", label_set(F.create_map().cast("map<string,string>"))))
+        subjects = subjects.withColumn("series", F.coalesce("series", sorted_labels(F.create_map().cast("map<string,string>"))))
         keys = ["rule_name", "series", "tick_us"]
     else:
         seen = (
@@ -187,7 +187,7 @@ def evaluate_rules(
     if per_series:
         own = F.col("series")
         labels = F.map_from_entries(
-            F.concat(F.filter(label_set(labels), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"])), own)
+            F.concat(F.filter(sorted_labels(labels), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"])), own)
         )
     return evaluated.select(
         "rule_name",
@@ -286,7 +286,7 @@ def matched_by(matchers: Column, labels: Column) -> Column:
 
     def one(m: Column) -> Column:
         value = labels[m["name"]]
-        equal = F.when(m["is_regex"], value.rlike(m["value"])).otherwise(value == m["value"])
+        equal = F.when(m["is_regex"], F.rlike(value, m["value"])).otherwise(value == m["value"])
         return F.coalesce(equal == m["is_equal"], F.lit(False))
 
     return F.forall(matchers, one)
@@ -345,7 +345,7 @@ def suppress_repeats(candidates: DataFrame) -> DataFrame:
 
     sent = (
         candidates.groupBy(*keys, "repeat_interval_s")
-        .agg(F.array_sort(F.collect_list("tick_us")).alias("instants"))
+        .agg(F.sort_array(F.collect_list("tick_us")).alias("instants"))
         .withColumn("tick_us", F.explode(F.aggregate("instants", F.array().cast("array<bigint>"), send)))
         .select(*keys, "tick_us")
     )

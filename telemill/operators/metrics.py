@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telemill.functions.fields import MATCH_OPERATORS, matches_label, series_key
+from telemill.functions.fields import MATCH_OPERATORS, matches_label, series_key, sorted_labels
 from telemill.functions.timegrid import MICROS, bucket_start, micros, prune_days, tick_cover, to_ticks
 
 DEFAULT_POINTS = 10_000
@@ -28,22 +28,14 @@ WINDOW_SECONDS = {"1m": 60, **ROLLUP_SECONDS}
 ROLLUP_KEYS = ["name", "description", "unit", "type", "labels", "service_name"]
 
 
-def label_set(labels: Column | str = "labels") -> Column:
-    """Label entries sorted by key; no labels and null labels are the same empty set."""
-    labels = F.col(labels) if isinstance(labels, str) else labels
-    empty = F.array().cast("array<struct<key: string, value: string>>")
-    return F.coalesce(F.array_sort(F.map_entries(labels)), empty)
-
-
 def with_series(points: DataFrame) -> DataFrame:
-    return points.withColumn("series", label_set())
+    return points.withColumn("series", sorted_labels())
 
 
 def _labelled(vector: DataFrame) -> DataFrame:
     """Replace ``series`` by the label map and its canonical text."""
-    return vector.withColumn("labels", F.map_from_entries("series")).withColumn("series_key", series_key()).drop(
-        "series"
-    )
+    labels = F.map_from_entries("series")
+    return vector.withColumn("labels", labels).withColumn("series_key", F.to_json(labels)).drop("series")
 
 
 # -- selection ----------------------------------------------------------------------------------
@@ -208,6 +200,15 @@ def search_metric_names(points: DataFrame, prefix: str = "") -> DataFrame:
 # -- result shapes ------------------------------------------------------------------------------
 
 
+def _metric_map() -> Column:
+    """The labels with the metric name under ``__name__``; a label of that name does not hide it."""
+    labels = F.coalesce("labels", F.create_map().cast("map<string, string>"))
+    own = F.when(F.map_contains_key(labels, "__name__"), F.map_filter(labels, lambda k, _: k != "__name__")).otherwise(
+        labels
+    )
+    return F.map_concat(F.create_map(F.lit("__name__"), F.col("name")), own)
+
+
 def matrix_samples(points: DataFrame) -> DataFrame:
     """Matrix in long form: a row per sample, ordered by series and time.
 
@@ -216,19 +217,10 @@ def matrix_samples(points: DataFrame) -> DataFrame:
     """
     return (
         with_series(points)
+        .select("name", "series", "timestamp", "value")
+        .orderBy("name", "series", "timestamp", "value")
         .transform(_labelled)
-        .select(
-            "name",
-            "series_key",
-            F.map_concat(
-                F.create_map(F.lit("__name__"), F.col("name")),
-                F.map_filter("labels", lambda k, _: k != "__name__"),
-            ).alias("metric"),
-            F.unix_seconds("timestamp").alias("ts"),
-            "value",
-            "timestamp",
-        )
-        .orderBy("name", "series_key", "timestamp", "value")
+        .select(_metric_map().alias("metric"), "name", "series_key", F.unix_seconds("timestamp").alias("ts"), "value")
     )
 
 
@@ -244,16 +236,10 @@ def query_matrix(points: DataFrame, start, end, step_s: int) -> DataFrame:
     return (
         stepped.groupBy("name", "series")
         .agg(
-            F.array_sort(F.collect_list(F.struct(F.unix_seconds("timestamp").alias("ts"), "value"))).alias("values")
+            F.sort_array(F.collect_list(F.struct(F.unix_seconds("timestamp").alias("ts"), "value"))).alias("values")
         )
         .transform(_labelled)
-        .withColumn(
-            "metric",
-            F.map_concat(
-                F.create_map(F.lit("__name__"), F.col("name")),
-                F.map_filter("labels", lambda k, _: k != "__name__"),
-            ),
-        )
+        .withColumn("metric", _metric_map())
         .select("metric", "name", "series_key", "values")
     )
 
@@ -372,7 +358,7 @@ def histogram_buckets(histograms: DataFrame) -> DataFrame:
         .withColumn("b", F.explode(bounds))
         .select(
             "name",
-            F.array_sort(
+            F.sort_array(
                 F.array_append("series", F.struct(F.lit("le").alias("key"), F.col("b.le").alias("value")))
             ).alias("series"),
             "timestamp",

@@ -93,7 +93,7 @@ def assemble_traces(spans: DataFrame) -> DataFrame:
             F.max("root").alias("root"),
             F.min("start_time").alias("start_time"),
             F.max("end_time").alias("end_time"),
-            F.array_sort(F.collect_list("service_name")).alias("services"),
+            F.sort_array(F.collect_list("service_name")).alias("services"),
         )
         .withColumn("duration_ms", _elapsed_ms("start_time", "end_time"))
     )

@@ -70,7 +70,7 @@ def matrix(spark, sf_dir):
     )
 
 
-_KEY_SQL = "'shard=' || l_shard || ',type=' || l_type"
+_KEY_SQL = """'{"shard":"' || l_shard || '","type":"' || l_type || '"}'"""
 
 
 def matrix_steps(spark, sf_dir):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from telemill.plans import log_queries, metric_queries, row_queries, trace_queries
+from telemill.plans import alert_queries, log_queries, metric_queries, row_queries, trace_queries
 
 REGISTERED = {
     **trace_queries.QUERIES,
     **log_queries.QUERIES,
     **metric_queries.QUERIES,
     **row_queries.QUERIES,
+    **alert_queries.QUERIES,
 }

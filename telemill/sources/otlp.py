@@ -84,7 +84,7 @@ def value_text(v: Column) -> Column:
     """Any attribute value as text: lists and key/value lists as JSON, no value as the empty string."""
     items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], _nested_json), ","), F.lit("]"))
     pairs = F.transform(
-        F.array_sort(F.transform(v["kvlistValue"]["values"], lambda e: F.struct(e["key"].alias("k"), _nested_json(e["value"]).alias("j")))),
+        F.sort_array(F.transform(v["kvlistValue"]["values"], lambda e: F.struct(e["key"].alias("k"), _nested_json(e["value"]).alias("j")))),
         lambda e: F.concat(_quote(e["k"]), F.lit(":"), e["j"]),
     )
     return F.coalesce(_scalar_text(v), items, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.lit(""))

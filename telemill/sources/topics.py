@@ -92,7 +92,7 @@ def sample_export(points: DataFrame) -> DataFrame:
     """
     pair = "array<struct<name: string, value: string>>"
     own = F.transform(
-        F.coalesce(F.array_sort(F.map_entries("labels")), F.array().cast("array<struct<key: string, value: string>>")),
+        F.coalesce(F.sort_array(F.map_entries("labels")), F.array().cast("array<struct<key: string, value: string>>")),
         lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")),
     )
     name = F.array(F.struct(F.lit("__name__").alias("name"), F.col("name").alias("value"))).cast(pair)
