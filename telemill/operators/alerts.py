@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import compare, sorted_labels
 from telemill.functions.timegrid import MICROS, micros, prune_days, tick_cover, to_ticks
-from telemill.operators.metrics import Selector
+from telemill.operators.metrics import Selector, tag_selected
 
 SEVERITIES = ("critical", "warning", "info")
 DEFAULT_LOOKBACK_S = 300
@@ -64,13 +64,11 @@ def lookback_s() -> Column:
 def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end) -> DataFrame:
     """Points each rule looks at, tagged with ``rule_name``, in one scan for all rules.
 
-    ``end`` and ``start`` bound the ticks; earlier points a tick can still see must be included by the
-    caller through ``start``.
+    ``start`` must reach back to the earliest point the first tick can still see.
     """
-    wanted = F.array_compact(F.array(*[F.when(s.condition(), F.lit(rule)) for rule, s in selectors.items()]))
     return (
         prune_days(points, "timestamp", start, end)
-        .withColumn("rule_name", F.explode(wanted))
+        .transform(tag_selected, selectors, "rule_name")
         .select("rule_name", sorted_labels().alias("series"), "timestamp", "value")
     )
 

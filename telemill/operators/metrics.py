@@ -61,6 +61,16 @@ class Selector:
         return bool(self.name) and all(op in MATCH_OPERATORS for _, op, _ in self.matchers)
 
 
+def tag_selected(points: DataFrame, selectors: Mapping[str, Selector], column: str) -> DataFrame:
+    """Points wanted by any selector, once per selector that wants them, its name in ``column``.
+
+    One scan serves all selectors; the metric names are a plain filter that reaches it.
+    """
+    wanted = F.array_compact(F.array(*[F.when(s.condition(), F.lit(name)) for name, s in selectors.items()]))
+    names = sorted({s.name for s in selectors.values()})
+    return points.filter(F.col("name").isin(*names)).withColumn(column, F.explode(wanted))
+
+
 def select_points(points: DataFrame, selector: Selector, start, end, *, limit: int | None = None) -> DataFrame:
     """Points of a selector in ``[start, end]``, oldest first."""
     return (
@@ -250,10 +260,9 @@ def dashboard_series(points: DataFrame, targets: Mapping[str, Selector], start,
     Invalid targets are skipped.  Milliseconds are whole seconds times 1000.
     """
     valid = {name: s for name, s in targets.items() if s.is_valid()}
-    wanted = F.array_compact(F.array(*[F.when(s.condition(), F.lit(name)) for name, s in valid.items()]))
     return (
         prune_days(points, "timestamp", start, end)
-        .withColumn("target", F.explode(wanted))
+        .transform(tag_selected, valid, "target")
         .select(
             "target",
             "name",

@@ -101,7 +101,7 @@ _RULE_ROWS = ", ".join(
     for n, d, s, t, _, ch in _RULES
 )
 
-_BASE = f"""
+BASE_SQL = f"""
 WITH RECURSIVE metrics_v AS ({METRICS_SQL}),
  rules AS (SELECT *, substr(sha256(name || 'env=test,team=' || team || ','), 1, 16) AS fingerprint
            FROM (VALUES {_RULE_ROWS}) r(name, duration_s, severity, team, lookback_us, channels)),
@@ -201,7 +201,7 @@ def rule_eval_per_series(spark, sf_dir):
     )
 
 
-RULE_EVAL_PER_SERIES = f"""{_BASE},
+RULE_EVAL_PER_SERIES = f"""{BASE_SQL},
  s AS (SELECT rule_name, tick_us, l_shard, l_type, arg_min(value, ts) AS fst, arg_max(value, ts) AS lst, count(*) AS n
        FROM seen GROUP BY ALL),
  subj AS (SELECT DISTINCT r.name AS rule_name, coalesce(l_shard, '') AS shard, coalesce(l_type, '') AS l_type
@@ -269,38 +269,38 @@ def outbox(spark, sf_dir):
 QUERIES = {
     "alert_rules": (
         alert_rules,
-        f"{_BASE} SELECT name, severity, fingerprint, (SELECT count(*) FROM pts WHERE rule_name = rules.name) AS points FROM rules",
+        f"{BASE_SQL} SELECT name, severity, fingerprint, (SELECT count(*) FROM pts WHERE rule_name = rules.name) AS points FROM rules",
     ),
     "rule_eval": (
         rule_eval,
-        f"{_BASE} SELECT rule_name, fingerprint, tick_us, firing, round(value, 4) AS value, message FROM evals",
+        f"{BASE_SQL} SELECT rule_name, fingerprint, tick_us, firing, round(value, 4) AS value, message FROM evals",
     ),
     "rule_eval_per_series": (rule_eval_per_series, RULE_EVAL_PER_SERIES),
-    "absence": (absence, f"{_BASE} SELECT rule_name, tick_us, message FROM evals WHERE starts_with(message, 'no data')"),
+    "absence": (absence, f"{BASE_SQL} SELECT rule_name, tick_us, message FROM evals WHERE starts_with(message, 'no data')"),
     "rate_of_change": (
         rate_of_change,
-        f"{_BASE} SELECT rule_name, tick_us, message, round(value, 4) AS value FROM evals WHERE starts_with(message, 'rate of')",
+        f"{BASE_SQL} SELECT rule_name, tick_us, message, round(value, 4) AS value FROM evals WHERE starts_with(message, 'rate of')",
     ),
-    "alert_states": (alert_states, f"{_BASE} SELECT fingerprint, rule_name, tick_us, state, starts_us FROM stated"),
+    "alert_states": (alert_states, f"{BASE_SQL} SELECT fingerprint, rule_name, tick_us, state, starts_us FROM stated"),
     "alert_transitions": (
         alert_transitions,
-        f"""{_BASE} SELECT fingerprint, rule_name, tick_us, state, starts_us,
+        f"""{BASE_SQL} SELECT fingerprint, rule_name, tick_us, state, starts_us,
             CASE WHEN state = 'resolved' THEN tick_us END AS ends_us, round(value, 4) AS value FROM trans""",
     ),
     "active_alerts": (
         active_alerts,
-        f"""{_BASE}, latest AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY tick_us DESC) AS rn FROM stated)
+        f"""{BASE_SQL}, latest AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY tick_us DESC) AS rn FROM stated)
             SELECT fingerprint, rule_name, tick_us, starts_us FROM latest WHERE rn = 1 AND state = 'firing'""",
     ),
-    "unsilenced": (unsilenced, f"{_BASE} SELECT fingerprint, rule_name, tick_us, state FROM loud"),
+    "unsilenced": (unsilenced, f"{BASE_SQL} SELECT fingerprint, rule_name, tick_us, state FROM loud"),
     "silenced": (
         silenced,
-        f"""{_BASE} SELECT fingerprint, rule_name, tick_us, state FROM trans WHERE state <> 'pending'
+        f"""{BASE_SQL} SELECT fingerprint, rule_name, tick_us, state FROM trans WHERE state <> 'pending'
             AND (fingerprint, tick_us) NOT IN (SELECT (fingerprint, tick_us) FROM loud)""",
     ),
     "outbox": (
         outbox,
-        f"""{_BASE} SELECT f.fingerprint AS group_key, f.state AS status, f.channel AS receiver,
+        f"""{BASE_SQL} SELECT f.fingerprint AS group_key, f.state AS status, f.channel AS receiver,
             '[' || upper(f.state) || '] 1 alert(s)' AS title, f.tick_us AS sent_us, c.rule_name, c.starts_us, c.team
             FROM fold f JOIN cand c USING (fingerprint, state, channel, j) WHERE f.sent""",
     ),

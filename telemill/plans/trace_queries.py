@@ -135,7 +135,7 @@ def trace_timeline(spark, sf_dir):
 TRACE_TIMELINE = _sql(f"SELECT {_SPAN_COLUMNS_SQL} FROM spans_v ORDER BY trace_id, start_time, span_id")
 
 
-def _summary_columns(df: DataFrame) -> DataFrame:
+def summary_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "trace_id", "root_service", "root_operation", _us("trace_start"), "duration_ms", "span_count",
         "error_count", "service_count", "has_error",
@@ -151,14 +151,14 @@ FROM spans_v"""
 
 
 def trace_summaries(spark, sf_dir):
-    return _summary_columns(ops.trace_summaries(views.spans(spark, sf_dir), START, END))
+    return summary_columns(ops.trace_summaries(views.spans(spark, sf_dir), START, END))
 
 
 TRACE_SUMMARIES = _sql(f"{_SUMMARY_SQL} GROUP BY trace_id ORDER BY trace_start_us DESC LIMIT 100")
 
 
 def search_traces(spark, sf_dir):
-    return _summary_columns(
+    return summary_columns(
         ops.search_traces(
             views.spans(spark, sf_dir), START, END, service="purchase", status=2, tags={"props": '{"k": 42}'}
         )
@@ -171,7 +171,7 @@ GROUP BY trace_id ORDER BY trace_start_us DESC LIMIT 100""")
 
 
 def wide_range_search(spark, sf_dir):
-    return _summary_columns(
+    return summary_columns(
         ops.search_traces(views.spans(spark, sf_dir), START, END, operation="op-3", min_duration_ms=300, limit=250)
     )
 
@@ -184,7 +184,7 @@ GROUP BY trace_id ORDER BY trace_start_us DESC LIMIT 250""")
 def incremental_summaries(spark, sf_dir):
     """Daily states merged into summaries of all traces."""
     daily = ops.daily_trace_states(views.spans(spark, sf_dir))
-    return _summary_columns(ops.summaries_from_states(ops.merge_trace_states(daily)))
+    return summary_columns(ops.summaries_from_states(ops.merge_trace_states(daily)))
 
 
 INCREMENTAL_SUMMARIES = _sql(f"{_SUMMARY_SQL} GROUP BY trace_id")
