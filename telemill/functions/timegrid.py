@@ -10,6 +10,11 @@ MICROS = 1_000_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+def long_lit(value: int) -> Column:
+    """A 64-bit literal: Python integers that fit become 32-bit ones, whose products overflow."""
+    return F.lit(value).cast("bigint")
+
+
 def micros(instant: datetime | date | str | int) -> int:
     """Microseconds since the epoch.  Values without a zone are UTC; integers are micros already."""
     if isinstance(instant, int):
@@ -25,7 +30,7 @@ def micros(instant: datetime | date | str | int) -> int:
 
 def ts_lit(instant: datetime | date | str | int) -> Column:
     """A timestamp literal; it folds to a constant, so filters on it reach the scan."""
-    return F.timestamp_micros(F.lit(micros(instant)))
+    return F.timestamp_micros(long_lit(micros(instant)))
 
 
 def date_lit(instant: datetime | date | str | int) -> Column:
@@ -47,14 +52,14 @@ def prune_days(df, column: str, start, end):
 
 def bucket_start(column: Column, seconds: int) -> Column:
     """Start of the ``seconds`` wide bucket, aligned to the epoch."""
-    width = F.lit(seconds * MICROS)
+    width = long_lit(seconds * MICROS)
     at = F.unix_micros(column)
     return F.timestamp_micros(at - F.pmod(at, width))
 
 
 def floor_div(value: Column, width: Column | int) -> Column:
     """Integer division rounding down, also for negative values (``div`` alone rounds towards zero)."""
-    width = F.lit(width) if isinstance(width, int) else width
+    width = long_lit(width) if isinstance(width, int) else width
     return F.call_function("div", value - F.pmod(value, width), width)
 
 
@@ -70,9 +75,9 @@ def tick_cover(df, at_us: Column, range_us: Column | int, step_us: int, first_us
     the same ticks, so operators fold them into one state row before copying anything to the ticks; and
     ``(lo, hi)`` grows with time, so it also orders those states.
     """
-    range_us = F.lit(range_us) if isinstance(range_us, int) else range_us
-    lo = F.greatest(ceil_div(at_us, step_us), F.lit(-(-first_us // step_us)))
-    hi = F.least(floor_div(at_us + range_us, step_us), F.lit(last_us // step_us))
+    range_us = long_lit(range_us) if isinstance(range_us, int) else range_us
+    lo = F.greatest(ceil_div(at_us, step_us), long_lit(-(-first_us // step_us)))
+    hi = F.least(floor_div(at_us + range_us, step_us), long_lit(last_us // step_us))
     # lo <= hi first: sequence() would count downwards otherwise.
     return df.withColumn("lo", lo).withColumn("hi", hi).filter(F.col("lo") <= F.col("hi"))
 
@@ -80,5 +85,5 @@ def tick_cover(df, at_us: Column, range_us: Column | int, step_us: int, first_us
 def to_ticks(df, step_us: int):
     """Copy every state row to the ticks that see it; adds ``tick_us``, keeps ``lo`` and ``hi``."""
     return df.withColumn("tick_us", F.explode(F.sequence("lo", "hi"))).withColumn(
-        "tick_us", F.col("tick_us") * F.lit(step_us)
+        "tick_us", F.col("tick_us") * long_lit(step_us)
     )

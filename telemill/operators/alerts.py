@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import compare, sorted_labels
-from telemill.functions.timegrid import MICROS, micros, prune_days, tick_cover, to_ticks
+from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, tick_cover, to_ticks, ts_lit
 from telemill.operators.metrics import Selector, tag_selected
 
 SEVERITIES = ("critical", "warning", "info")
@@ -55,7 +55,7 @@ def fingerprint(name: Column, labels: Column) -> Column:
 
 def lookback_s() -> Column:
     """Seconds a rule looks back: its duration, or five minutes without one."""
-    return F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.lit(DEFAULT_LOOKBACK_S))
+    return F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.lit(DEFAULT_LOOKBACK_S)).cast("bigint")
 
 
 # -- evaluation ---------------------------------------------------------------------------------
@@ -81,7 +81,7 @@ def samples_by_tick(points: DataFrame, rules: DataFrame, start, end, interval_s:
     Latest and first are by time, then value.
     """
     step_us = interval_s * MICROS
-    looks = rules.select(F.col("name").alias("rule_name"), (lookback_s() * MICROS).alias("range_us"))
+    looks = rules.select(F.col("name").alias("rule_name"), (lookback_s() * long_lit(MICROS)).alias("range_us"))
     seen = points.join(looks, "rule_name").withColumn("at", F.unix_micros("timestamp"))
     covered = tick_cover(seen, F.col("at"), F.col("range_us"), step_us, micros(start), micros(end))
     states = covered.groupBy("rule_name", "series", "lo", "hi").agg(
@@ -147,7 +147,7 @@ def evaluate_rules(
         )
         subjects = rules.withColumnRenamed("name", "rule_name")
         keys = ["rule_name", "tick_us"]
-    ticks = F.transform(F.sequence(F.lit(first_tick), F.lit(last_tick)), lambda k: k * F.lit(step_us))
+    ticks = F.transform(F.sequence(long_lit(first_tick), long_lit(last_tick)), lambda k: k * long_lit(step_us))
     grid = subjects.withColumn("tick_us", F.explode(ticks))
     joined = grid.join(seen, keys, "left")
 
@@ -190,7 +190,7 @@ def evaluate_rules(
     return evaluated.select(
         "rule_name",
         labels.alias("labels"),
-        F.coalesce("duration_s", F.lit(0)).alias("duration_s"),
+        F.coalesce(F.col("duration_s"), F.lit(0)).cast("bigint").alias("duration_s"),
         "severity",
         "annotations",
         "notification_channels",
@@ -231,7 +231,7 @@ def alert_states(evaluations: DataFrame) -> DataFrame:
         .withColumn("starts_us", F.min("tick_us").over(run_upto))
         .filter(F.col("firing") | (F.col("nth") > 1))
     )
-    old_enough = (F.col("nth") >= 2) & (F.col("tick_us") - F.col("starts_us") >= F.col("duration_s") * MICROS)
+    old_enough = (F.col("nth") >= 2) & (F.col("tick_us") - F.col("starts_us") >= F.col("duration_s") * long_lit(MICROS))
     state = F.when(~F.col("firing"), "resolved").when(old_enough, "firing").otherwise("pending")
     stated = placed.withColumn("state", state)
     before = F.lag("state").over(in_run)
@@ -275,7 +275,7 @@ def current_silences(changes: DataFrame) -> DataFrame:
 
 def active_silences(silences: DataFrame, at) -> DataFrame:
     """Silences in effect at an instant: start included, end excluded."""
-    now = F.timestamp_micros(F.lit(micros(at)))
+    now = ts_lit(at)
     return silences.filter((F.col("starts_at") <= now) & (now < F.col("ends_at")))
 
 
@@ -297,11 +297,11 @@ def unsilenced(transitions: DataFrame, silences: DataFrame) -> DataFrame:
     times and matchers as further conditions: a hash join, never every transition against every silence.
     """
     starts, ends = F.unix_micros("starts_at"), F.unix_micros("ends_at")
-    days = F.sequence(F.floor(starts / F.lit(DAY_US)), F.floor((ends - 1) / F.lit(DAY_US)))
+    days = F.sequence(F.floor(starts / long_lit(DAY_US)), F.floor((ends - 1) / long_lit(DAY_US)))
     by_day = silences.filter(F.col("ends_at") > F.col("starts_at")).select(
         F.explode(days).alias("s_day"), starts.alias("s_from"), ends.alias("s_to"), "matchers"
     )
-    day = F.floor(F.col("tick_us") / F.lit(DAY_US))
+    day = F.floor(F.col("tick_us") / long_lit(DAY_US))
     return (
         transitions.withColumn("t_day", day)
         .join(
@@ -338,7 +338,7 @@ def suppress_repeats(candidates: DataFrame) -> DataFrame:
 
     def send(sent: Column, at: Column) -> Column:
         last = F.try_element_at(sent, F.lit(-1))
-        due = last.isNull() | (at - last >= F.col("repeat_interval_s") * MICROS)
+        due = last.isNull() | (at - last >= F.col("repeat_interval_s") * long_lit(MICROS))
         return F.when(due, F.array_append(sent, at)).otherwise(sent)
 
     sent = (

@@ -9,7 +9,7 @@ from telemill.functions.fields import (
     extract_body_fields,
     is_missing,
 )
-from telemill.functions.timegrid import MICROS, bucket_start, floor_div, prune_days
+from telemill.functions.timegrid import MICROS, bucket_start, floor_div, long_lit, prune_days
 
 DEFAULT_LIMIT = 200
 DEFAULT_WINDOW_S = 15 * 60
@@ -105,8 +105,8 @@ def nearby_logs(logs: DataFrame, traces: DataFrame, window_s: int = 300) -> Data
         .select(
             F.col("trace_id").alias("context_trace_id"),
             "service_name",
-            (F.col("t0") - width).alias("from_us"),
-            (F.col("t1") + width).alias("to_us"),
+            (F.col("t0") - long_lit(width)).alias("from_us"),
+            (F.col("t1") + long_lit(width)).alias("to_us"),
         )
         .withColumn(
             "slice", F.explode(F.sequence(floor_div(F.col("from_us"), width), floor_div(F.col("to_us"), width)))

@@ -9,7 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
-from telemill.functions.timegrid import MICROS, micros
+from telemill.functions.timegrid import MICROS, micros, ts_lit
 from telemill.schemas import SPAN_EVENT, SPAN_LINK
 from telemill.sources.topics import JSON_OPTIONS
 
@@ -79,9 +79,9 @@ def apply_retention(df: DataFrame, layout: TableLayout, as_of, days: int = DEFAU
     oldest = micros(as_of) - timedelta(days=days) // timedelta(microseconds=1)
     # A whole second later than ``oldest`` is the second after the one ``oldest`` lies in.
     first_kept = (oldest // MICROS + 1) * MICROS
-    kept = df.filter(F.col(layout.time_column) >= F.timestamp_micros(F.lit(first_kept)))
+    kept = df.filter(F.col(layout.time_column) >= ts_lit(first_kept))
     if "_date" in df.columns:
-        kept = kept.filter(F.col("_date") >= F.to_date(F.timestamp_micros(F.lit(first_kept))))
+        kept = kept.filter(F.col("_date") >= F.to_date(ts_lit(first_kept)))
     return kept
 
 
