@@ -1,7 +1,7 @@
 """Alert rules, their evaluation on a tick grid, alert states, silences and the notification outbox.
 
-Rules, silences and channels are configuration tables.  Evaluations and everything after them are
-plain DataFrame plans; joins between the two carry no broadcast hint, AQE decides from measured size.
+Rules, silences and channels are configuration tables; they are broadcast after a check of their size
+and joined like any table beyond it.  Evaluations and everything after them are plain DataFrame plans.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import compare, sorted_labels
 from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, tick_cover, to_ticks, ts_lit
+from telemill.operators.joins import small_side
 from telemill.operators.metrics import Selector, tag_selected
 
 SEVERITIES = ("critical", "warning", "info")
@@ -82,7 +83,7 @@ def samples_by_tick(points: DataFrame, rules: DataFrame, start, end, interval_s:
     """
     step_us = interval_s * MICROS
     looks = rules.select(F.col("name").alias("rule_name"), (lookback_s() * long_lit(MICROS)).alias("range_us"))
-    seen = points.join(looks, "rule_name").withColumn("at", F.unix_micros("timestamp"))
+    seen = points.join(small_side(looks), "rule_name").withColumn("at", F.unix_micros("timestamp"))
     covered = tick_cover(seen, F.col("at"), F.col("range_us"), step_us, micros(start), micros(end))
     states = covered.groupBy("rule_name", "series", "lo", "hi").agg(
         F.min(F.struct("at", "value")).alias("head"),
@@ -305,7 +306,7 @@ def unsilenced(transitions: DataFrame, silences: DataFrame) -> DataFrame:
     return (
         transitions.withColumn("t_day", day)
         .join(
-            by_day,
+            small_side(by_day),
             (F.col("t_day") == F.col("s_day"))
             & (F.col("s_from") <= F.col("tick_us"))
             & (F.col("tick_us") < F.col("s_to"))
@@ -324,7 +325,7 @@ def route(transitions: DataFrame, channels: DataFrame) -> DataFrame:
     return (
         transitions.filter(F.col("state").isin("firing", "resolved"))
         .withColumn("channel", F.explode(F.array_distinct("notification_channels")))
-        .join(channels, "channel")
+        .join(small_side(channels), "channel")
     )
 
 

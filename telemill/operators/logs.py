@@ -10,6 +10,7 @@ from telemill.functions.fields import (
     is_missing,
 )
 from telemill.functions.timegrid import MICROS, bucket_start, floor_div, long_lit, prune_days
+from telemill.operators.joins import rows_of_keys
 
 DEFAULT_LIMIT = 200
 DEFAULT_WINDOW_S = 15 * 60
@@ -76,13 +77,8 @@ def log_context(logs: DataFrame, trace_id: str) -> DataFrame:
 
 
 def of_traces(logs: DataFrame, trace_ids: DataFrame) -> DataFrame:
-    """Log records of the traces named in ``trace_ids``.
-
-    That side is only tested for membership, so it may hold repeats and needs no distinct; both sides
-    reach the join as plain shuffles, which lets AQE split a trace that dominates the log side.
-    """
-    wanted = trace_ids.select("trace_id").filter(~is_missing("trace_id"))
-    return logs.join(wanted, "trace_id", "left_semi")
+    """Log records of the traces named in ``trace_ids``; repeats there do not matter."""
+    return rows_of_keys(logs, trace_ids, "trace_id", ["span_id", "timestamp", "body"])
 
 
 def log_contexts(logs: DataFrame, trace_ids: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill.functions import fields
 from telemill.functions.fields import has_error
+from telemill.operators.joins import rows_of_keys
 
 # Hash space of sampling decisions.
 SAMPLE_SPACE = 1_000_000
@@ -74,14 +75,13 @@ def head_sample(spans: DataFrame, rate: float, service_rates: Mapping[str, float
 def tail_sample(spans: DataFrame, rate: float) -> DataFrame:
     """Keep whole traces: all with an error, and a ``rate`` share of the others.
 
-    Traces chosen by their hash need no look at their spans.  Only the rest is matched against the ids
-    of failed traces; that side is tested for membership, not made distinct, so AQE sees two plain
-    shuffles and may split a trace that dominates.
+    Traces chosen by their hash need no look at their other spans; only the rest is matched against the
+    ids of its failed traces.
     """
     chosen = _share() < F.lit(float(rate))
     rest = spans.filter(~chosen)
-    failed = rest.filter(has_error()).select("trace_id")
-    return spans.filter(chosen).unionByName(rest.join(failed, "trace_id", "left_semi").select(spans.columns))
+    failed = rows_of_keys(rest, rest.filter(has_error()), "trace_id", ["span_id", "start_time"])
+    return spans.filter(chosen).unionByName(failed)
 
 
 def run_processors(df: DataFrame, processors: Sequence) -> DataFrame:

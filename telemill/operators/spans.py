@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill.functions.fields import has_error, is_root
 from telemill.functions.timegrid import prune_days
+from telemill.operators.joins import rows_of_keys
 
 DEFAULT_LIMIT = 100
 DEFAULT_WINDOW_S = 3600
@@ -114,18 +115,17 @@ def _elapsed_ms(start: str, end: str) -> Column:
 # -- summaries ----------------------------------------------------------------------------------
 
 
-def trace_states(spans: DataFrame, *extra_keys: str, hit: Column | None = None) -> DataFrame:
+def trace_states(spans: DataFrame, *extra_keys: str) -> DataFrame:
     """Mergeable summary states per (trace, service): merge them with :func:`merge_trace_states`.
 
     Keeping the service in the key makes the distinct service count a row count, so no state holds a
-    set.  ``hit`` marks spans a search looks for.
+    set.
     """
     return spans.groupBy("trace_id", "service_name", *extra_keys).agg(
         F.min(F.struct("start_time", "span_id", "operation_name")).alias("first_span"),
         F.max("end_time").alias("trace_end"),
         F.count(F.lit(1)).alias("span_count"),
         F.count_if(has_error()).alias("error_count"),
-        F.bool_or(hit if hit is not None else F.lit(True)).alias("hit"),
     )
 
 
@@ -136,7 +136,6 @@ def merge_trace_states(states: DataFrame) -> DataFrame:
         F.max("trace_end").alias("trace_end"),
         F.sum("span_count").alias("span_count"),
         F.sum("error_count").alias("error_count"),
-        F.bool_or("hit").alias("hit"),
     )
 
 
@@ -153,7 +152,6 @@ def summaries_from_states(states: DataFrame) -> DataFrame:
             F.sum("span_count").alias("span_count"),
             F.sum("error_count").alias("error_count"),
             F.count(F.lit(1)).alias("service_count"),
-            F.bool_or("hit").alias("hit"),
         )
         .select(
             "trace_id",
@@ -167,33 +165,49 @@ def summaries_from_states(states: DataFrame) -> DataFrame:
             "error_count",
             "service_count",
             (F.col("error_count") > 0).alias("has_error"),
-            "hit",
         )
     )
 
 
-def _newest(summaries: DataFrame, limit: int | None) -> DataFrame:
-    return (
-        summaries.drop("hit")
+# More trace ids than this are not broadcast.
+BROADCAST_TRACES = 100_000
+
+
+def _newest_summaries(spans: DataFrame, limit: int | None, hit: Column | None = None) -> DataFrame:
+    """Summaries of the ``limit`` traces that start last, among those with a span passing ``hit``.
+
+    First only the start of every trace: two narrow columns, aggregated in hash tables.  Then the
+    summaries of the few traces that made it, whose spans are picked out of a second scan by a broadcast
+    of at most ``limit`` ids.  No wide state is built or shuffled for traces that are not shown.
+    """
+    limit = _limit(limit, DEFAULT_LIMIT)
+    newest = (
+        spans.groupBy("trace_id")
+        .agg(F.min("start_time").alias("trace_start"), F.bool_or(hit if hit is not None else F.lit(True)).alias("hit"))
+        .filter("hit")
         .orderBy(F.desc("trace_start"), F.desc("trace_id"))
-        .limit(_limit(limit, DEFAULT_LIMIT))
+        .limit(limit)
+        .select("trace_id")
     )
+    if limit <= BROADCAST_TRACES:
+        shown = spans.join(F.broadcast(newest), "trace_id", "left_semi")
+    else:
+        shown = rows_of_keys(spans, newest, "trace_id", ["span_id", "start_time"])
+    return summaries_from_states(trace_states(shown)).orderBy(F.desc("trace_start"), F.desc("trace_id"))
 
 
 def trace_summaries(spans: DataFrame, start, end, *, limit: int | None = None) -> DataFrame:
     """Summaries of the traces with spans started in ``[start, end]``, newest first."""
-    return _newest(summaries_from_states(trace_states(prune_days(spans, "start_time", start, end))), limit)
+    return _newest_summaries(prune_days(spans, "start_time", start, end), limit)
 
 
 def search_traces(spans: DataFrame, start, end, *, limit: int | None = None, **filters) -> DataFrame:
     """Summaries of the traces in which any one span passes all filters, newest first.
 
-    The summary covers all spans of the trace inside the range.  The match travels as a flag through
-    the aggregation, so the table is read once and not joined with itself.  A range of any width is one
-    plan: day partitions are pruned and read in parallel, and a trace crossing a day appears once.
+    The summary covers all spans of the trace inside the range.  A range of any width is one plan: day
+    partitions are pruned and read in parallel, and a trace crossing a day appears once.
     """
-    states = trace_states(prune_days(spans, "start_time", start, end), hit=span_condition(**filters))
-    return _newest(summaries_from_states(states).filter("hit"), limit)
+    return _newest_summaries(prune_days(spans, "start_time", start, end), limit, span_condition(**filters))
 
 
 def daily_trace_states(spans: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from telemill.operators.metrics import Selector
 from telemill.plans import views
 from telemill.plans.views import METRICS_SQL
 from telemill.schemas import CHANNEL_SCHEMA, RULE_GROUP_SCHEMA, SILENCE_SCHEMA
+from telemill.session import config_table
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
 TICK_S = 6 * 3600
@@ -47,11 +48,11 @@ def rule_groups(spark: SparkSession) -> DataFrame:
         for name, duration, severity, team, conditions, channels in _RULES
     ]
     off = ("switched_off", "x", 60, "info", False, {}, {}, [], [])
-    return spark.createDataFrame([("shop", rules[:2] + [off]), ("rest", rules[2:])], RULE_GROUP_SCHEMA)
+    return config_table(spark, [("shop", rules[:2] + [off]), ("rest", rules[2:])], RULE_GROUP_SCHEMA)
 
 
 def channels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CHANNELS, CHANNEL_SCHEMA)
+    return config_table(spark, _CHANNELS, CHANNEL_SCHEMA)
 
 
 def _at(day: int, hour: int = 0) -> datetime:
@@ -61,7 +62,8 @@ def _at(day: int, hour: int = 0) -> datetime:
 def silence_changes(spark: SparkSession) -> DataFrame:
     """Versions of four silences: one replaced, one deleted, one invalid, one with a pattern."""
     team_shop = [("team", "shop", False, True)]
-    return spark.createDataFrame(
+    return config_table(
+        spark,
         [
             ("s1", team_shop, _at(1), _at(30), "ann", "", _at(1), False),
             ("s1", team_shop, _at(10), _at(14, 12), "ann", "shorter", _at(2), False),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Runtime settings.  AQE picks join strategies and partition counts from measured sizes, so the
 # operators carry no broadcast hints and no hard-wired partition counts.
@@ -45,3 +48,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="telemill-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def config_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few rows of configuration as a relation whose size Spark knows, read without a Python task."""
+    names = schema.fieldNames()
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(schema)), schema
+    )

@@ -40,10 +40,13 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "EqualTo(event_type,purchase)" in searched and "TakeOrderedAndProject" in searched
 
 
-def test_search_reads_the_table_once_and_does_not_join(spark):
+def test_search_shuffles_only_trace_starts(spark):
+    """All traces: id, start and hit flag, in hash tables.  Wide states: only for the traces shown."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     plan = plan_of(REGISTERED["search_traces"][0](spark, SF))
-    assert plan.count("FileScan") == 1 and "Join" not in plan
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert "BroadcastHashJoin [trace_id" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+    narrow = plan[plan.index("BroadcastExchange"):]
+    assert "SortAggregate" not in narrow and narrow.count("Exchange hashpartitioning") == 1
 
 
 def test_edges_shuffle_parents_once(spark):
