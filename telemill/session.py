@@ -20,6 +20,10 @@ RUNTIME_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Settings a session takes only when it is created.  Without the first, PySpark inspects the Python stack
+# for every column expression, which doubles the time wide plans take to build.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -33,7 +37,7 @@ def build_session(app: str = "telemill", master: str | None = None, conf: dict[s
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -48,80 +48,86 @@ METRICS_REQUEST = f"resourceMetrics array<struct<{_RESOURCE}, scopeMetrics: arra
 GAUGE, COUNTER, HISTOGRAM = 1, 2, 3
 
 
-def _scalar_text(v: Column) -> Column:
-    return F.coalesce(
-        v["stringValue"], v["boolValue"].cast("string"), v["intValue"], _number_text(v["doubleValue"]), v["bytesValue"]
-    )
+# The value expressions are SQL text: they repeat for every attribute list, and as text each reaches the
+# JVM in one call.  Arguments are column paths or lambda variables.
 
 
-def _number_text(d: Column) -> Column:
+def _number_sql(d: str) -> str:
     """Whole doubles are written without a fraction, as JSON encoders do."""
-    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(1e15))
-    return F.when(whole, F.floor(d).cast("string")).otherwise(d.cast("string"))
+    whole = f"{d} = floor({d}) AND abs({d}) < 1e15"
+    return f"if({whole}, cast(floor({d}) AS string), cast({d} AS string))"
+
+
+def _quote_sql(text: str) -> str:
+    """JSON string literal of a text, cut out of a one-field object."""
+    wrapped = f"to_json(named_struct('t', {text}))"
+    return f"substr({wrapped}, 6, length({wrapped}) - 6)"
 
 
-def _nested_json(v: Column) -> Column:
+def _nested_sql(v: str) -> str:
     """JSON text of a value inside a list."""
-    quoted = F.coalesce(v["stringValue"], v["bytesValue"])
-    return F.coalesce(
-        F.when(quoted.isNotNull(), _quote(quoted)),
-        v["boolValue"].cast("string"),
-        v["intValue"],
-        _number_text(v["doubleValue"]),
-        v["arrayValue"],
-        v["kvlistValue"],
-        F.lit("null"),
+    quoted = f"coalesce({v}.stringValue, {v}.bytesValue)"
+    return (
+        f"coalesce(if({quoted} IS NOT NULL, {_quote_sql(quoted)}, NULL), cast({v}.boolValue AS string), {v}.intValue, "
+        f"{_number_sql(v + '.doubleValue')}, {v}.arrayValue, {v}.kvlistValue, 'null')"
+    )
+
+
+def _value_sql(v: str) -> str:
+    pairs = f"transform({v}.kvlistValue.values, p -> named_struct('k', p.key, 'j', {_nested_sql('p.value')}))"
+    return (
+        f"coalesce({v}.stringValue, cast({v}.boolValue AS string), {v}.intValue, "
+        f"{_number_sql(v + '.doubleValue')}, {v}.bytesValue, "
+        f"concat('[', array_join(transform({v}.arrayValue.values, m -> {_nested_sql('m')}), ','), ']'), "
+        f"concat('{{', array_join(transform(sort_array({pairs}), q -> concat({_quote_sql('q.k')}, ':', q.j)), ','), '}}'), "
+        "'')"
     )
 
 
-def _quote(text: Column) -> Column:
-    """JSON string literal of a text."""
-    wrapped = F.to_json(F.struct(text.alias("t")))  # {"t":"..."}
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+def _attrs_sql(attrs: str) -> str:
+    keys = f"transform({attrs}, k -> k.key)"
+    # Keys are unique in well-formed requests, so the search for later equals is the rare branch.
+    last = f"filter({attrs}, (a, i) -> NOT array_contains(slice({keys}, i + 2, size({attrs})), a.key))"
+    items = f"if(size(array_distinct({keys})) = size({attrs}), {attrs}, {last})"
+    entry = f"named_struct('key', a.key, 'value', {_value_sql('a.value')})"
+    return f"if(size({attrs}) > 0, map_from_entries(transform({items}, a -> {entry})), NULL)"
+
+
+def _time_sql(text: str) -> str:
+    """Unix nanoseconds as a timestamp, cut to microseconds."""
+    return f"timestamp_micros(coalesce(try_cast({text} AS bigint), 0) div 1000)"
 
 
-def value_text(v: Column) -> Column:
+def value_text(path: str) -> Column:
     """Any attribute value as text: lists and key/value lists as JSON, no value as the empty string."""
-    items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], _nested_json), ","), F.lit("]"))
-    pairs = F.transform(
-        F.sort_array(F.transform(v["kvlistValue"]["values"], lambda e: F.struct(e["key"].alias("k"), _nested_json(e["value"]).alias("j")))),
-        lambda e: F.concat(_quote(e["k"]), F.lit(":"), e["j"]),
-    )
-    return F.coalesce(_scalar_text(v), items, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.lit(""))
+    return F.expr(_value_sql(path))
 
 
-def attrs_to_map(attrs: Column) -> Column:
+def attrs_to_map(path: str) -> Column:
     """Attribute list to map<string,string>; an empty list gives null, a repeated key keeps its last value."""
+    return F.expr(_attrs_sql(path))
 
-    def to_map(items: Column) -> Column:
-        return F.map_from_entries(
-            F.transform(items, lambda a: F.struct(a["key"].alias("key"), value_text(a["value"]).alias("value")))
-        )
 
-    keys = F.transform(attrs, lambda a: a["key"])
-    # Keys are unique in well-formed requests, so the search for later equals is the rare branch.
-    last = F.filter(attrs, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), a["key"]))
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(F.size(attrs) > 0, F.when(unique, to_map(attrs)).otherwise(to_map(last)))
+def _service(resource: str) -> Column:
+    """``service.name`` of the resource where it is a string, else the empty string."""
+    found = f"filter({resource}.attributes, a -> a.key = 'service.name')"
+    return F.expr(f"coalesce(try_element_at({found}, 1).value.stringValue, '')")
 
 
-def _service(resource: Column) -> Column:
-    """``service.name`` of the resource where it is a string, else the empty string."""
-    found = F.filter(resource["attributes"], lambda a: a["key"] == "service.name")
-    return F.coalesce(F.try_element_at(found, F.lit(1))["value"]["stringValue"], F.lit(""))
+def _nanos(path: str) -> Column:
+    return F.coalesce(F.col(path).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _nanos(text: Column) -> Column:
-    return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint"))
+def _time(path: str) -> Column:
+    return F.expr(_time_sql(path))
 
 
-def _time(text: Column) -> Column:
-    """Unix nanoseconds as a timestamp, cut to microseconds."""
-    return F.timestamp_micros(F.call_function("div", _nanos(text), F.lit(1000)))
+def _text(path: str) -> Column:
+    return F.coalesce(path, F.lit(""))
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def _id(path: str) -> Column:
+    return F.lower(_text(path))
 
 
 def _parsed(df: DataFrame, column: str, schema: str, root: str) -> DataFrame:
@@ -136,41 +142,33 @@ def flatten_otlp_traces(df: DataFrame, column: str = "value") -> DataFrame:
         .select("r.resource", F.explode("r.scopeSpans").alias("scope"))
         .select("resource", F.explode("scope.spans").alias("s"))
     )
-    start, end = F.col("s.startTimeUnixNano"), F.col("s.endTimeUnixNano")
-    events = F.transform(
-        "s.events",
-        lambda e: F.struct(
-            _time(e["timeUnixNano"]).alias("timestamp"),
-            _text(e["name"]).alias("name"),
-            attrs_to_map(e["attributes"]).alias("attributes"),
-        ),
+    start, end = "s.startTimeUnixNano", "s.endTimeUnixNano"
+    events = (
+        f"transform(s.events, e -> named_struct('timestamp', {_time_sql('e.timeUnixNano')}, "
+        f"'name', coalesce(e.name, ''), 'attributes', {_attrs_sql('e.attributes')}))"
     )
-    links = F.transform(
-        "s.links",
-        lambda k: F.struct(
-            F.lower(_text(k["traceId"])).alias("trace_id"),
-            F.lower(_text(k["spanId"])).alias("span_id"),
-            _text(k["traceState"]).alias("trace_state"),
-            attrs_to_map(k["attributes"]).alias("attributes"),
-        ),
+    links = (
+        "transform(s.links, l -> named_struct('trace_id', lower(coalesce(l.traceId, '')), "
+        "'span_id', lower(coalesce(l.spanId, '')), 'trace_state', coalesce(l.traceState, ''), "
+        f"'attributes', {_attrs_sql('l.attributes')}))"
     )
     return spans.select(
-        F.lower(_text(F.col("s.traceId"))).alias("trace_id"),
-        F.lower(_text(F.col("s.spanId"))).alias("span_id"),
-        F.lower(_text(F.col("s.parentSpanId"))).alias("parent_span_id"),
-        _text(F.col("s.traceState")).alias("trace_state"),
-        _service(F.col("resource")).alias("service_name"),
-        _text(F.col("s.name")).alias("operation_name"),
+        _id("s.traceId").alias("trace_id"),
+        _id("s.spanId").alias("span_id"),
+        _id("s.parentSpanId").alias("parent_span_id"),
+        _text("s.traceState").alias("trace_state"),
+        _service("resource").alias("service_name"),
+        _text("s.name").alias("operation_name"),
         _time(start).alias("start_time"),
         _time(end).alias("end_time"),
         F.call_function("div", _nanos(end) - _nanos(start), F.lit(1_000_000)).alias("duration_ms"),
         F.coalesce("s.status.code", F.lit(0)).alias("status"),
-        _text(F.col("s.status.message")).alias("status_message"),
+        _text("s.status.message").alias("status_message"),
         F.coalesce("s.kind", F.lit(0)).alias("kind"),
-        attrs_to_map(F.col("s.attributes")).alias("attributes"),
-        attrs_to_map(F.col("resource.attributes")).alias("resource_attributes"),
-        events.alias("events"),
-        links.alias("links"),
+        attrs_to_map("s.attributes").alias("attributes"),
+        attrs_to_map("resource.attributes").alias("resource_attributes"),
+        F.expr(events).alias("events"),
+        F.expr(links).alias("links"),
     )
 
 
@@ -182,19 +180,19 @@ def flatten_otlp_logs(df: DataFrame, column: str = "value") -> DataFrame:
         .select("resource", F.explode("scope.logRecords").alias("l"))
     )
     return logs.select(
-        _time(F.col("l.timeUnixNano")).alias("timestamp"),
-        F.when(_nanos(F.col("l.observedTimeUnixNano")) != 0, _time(F.col("l.observedTimeUnixNano"))).alias(
+        _time("l.timeUnixNano").alias("timestamp"),
+        F.when(_nanos("l.observedTimeUnixNano") != 0, _time("l.observedTimeUnixNano")).alias(
             "observed_timestamp"
         ),
         F.coalesce("l.severityNumber", F.lit(0)).alias("severity"),
-        _text(F.col("l.severityText")).alias("severity_text"),
-        value_text(F.col("l.body")).alias("body"),
-        _service(F.col("resource")).alias("service_name"),
-        F.lower(_text(F.col("l.traceId"))).alias("trace_id"),
-        F.lower(_text(F.col("l.spanId"))).alias("span_id"),
+        _text("l.severityText").alias("severity_text"),
+        value_text("l.body").alias("body"),
+        _service("resource").alias("service_name"),
+        _id("l.traceId").alias("trace_id"),
+        _id("l.spanId").alias("span_id"),
         F.coalesce("l.flags", F.lit(0)).cast("bigint").alias("trace_flags"),
-        attrs_to_map(F.col("resource.attributes")).alias("resource_attributes"),
-        attrs_to_map(F.col("l.attributes")).alias("log_attributes"),
+        attrs_to_map("resource.attributes").alias("resource_attributes"),
+        attrs_to_map("l.attributes").alias("log_attributes"),
         F.lit(None).cast("map<string, string>").alias("structured_fields"),
     )
 
@@ -202,7 +200,7 @@ def flatten_otlp_logs(df: DataFrame, column: str = "value") -> DataFrame:
 def _metrics(df: DataFrame, column: str) -> DataFrame:
     return (
         _parsed(df, column, METRICS_REQUEST, "resourceMetrics")
-        .select(_service(F.col("r.resource")).alias("service_name"), F.explode("r.scopeMetrics").alias("scope"))
+        .select(_service("r.resource").alias("service_name"), F.explode("r.scopeMetrics").alias("scope"))
         .select("service_name", F.explode("scope.metrics").alias("m"))
     )
 
@@ -210,10 +208,10 @@ def _metrics(df: DataFrame, column: str) -> DataFrame:
 def _point_columns(kind: Column) -> list[Column]:
     return [
         F.col("m.name").alias("name"),
-        _text(F.col("m.description")).alias("description"),
-        _text(F.col("m.unit")).alias("unit"),
+        _text("m.description").alias("description"),
+        _text("m.unit").alias("unit"),
         kind.alias("type"),
-        attrs_to_map(F.col("p.attributes")).alias("labels"),
+        attrs_to_map("p.attributes").alias("labels"),
     ]
 
 
@@ -235,7 +233,7 @@ def flatten_otlp_metrics(df: DataFrame, column: str = "value") -> DataFrame:
     return points.select(
         *_point_columns(F.col("kind")),
         F.coalesce("p.asDouble", F.col("p.asInt").try_cast("double"), F.lit(0.0)).alias("value"),
-        _time(F.col("p.timeUnixNano")).alias("timestamp"),
+        _time("p.timeUnixNano").alias("timestamp"),
         "service_name",
     )
 
@@ -246,7 +244,7 @@ def flatten_otlp_histograms(df: DataFrame, column: str = "value") -> DataFrame:
     return points.select(
         *_point_columns(F.lit(HISTOGRAM)),
         F.coalesce("p.sum", F.lit(0.0)).alias("value"),
-        _time(F.col("p.timeUnixNano")).alias("timestamp"),
+        _time("p.timeUnixNano").alias("timestamp"),
         "service_name",
         F.coalesce(F.col("p.count").try_cast("bigint"), F.lit(0)).alias("count"),
         F.coalesce("p.sum", F.lit(0.0)).alias("sum"),
