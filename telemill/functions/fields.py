@@ -147,15 +147,14 @@ def fnv1a_hex(text: Column | str) -> Column:
     ``high * 435 + carry + (low << 8)``.
     """
     text = _col(text)
-    digits = F.hex(F.encode(text, "UTF-8"))
-    n_bytes = F.octet_length(text)
-    positions = F.when(n_bytes > 0, F.sequence(F.lit(1), n_bytes)).otherwise(F.array().cast("array<int>"))
-
-    def step(state: Column, i: Column) -> Column:
-        byte = F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-        low = state["low"].bitwiseXOR(byte) * FNV_PRIME_LOW
-        mixed_low = state["low"].bitwiseXOR(byte)
-        high = state["high"] * FNV_PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(mixed_low, 8)
+    # Read as ISO-8859-1 the UTF-8 bytes become characters of the same code, split once in linear time.
+    chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    chars = F.when(F.octet_length(text) > 0, chars).otherwise(F.array().cast("array<string>"))
+
+    def step(state: Column, char: Column) -> Column:
+        mixed = state["low"].bitwiseXOR(F.ascii(char).cast("bigint"))
+        low = mixed * FNV_PRIME_LOW
+        high = state["high"] * FNV_PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(mixed, 8)
         return F.struct(
             high.bitwiseAND(F.lit(_LOW32)).alias("high"),
             low.bitwiseAND(F.lit(_LOW32)).alias("low"),
@@ -170,7 +169,7 @@ def fnv1a_hex(text: Column | str) -> Column:
             state["high"] > 0, F.concat(F.lower(F.hex(state["high"])), F.lpad(low_hex, 8, "0"))
         ).otherwise(low_hex)
 
-    return F.when(text.isNotNull(), F.aggregate(positions, basis, step, finish))
+    return F.when(text.isNotNull(), F.aggregate(chars, basis, step, finish))
 
 
 def extract_body_fields(body: Column | str) -> Column:

@@ -21,7 +21,7 @@ def column(spark, kind, *values):
 
 
 def test_fnv_vectors(spark):
-    texts = ["", "a", "foobar", "grüße ✓", "x" * 300]
+    texts = ["", "a", "foobar", "grüße ✓", "x" * 300, "a\nb\x00c\r\n", "\n", "日本語 😀"]
     # A text whose hash has leading zeros is written without them.
     short = next(t for t in (f"{i * i}-{i}" for i in range(100000)) if len(fnv(t)) < 15)
     df = column(spark, "string", *texts, short, None)
