@@ -30,10 +30,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
+def drain(stream: DataFrame, purpose: str, base: str | None = None) -> DataFrame:
     """Run a stream over all available data into a Parquet folder; the rows written."""
     spark = stream.sparkSession
-    base = shared_dir(spark, purpose)
+    base = base or shared_dir(spark, purpose)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/rows")
@@ -56,6 +56,24 @@ STREAM_MULTI_WINDOW = metric_queries.window_sql(
 )
 
 
+def stream_window_cascade(spark, sf_dir):
+    """Minutes from the raw stream into a table; hours and days from a stream over that table."""
+    points = views.event_metrics_of(event_stream(spark, sf_dir)).filter(F.col("name") == "app_value")
+    base = shared_dir(spark, "minutes")
+    minutes = drain(windows.stream_multi_window(points, DELAY, {"1m": 60}), "minutes", base)
+    again = spark.readStream.schema(minutes.schema).parquet(f"{base}/rows")
+    coarser = drain(windows.stream_coarser_windows(again, {"5m": 300, "1h": 3600, "1d": 86400}), "coarser")
+    return metric_queries.window_columns(minutes.unionByName(coarser))
+
+
+_LAST_MINUTE_US = f"""(SELECT max((epoch_us(ts) // 60000000) * 60000000) FROM events
+  WHERE (epoch_us(ts) // 60000000) * 60000000 + 60000000 <= {_CLOSED_US})"""
+STREAM_WINDOW_CASCADE = metric_queries.window_sql(
+    where=f"""name = 'app_value' AND (epoch_us("timestamp") // us) * us + us
+      <= CASE WHEN window_size = '1m' THEN {_CLOSED_US} ELSE {_LAST_MINUTE_US} END"""
+)
+
+
 def stream_severity_counts(spark, sf_dir):
     counts = drain(windows.stream_severity_counts(views.logs_of(event_stream(spark, sf_dir)), DELAY), "severity")
     return counts.select(
@@ -158,6 +176,7 @@ def _alert_sql(name: str) -> str:
 
 QUERIES = {
     "stream_multi_window": (stream_multi_window, STREAM_MULTI_WINDOW),
+    "stream_window_cascade": (stream_window_cascade, STREAM_WINDOW_CASCADE),
     "stream_severity_counts": (stream_severity_counts, STREAM_SEVERITY_COUNTS),
     "stream_log_fields": (stream_log_fields, STREAM_LOG_FIELDS),
     "stream_trace_summaries": (stream_trace_summaries, trace_queries.INCREMENTAL_SUMMARIES),

@@ -13,41 +13,65 @@ from telemill.operators.spans import trace_states
 DEFAULT_DELAY = "10 minutes"
 
 
+_KEYS = ["name", "service_name", "labels"]
+
+
+def _emitted(windowed: DataFrame, size: str) -> DataFrame:
+    return windowed.select(
+        *_KEYS,
+        F.lit(size).alias("window_size"),
+        F.col("w.start").alias("bucket"),
+        "sum",
+        "count",
+        "min",
+        "max",
+        F.try_divide("sum", "count").alias("avg"),
+    )
+
+
+def _stream_window(points: DataFrame, size: str, seconds: int) -> DataFrame:
+    windowed = points.groupBy(F.window("timestamp", f"{seconds} seconds").alias("w"), *_KEYS).agg(
+        F.sum("value").alias("sum"),
+        F.count("value").alias("count"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    return _emitted(windowed, size)
+
+
 def stream_multi_window(
     points: DataFrame, delay: str = DEFAULT_DELAY, sizes: Mapping[str, int] | None = None
 ) -> DataFrame:
     """sum, count, min, max, avg per series, service and tumbling window, each window emitted once.
 
-    One watermarked source feeds one aggregate per size; their union is a single append-mode query.  A
-    window is emitted when the watermark passes its end, later rows for it are dropped (see
-    :func:`late_rows`).  Use update mode where a day's bucket is wanted before the day is over.
+    One watermark, one aggregate per size, their union a single append-mode query.  A window is emitted
+    when the watermark passes its end, later rows for it are dropped (see :func:`late_rows`); a row late
+    for its minute still counts for its hour.  Every size reads the source.  For large streams run the
+    finest size alone, write it to a table and feed that to :func:`stream_coarser_windows`.
     """
     source = points.withWatermark("timestamp", delay)
+    frames = [_stream_window(source, size, seconds) for size, seconds in (sizes or WINDOW_SECONDS).items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def stream_coarser_windows(finest: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+    """Coarser windows merged from a stream of emitted finest windows, read from their table.
+
+    The raw points are then read and aggregated once, whatever the number of sizes.  Finest windows are
+    emitted in time order from batch to batch, so no delay is needed here: a window closes with the first
+    finest window beyond it.  A row late for its finest window is missing from the coarser ones too.
+    Every size must be a multiple of the finest.
+    """
+    source = finest.select(*_KEYS, "bucket", "sum", "count", "min", "max").withWatermark("bucket", "0 seconds")
     frames = []
-    for size, seconds in (sizes or WINDOW_SECONDS).items():
-        frames.append(
-            source.groupBy(
-                F.window("timestamp", f"{seconds} seconds").alias("w"), "name", "service_name", "labels"
-            )
-            .agg(
-                F.sum("value").alias("sum"),
-                F.count("value").alias("count"),
-                F.min("value").alias("min"),
-                F.max("value").alias("max"),
-            )
-            .select(
-                "name",
-                "service_name",
-                "labels",
-                F.lit(size).alias("window_size"),
-                F.col("w.start").alias("bucket"),
-                "sum",
-                "count",
-                "min",
-                "max",
-                F.try_divide("sum", "count").alias("avg"),
-            )
+    for size, seconds in sizes.items():
+        windowed = source.groupBy(F.window("bucket", f"{seconds} seconds").alias("w"), *_KEYS).agg(
+            F.sum("sum").alias("sum"),
+            F.sum("count").alias("count"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
         )
+        frames.append(_emitted(windowed, size))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -142,3 +142,19 @@ def test_severity_stream_equals_batch_on_closed_minutes(spark, tmp_path):
     columns = ["service_name", "severity", "bucket", "cnt"]
     closed = severity_counts(df).filter(f"bucket < timestamp'{at(600).replace(tzinfo=None).isoformat()}'")
     assert sorted(rows(result(spark, stream, out), *columns)) == sorted(rows(closed, *columns))
+
+
+def test_cascade_reads_minutes_only(spark, tmp_path):
+    source, fine, out = str(tmp_path / "in"), str(tmp_path / "fine"), str(tmp_path / "out")
+    data = [point("m", i % 17, i * 13, a=str(i % 2)) for i in range(200)]
+    for part in (data[:90], data[90:150], data[150:]):
+        points(spark, *part).coalesce(1).write.mode("append").parquet(source)
+        minutes = windows.stream_multi_window(spark.readStream.schema(METRIC_SCHEMA).parquet(source), "1 minute", {"1m": 60})
+        run(minutes, fine)
+        coarser = windows.stream_coarser_windows(spark.readStream.schema(minutes.schema).parquet(f"{fine}/rows"), {"5m": 300})
+        run(coarser, out)
+    got = window_rows(result(spark, coarser, out))
+    batch = metric_ops.multi_window_aggregate(points(spark, *data), {"5m": 300})
+    # The last point is at 2587 s, so minutes up to 2520 s are closed and five minutes up to 2400 s.
+    closed = batch.filter(f"bucket + interval 5 minutes <= timestamp'{at(2400).replace(tzinfo=None).isoformat()}'")
+    assert got == window_rows(closed) and len(got) == 16
