@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from telemill.operators.processors import run_processors
-from telemill.sources.tables import fan_out
+from telemill.sources.tables import BatchWriter, fan_out
 from telemill.sources.topics import DEFAULT_TRIGGER
 
 Step = Callable[[DataFrame], DataFrame]
 
 
-def ingest_batch(rows: DataFrame, steps: Sequence[Step], writers: Sequence[Callable[[DataFrame], None]]) -> None:
+def ingest_batch(rows: DataFrame, steps: Sequence[Step], writers: Sequence[BatchWriter]) -> None:
     """Run the steps and hand what is left to every writer."""
     fan_out(writers)(run_processors(rows, steps), 0)
 
@@ -22,7 +22,7 @@ def ingest_batch(rows: DataFrame, steps: Sequence[Step], writers: Sequence[Calla
 def ingest_stream(
     rows: DataFrame,
     steps: Sequence[Step],
-    writers: Sequence[Callable[[DataFrame], None]],
+    writers: Sequence[BatchWriter],
     checkpoint: str,
     trigger: Mapping | None = None,
 ) -> DataStreamWriter:
@@ -42,7 +42,7 @@ def ingest_stream(
 def ingest_signals(
     signals: Mapping[str, DataFrame],
     steps: Mapping[str, Sequence[Step]],
-    writers: Mapping[str, Sequence[Callable[[DataFrame], None]]],
+    writers: Mapping[str, Sequence[BatchWriter]],
 ) -> None:
     """Spans, logs and metrics of one batch, each through its own steps and writers."""
     for signal, rows in signals.items():

@@ -148,8 +148,8 @@ def stored_spans(spark, sf_dir):
     spans = spans.withColumn("links", F.lit(None).cast(SPAN_SCHEMA["links"].dataType))
     fan_out(
         [
-            lambda batch: tables.write_spans(batch, f"{base}/spans"),
-            lambda batch: topics.encode(batch, topics.TOPIC_KEYS["spans"]).write.parquet(f"{base}/topic"),
+            lambda batch, _: tables.write_spans(batch, f"{base}/spans"),
+            lambda batch, _: topics.encode(batch, topics.TOPIC_KEYS["spans"]).write.parquet(f"{base}/topic"),
         ]
     )(spans, 0)
     found = prune_days(

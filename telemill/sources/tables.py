@@ -48,10 +48,15 @@ def write_table(df: DataFrame, path: str, layout: TableLayout, mode: str = "appe
     dated.sortWithinPartitions(*order).write.mode(mode).partitionBy("_date").parquet(path)
 
 
-def write_spans(spans: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
+def stored_form(spans: DataFrame) -> DataFrame:
     """Spans with events and links as JSON text."""
-    stored = spans.withColumn("events", F.to_json("events", JSON_OPTIONS)).withColumn("links", F.to_json("links"))
-    write_table(stored, path, SPANS, mode, cluster)
+    return spans.withColumn("events", F.to_json("events", JSON_OPTIONS)).withColumn(
+        "links", F.to_json("links", JSON_OPTIONS)
+    )
+
+
+def write_spans(spans: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
+    write_table(stored_form(spans), path, SPANS, mode, cluster)
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
@@ -86,16 +91,33 @@ def apply_retention(df: DataFrame, layout: TableLayout, as_of, days: int = DEFAU
 
 
 def rewrite_retained(spark: SparkSession, path: str, target: str, layout: TableLayout, as_of, days: int) -> None:
-    """Copy what retention keeps to a new folder; whole expired days are never read."""
-    kept = apply_retention(read_table(spark, path), layout, as_of, days)
-    kept.sortWithinPartitions("_date", *layout.sort_columns).write.partitionBy("_date").parquet(target)
+    """Copy what retention keeps to a new folder, clustered; whole expired days are never read."""
+    kept = apply_retention(read_table(spark, path), layout, as_of, days).drop("batch")
+    write_table(kept, target, layout, "errorifexists")
+
+
+BatchWriter = Callable[[DataFrame, int], None]
+
+
+def batch_writer(path: str, layout: TableLayout, prepare: Callable[[DataFrame], DataFrame] | None = None) -> BatchWriter:
+    """Writer of micro-batches to a table by day.
+
+    A batch owns its folder and replaces it when it is delivered again, so a restart or a failed
+    neighbour in a fan-out leaves no rows twice.  ``rewrite_retained`` compacts the folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = prepare(batch) if prepare else batch
+        write_table(rows, f"{path}/batch={batch_id}", layout, "overwrite", cluster=False)
+
+    return write
 
 
-def fan_out(writers: Sequence[Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function handing every non-empty batch to all writers.
+def fan_out(writers: Sequence[BatchWriter]) -> BatchWriter:
+    """A ``foreachBatch`` function handing every non-empty batch, with its number, to all writers.
 
     A writer that fails does not keep the others from running; all errors are raised together at the
-    end.  The batch is persisted once for all writers.
+    end, and the batch comes again to all of them.  It is persisted once for all writers.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -106,7 +128,7 @@ def fan_out(writers: Sequence[Callable[[DataFrame], None]]) -> Callable[[DataFra
             errors = []
             for writer in writers:
                 try:
-                    writer(batch)
+                    writer(batch, batch_id)
                 except Exception as error:  # collected, raised below
                     errors.append(error)
             if errors:

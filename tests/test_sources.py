@@ -185,15 +185,15 @@ def test_fan_out_collects_errors(spark):
     written = []
 
     def fails(name):
-        def write(batch):
+        def write(batch, batch_id):
             raise OSError(name)
 
         return write
 
-    write = tables.fan_out([fails("one"), lambda b: written.append(b.count()), fails("two")])
+    write = tables.fan_out([fails("one"), lambda b, i: written.append((b.count(), i)), fails("two")])
     with pytest.raises(RuntimeError, match="one.*two"):
         write(spans(spark, span("t", "s")), 0)
-    assert written == [1]
+    assert written == [(1, 0)]
     tables.fan_out([fails("never")])(spans(spark), 1)  # nothing to write, nobody called
 
 
@@ -202,8 +202,22 @@ def test_ingest_signals(spark):
     ingest_signals(
         {"spans": spans(spark, span("t", "s", service="A B")), "logs": logs(spark, log("x")), "metrics": points(spark, point("m", 1))},
         {"spans": [normalize_services], "logs": [lambda d: d.filter(F.lit(False))]},
-        {s: [lambda b, s=s: out.__setitem__(s, rows(b, "service_name"))] for s in ("spans", "logs", "metrics")},
+        {s: [lambda b, _, s=s: out.__setitem__(s, rows(b, "service_name"))] for s in ("spans", "logs", "metrics")},
     )
     assert out == {"spans": [("a-b",)], "metrics": [("svc",)]}
-    ingest_batch(frame(spark, LOG_SCHEMA, []), [], [lambda b: out.clear()])
+    ingest_batch(frame(spark, LOG_SCHEMA, []), [], [lambda b, _: out.clear()])
     assert out
+
+
+def test_batches_own_their_folders_and_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "spans")
+    write = tables.batch_writer(path, tables.SPANS, tables.stored_form)
+    first = spans(spark, span("t", "1", events=[(at(0), "e", None)]), span("t", "2", start=86400))
+    write(first, 0)
+    write(spans(spark, span("t", "3", start=1)), 1)
+    write(first, 0)  # delivered again
+    back = tables.read_spans(spark, path)
+    assert sorted(rows(back, "span_id", "batch")) == [("1", 0), ("2", 0), ("3", 1)]
+    tables.rewrite_retained(spark, path, str(tmp_path / "kept"), tables.SPANS, at(7 * 86400 + 0.5), 7)
+    kept = tables.read_spans(spark, str(tmp_path / "kept"))
+    assert sorted(rows(kept, "span_id")) == [("2",), ("3",)] and "batch" not in kept.columns
