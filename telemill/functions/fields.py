@@ -208,10 +208,11 @@ def matches_label(labels: Column | str, key: str, op: str, value: str) -> Column
         return got == value
     if op == "!=":
         return got != value
+    whole = rf"\A(?:{value})\z"
     if op == "=~":
-        return got.rlike(f"^(?:{value})$")
+        return got.rlike(whole)
     if op == "!~":
-        return ~got.rlike(f"^(?:{value})$")
+        return ~got.rlike(whole)
     raise ValueError(f"unknown matcher operator {op!r}; use one of {MATCH_OPERATORS}")
 
 

@@ -43,11 +43,17 @@ def test_label_lookup_and_matchers(spark):
     assert values(("status", "=~", "5.")) == []
     assert values(("status", "=~", "2|5..")) == [1]
     assert values(("status", "!~", "5..")) == [2, 42]
+    assert values(("status", "=~", "50|503")) == [1]
     assert values(("status", "=~", ".*"), ("method", "!=", "")) == [42]
     with pytest.raises(ValueError):
         values(("status", "~", "x"))
 
 
+def test_patterns_match_the_whole_value_including_a_final_newline(spark):
+    df = points(spark, point("m", 1, s="ok\n"), point("m", 2, s="ok"))
+    assert rows(ops.select_points(df, Selector("m", [("s", "=~", "ok")]), at(0), at(0)), "value") == [(2.0,)]
+
+
 def test_select_points_order_service_limit(spark):
     df = points(spark, point("m", 3, 3), point("m", 1, 1), point("m", 2, 2, service="o"), point("n", 9, 1), point("m", 4, 9))
     assert rows(ops.select_points(df, Selector("m"), at(0), at(3)), "value") == [(1,), (2,), (3,)]
