@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup, line_chunks, mixing, quality
+from telemill.llm import bpe, exact_dedup, line_chunks, mixing, quality, secret_scan, token_shards
 from telemill.llm.shared import LOWER, UPPER, table
+from telemill.session import shared_dir
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trips(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -125,9 +132,35 @@ SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER
 FROM m GROUP BY doc_id
 """
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "token-shards")
+    token_shards.write_shards(table(spark, sf_dir, "documents"), out, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_shards.read_shards(spark.read.parquet(out))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), shared_dir(spark, "ledger"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    def only(*kinds):
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(only(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE],
+        F.sha2(listed(only(*secret_scan.BASE)), 256).alias("base_sha256"),
+        listed(F.col("findings")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op1_bpe": (op1_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_mixing": (op5_mixing, _op5_sql()),
     "op6_quality": (op6_quality, OP6_SQL),
+    "op7_token_shards": (op7_token_shards, None),
     "op8_line_chunks": (op8_line_chunks, OP8_SQL),
+    "op9_secret_scan": (op9_secret_scan, None),
 }
