@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, line_chunks, mixing, quality, secret_scan, token_shards
+from telemill.llm import bpe, exact_dedup, line_chunks, mixing, near_dedup, quality, secret_scan, token_shards
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -155,6 +155,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
@@ -163,4 +167,5 @@ QUERIES = {
     "op7_token_shards": (op7_token_shards, None),
     "op8_line_chunks": (op8_line_chunks, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
+    "op10_near_dedup": (op10_near_dedup, None),
 }
