@@ -6,9 +6,11 @@ shared folder and reads it again as the next stage's documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup, mixing, quality
+from telemill.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from telemill.llm.shared import table, written
 
 
@@ -22,15 +24,29 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_exact(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest id."""
+    return near_dedup.drop_near(docs)
+
+
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, a document once for each time it is taken."""
     return mixing.mixed(docs)
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the token ids of every row of the mix."""
+    ranks = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_offsets=False)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_duplicates),
+    ("near duplicates", near_duplicates),
     ("mixing", source_weights),
+    ("encoding", encoding),
 ]
 
 #: Near duplicates and encoding are beyond SQL; tests/llm compares the rows with a brute-force version.
