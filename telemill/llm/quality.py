@@ -184,6 +184,10 @@ def without_frequent_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, share: f
 
 
 def keep_good(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    gone = quality(docs, min_texts, share).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents that pass, with all their columns.
+
+    The verdicts are written first: a filter on them would else be pushed into the expressions and repeat them.
+    """
+    verdicts = written(quality(docs, min_texts, share).select("doc_id", "kept"), "quality")
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
