@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, line_chunks, mixing, near_dedup, quality, secret_scan, token_shards
+from telemill.llm import bpe, exact_dedup, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -18,6 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_strings(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -161,6 +165,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_mixing": (op5_mixing, _op5_sql()),
     "op6_quality": (op6_quality, OP6_SQL),
