@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards
+from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -22,6 +22,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeated_strings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -166,6 +170,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op3_html_main": (op3_html_main, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_mixing": (op5_mixing, _op5_sql()),
     "op6_quality": (op6_quality, OP6_SQL),
