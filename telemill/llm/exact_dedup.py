@@ -68,6 +68,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_gone"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns.  Rows are matched by id and text."""
+    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_same"))
+    same = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)) == dropped["_same"]
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_gone"]) & same, "left_anti")

@@ -141,7 +141,9 @@ def mixed(docs: DataFrame, depth: int = TREE_DEPTH, per_shard: int = BLOCKS_PER_
     copies = mix(docs, depth, per_shard).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.explode("copies").alias("_copy")
     )
-    rows = docs.join(copies, docs["doc_id"] == F.col("_id"))
+    columns = docs.columns
+    held = docs.toDF(*[f"_c{i}" for i in range(len(columns))])  # whatever the names, none clashes
+    rows = held.join(copies, F.col(f"_c{columns.index('doc_id')}") == F.col("_id"))
     rows = rows.withColumn("_order", _key(F.lit("row"), "_id", F.col("_copy.pass")))
     shuffled = rows.repartitionByRange(F.col("_copy.shard"), F.col("_order")).sortWithinPartitions("_copy.shard", "_order")
-    return shuffled.select(*[docs[c] for c in docs.columns])
+    return shuffled.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])

@@ -184,7 +184,7 @@ def without_frequent_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, share: f
 
 
 def keep_good(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """The documents that pass, with all their columns.
+    """The documents that pass, with all their columns.  Rows that share an id, or have none, stay if all of them pass.
 
     The verdicts are written first: a filter on them would else be pushed into the expressions and repeat them.
     """
