@@ -2,9 +2,10 @@
 
 Lines are hashed (first 32 bits of their MD5); a rolling hash over the last ``SPAN`` line hashes ends a chunk where it
 is divisible by ``DIVISOR``.  Boundaries depend on the lines around them only, so that inserted or lost lines shift no
-later boundary.  Chunks of two or more lines that occur more than once in the corpus are candidates by hash and length;
-only their texts are then compared byte by byte (grouped on the text itself, with a map-side minimum), and every
-occurrence but the first (smallest doc_id, then position) is removed.
+later boundary.  Chunks of two or more lines that occur more than once in the corpus are candidates by hash and length, found
+on rows without text; only their texts are then fetched and compared byte by byte (grouped on the text itself, with a
+map-side minimum), and every occurrence but the first (smallest doc_id, then position) is removed.  Texts move twice:
+once to the candidate places, once to the verdicts.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ def _ends(hashes: str) -> Column:
     return F.transform(hashes, end)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """_id, _lines and _chunks: array of (from, n) over the lines of each text, 0-based."""
-    lines = docs.select(F.col("doc_id").alias("_id"), F.split(whole(), "\n").alias("_lines"))
+def chunked(docs: DataFrame, *carried: str) -> DataFrame:
+    """_id, _lines, _chunks (array of start and n over the lines of each text, 0-based) and the carried columns."""
+    lines = docs.select(F.col("doc_id").alias("_id"), *carried, F.split(whole(), "\n").alias("_lines"))
     hashed = lines.withColumn("_hashes", F.transform("_lines", hash32))
     ends = hashed.withColumn("_ends", _ends("_hashes"))
     stops = ends.withColumn(
@@ -47,26 +48,35 @@ def chunked(docs: DataFrame) -> DataFrame:
     ).drop("_stops")
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """One row per multi-line chunk: _id, _at, _chunk (its text)."""
-    many = F.filter("_chunks", lambda c: c["n"] >= LEAST_LINES)
+def _many(rows: DataFrame, *values: Column) -> DataFrame:
+    """One row per multi-line chunk that holds a word: _id, _at and values of its text, column ``_chunk``."""
     parts = F.transform(
-        many,
+        F.filter("_chunks", lambda c: c["n"] >= LEAST_LINES),
         lambda c: F.struct(c["start"].alias("at"), F.array_join(F.slice("_lines", c["start"] + 1, c["n"]), "\n").alias("text")),
     )
-    return rows.select("_id", F.explode(parts).alias("_p")).select("_id", F.col("_p.at").alias("_at"), F.col("_p.text").alias("_chunk"))
+    chunks = rows.select("_id", F.explode(parts).alias("_p"))
+    chunks = chunks.select("_id", F.col("_p.at").alias("_at"), F.col("_p.text").alias("_chunk"))
+    return chunks.filter(F.col("_chunk").rlike(WORD)).select("_id", "_at", *values)
+
+
+def _by_document(places: DataFrame, name: str) -> DataFrame:
+    """The places of each document, as ``name``; to be merged by id, like documents of any number."""
+    return places.groupBy("_id").agg(F.collect_set("_at").alias(name)).withColumnRenamed("_id", "_of").hint("merge")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """_id, _at of every chunk that occurs earlier too.  Chunks without a word are left alone."""
-    chunks = _texts(chunked(docs)).filter(F.col("_chunk").rlike(WORD))
-    keyed = chunks.withColumns({"_hash": F.xxhash64("_chunk"), "_size": F.octet_length("_chunk")})
-    often = keyed.groupBy("_hash", "_size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash", "_size")
-    often = written(often, "chunk-hashes")
-    candidates = written(keyed.join(often, ["_hash", "_size"], "left_semi"), "chunk-texts")
-    first = candidates.groupBy("_hash", "_chunk").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    key = (F.xxhash64("_chunk").alias("_hash"), F.octet_length("_chunk").alias("_size"))
+    hashes = written(_many(chunked(docs), *key), "chunk-hashes")
+    often = hashes.groupBy("_hash", "_size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash", "_size")
+    maybe = _by_document(hashes.join(often, ["_hash", "_size"], "left_semi"), "_ats")
+    rows = docs.select("doc_id", "text").join(maybe, F.col("doc_id").eqNullSafe(F.col("_of")))
+    rows = chunked(rows, "_ats").withColumn("_chunks", F.filter("_chunks", lambda c: F.array_contains("_ats", c["start"])))
+    texts = written(_many(rows, key[0], F.col("_chunk")), "chunk-texts")
+    # Grouped on the text itself: equal hashes of unequal texts stay apart.
+    first = texts.groupBy("_hash", "_chunk").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = written(first.filter("_n > 1").drop("_n"), "chunk-firsts")
-    joined = candidates.join(first, ["_hash", "_chunk"])
+    joined = texts.join(first, ["_hash", "_chunk"])
     return joined.filter(F.struct("_id", "_at") != F.col("_first")).select("_id", "_at")
 
 
@@ -76,15 +86,15 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     One row per row of ``docs``; a null text counts as empty, which is one empty line.  Rows that repeat an id are told
     apart by neither id nor place and count as one occurrence.  Null ids rank first.  Other columns are not read.
     """
-    gone = repeated_chunks(docs).groupBy("_id").agg(F.collect_set("_at").alias("_gone")).withColumnRenamed("_id", "_of")
-    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    parts = chunked(rows.select(F.struct("doc_id", "_gone").alias("doc_id"), "text"))
-    stay = F.filter("_chunks", lambda c: ~F.array_contains(F.coalesce("_id._gone", F.array().cast("array<int>")), c["start"]))
-    kept = parts.withColumn("_stay", stay)
+    gone = _by_document(repeated_chunks(docs), "_gone")
+    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    none = F.array().cast("array<int>")
+    stay = F.filter("_chunks", lambda c: ~F.array_contains(F.coalesce("_gone", none), c["start"]))
+    kept = chunked(rows, "_gone").withColumn("_stay", stay)
     text = F.array_join(F.flatten(F.transform("_stay", lambda c: F.slice("_lines", c["start"] + 1, c["n"]))), "\n")
     left = F.aggregate("_stay", F.lit(0), lambda a, c: a + c["n"])
     return kept.select(
-        F.col("_id.doc_id").alias("doc_id"),
+        F.col("_id").alias("doc_id"),
         text.alias("text"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_chunks").cast("long").alias("n_chunks"),
