@@ -193,6 +193,16 @@ def sorted_labels(labels: Column | str = "labels") -> Column:
     return F.coalesce(F.sort_array(F.map_entries(_col(labels))), none)
 
 
+#: Label under which a vector's series carries the service.
+SERVICE_LABEL = "__service__"
+
+
+def service_series(labels: Column | str = "labels", service: str = "service_name") -> Column:
+    """Label entries sorted by key, then the service, as one series key."""
+    own = F.struct(F.lit(SERVICE_LABEL).alias("key"), F.coalesce(service, F.lit("")).alias("value"))
+    return F.array_append(sorted_labels(labels), own)
+
+
 def series_key(labels: Column | str = "labels") -> Column:
     """Canonical text of a label set: JSON with sorted keys."""
     return F.to_json(F.map_from_entries(sorted_labels(labels)))

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telemill.functions.fields import compare, sorted_labels
+from telemill.functions.fields import compare, service_series, sorted_labels
 from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, tick_cover, to_ticks, ts_lit
 from telemill.operators.joins import small_side
 from telemill.operators.metrics import Selector, tag_selected
@@ -70,7 +70,7 @@ def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end
     return (
         prune_days(points, "timestamp", start, end)
         .transform(tag_selected, selectors, "rule_name")
-        .select("rule_name", sorted_labels().alias("series"), "timestamp", "value")
+        .select("rule_name", service_series().alias("series"), "timestamp", "value")
     )
 
 
@@ -291,15 +291,21 @@ def matched_by(matchers: Column, labels: Column) -> Column:
     return F.forall(matchers, one)
 
 
-def unsilenced(transitions: DataFrame, silences: DataFrame) -> DataFrame:
+def unsilenced(transitions: DataFrame, silences: DataFrame, start=None, end=None) -> DataFrame:
     """Transitions not covered by a silence in effect at their tick.
 
+    Given the range of the ticks, silences are clipped to it, so one without an end costs no more days than that.
+
     A silence is copied to the days it touches, so the match is an equality on the day with the exact
     times and matchers as further conditions: a hash join, never every transition against every silence.
     """
     starts, ends = F.unix_micros("starts_at"), F.unix_micros("ends_at")
+    if start is not None:
+        starts = F.greatest(starts, long_lit(micros(start)))
+    if end is not None:
+        ends = F.least(ends, long_lit(micros(end) + 1))
     days = F.sequence(F.floor(starts / long_lit(DAY_US)), F.floor((ends - 1) / long_lit(DAY_US)))
-    by_day = silences.filter(F.col("ends_at") > F.col("starts_at")).select(
+    by_day = silences.filter(starts < ends).select(
         F.explode(days).alias("s_day"), starts.alias("s_from"), ends.alias("s_to"), "matchers"
     )
     day = F.floor(F.col("tick_us") / long_lit(DAY_US))

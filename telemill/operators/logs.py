@@ -11,9 +11,9 @@ from telemill.functions.fields import (
 )
 from telemill.functions.timegrid import MICROS, bucket_start, floor_div, long_lit, prune_days
 from telemill.operators.joins import rows_of_keys
+from telemill.operators.metrics import top
 
 DEFAULT_LIMIT = 200
-DEFAULT_WINDOW_S = 15 * 60
 DROP_UP_TO_SEVERITY = 5
 
 
@@ -46,17 +46,17 @@ def log_condition(
     return condition
 
 
-def search_logs(logs: DataFrame, start, end, *, limit: int | None = None, **filters) -> DataFrame:
-    """Log records of ``[start, end]`` that pass the filters, newest first."""
-    return (
+def search_logs(logs: DataFrame, start, end, *, limit: int | None = DEFAULT_LIMIT, **filters) -> DataFrame:
+    """Log records of ``[start, end]`` that pass the filters, newest first; no limit (None, 0) means all."""
+    found = (
         prune_days(logs, "timestamp", start, end)
         .filter(log_condition(**filters))
         .orderBy(F.desc("timestamp"), F.desc("trace_id"), F.desc("span_id"))
-        .limit(limit if limit and limit > 0 else DEFAULT_LIMIT)
     )
+    return top(found, limit)
 
 
-def keyword_search(logs: DataFrame, keyword: str, start, end, *, limit: int | None = None) -> DataFrame:
+def keyword_search(logs: DataFrame, keyword: str, start, end, *, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Records whose body contains the keyword, ignoring ASCII case; newest first."""
     if not keyword:
         raise ValueError("keyword is required")
@@ -64,15 +64,17 @@ def keyword_search(logs: DataFrame, keyword: str, start, end, *, limit: int | No
 
 
 def at_least_severity(
-    logs: DataFrame, min_severity: int, start, end, *, service: str | None = None, limit: int | None = None
+    logs: DataFrame, min_severity: int, start, end, *, service: str | None = None, limit: int | None = DEFAULT_LIMIT
 ) -> DataFrame:
     return search_logs(logs, start, end, min_severity=min_severity, service=service, limit=limit)
 
 
-def log_context(logs: DataFrame, trace_id: str) -> DataFrame:
-    """All log records of one trace, oldest first."""
+def log_context(logs: DataFrame, trace_id: str, start=None, end=None) -> DataFrame:
+    """All log records of one trace, oldest first.  With the range in which it ran, only those days are read."""
     if not trace_id:
         raise ValueError("trace_id is required")
+    if start is not None and end is not None:
+        logs = prune_days(logs, "timestamp", start, end)
     return logs.filter(F.col("trace_id") == trace_id).orderBy("timestamp", "trace_id", "span_id")
 
 

@@ -1,8 +1,12 @@
 """Metric selection, rollups, series listings and vector functions.
 
-A series is a metric name and a label set.  Maps cannot be join or window keys, so inside a plan the
-label set travels as ``series``: its entries sorted by key, an array that Spark can hash and order.
+A listed series is a metric name and a label set.  Maps cannot be join or window keys, so inside a plan
+the label set travels as ``series``: its entries sorted by key, an array that Spark can hash and order.
 ``map_from_entries`` turns it back into labels.
+
+Vector functions keep the services apart, as rollups do: equal labels of two services are two series, and
+their counters must not be read as one.  There ``series`` ends with the reserved label ``__service__``;
+``aggregate_series`` merges services unless that label is kept.
 """
 
 from __future__ import annotations
@@ -12,14 +16,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from telemill.functions.fields import MATCH_OPERATORS, matches_label, series_key, sorted_labels
+from telemill.functions.fields import MATCH_OPERATORS, matches_label, series_key, service_series, sorted_labels
 from telemill.functions.timegrid import MICROS, bucket_start, micros, prune_days, tick_cover, to_ticks
 
-DEFAULT_POINTS = 10_000
 DEFAULT_SERIES = 1_000
-DEFAULT_SEARCH_SERIES = 500
 DEFAULT_VALUES = 1_000
-MAX_STEPS = 11_000
 
 Matcher = tuple[str, str, str]  # (label, operator, value)
 
@@ -32,6 +33,16 @@ def with_series(points: DataFrame) -> DataFrame:
     return points.withColumn("series", sorted_labels())
 
 
+def with_service_series(points: DataFrame) -> DataFrame:
+    """``series`` of a vector: the labels, then the service where the points have one."""
+    return points.withColumn("series", service_series() if "service_name" in points.columns else sorted_labels())
+
+
+def top(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; None, zero or less mean all."""
+    return rows.limit(limit) if limit and limit > 0 else rows
+
+
 def _labelled(vector: DataFrame) -> DataFrame:
     """Replace ``series`` by the label map and its canonical text."""
     labels = F.map_from_entries("series")
@@ -72,14 +83,14 @@ def tag_selected(points: DataFrame, selectors: Mapping[str, Selector], column: s
 
 
 def select_points(points: DataFrame, selector: Selector, start, end, *, limit: int | None = None) -> DataFrame:
-    """Points of a selector in ``[start, end]``, oldest first."""
-    return (
+    """Points of a selector in ``[start, end]``, oldest first; all of them unless a limit is given."""
+    found = (
         prune_days(points, "timestamp", start, end)
         .filter(selector.condition())
         .withColumn("series_key", series_key())
         .orderBy("timestamp", "series_key", "service_name", "value")
-        .limit(limit if limit and limit > 0 else DEFAULT_POINTS)
     )
+    return top(found, limit)
 
 
 def select_resolution(range_seconds: float) -> str:
@@ -168,14 +179,14 @@ def multi_window_aggregate(points: DataFrame, sizes: Mapping[str, int] | None =
 # -- listings -----------------------------------------------------------------------------------
 
 
-def list_series(points: DataFrame, prefix: str = "", limit: int | None = None) -> DataFrame:
-    """Distinct (name, labels) with the name prefix, taken literally."""
+def list_series(points: DataFrame, prefix: str = "", limit: int | None = DEFAULT_SERIES) -> DataFrame:
+    """Distinct (name, labels) with the name prefix, taken literally; no limit (None, 0) means all."""
     return (
         with_series(points.filter(F.col("name").startswith(prefix)))
         .select("name", "series")
         .distinct()
         .orderBy("name", "series")
-        .limit(limit if limit and limit > 0 else DEFAULT_SERIES)
+        .transform(top, limit)
         .transform(_labelled)
     )
 
@@ -190,15 +201,15 @@ def list_labels(points: DataFrame, name: str) -> DataFrame:
     )
 
 
-def list_label_values(points: DataFrame, name: str, key: str, limit: int = DEFAULT_VALUES) -> DataFrame:
-    """Distinct non-empty values of one label of a metric, sorted."""
+def list_label_values(points: DataFrame, name: str, key: str, limit: int | None = DEFAULT_VALUES) -> DataFrame:
+    """Distinct non-empty values of one label of a metric, sorted; no limit (None, 0) means all."""
     return (
         points.filter(F.col("name") == name)
         .select(F.col("labels")[key].alias("label_value"))
         .filter(F.col("label_value") != "")
         .distinct()
         .orderBy("label_value")
-        .limit(limit)
+        .transform(top, limit)
     )
 
 
@@ -234,15 +245,20 @@ def matrix_samples(points: DataFrame) -> DataFrame:
     )
 
 
+def stepped_samples(points: DataFrame, start, end, step_s: int) -> DataFrame:
+    """Matrix on a step grid in long form: the latest sample of each series (and service) in each step.
+
+    A row per step, so ranges of any length are spread over tasks.
+    """
+    return instant_vector(prune_days(points, "timestamp", start, end), step_s)
+
+
 def query_matrix(points: DataFrame, start, end, step_s: int) -> DataFrame:
-    """Matrix in array form: per series one ``[ts, value]`` pair for each step that has samples.
+    """:func:`stepped_samples` in array form: per series one ``[ts, value]`` pair for each step that has samples.
 
-    The latest sample of a step counts.  The number of steps is limited, so no array can grow with the
-    data; for raw samples use :func:`matrix_samples`.
+    An array has at most one pair per step of the range asked for.
     """
-    if (micros(end) - micros(start)) // (step_s * MICROS) + 1 > MAX_STEPS:
-        raise ValueError(f"more than {MAX_STEPS} steps; use a wider step")
-    stepped = instant_vector(prune_days(points, "timestamp", start, end), step_s)
+    stepped = stepped_samples(points, start, end, step_s)
     return (
         stepped.groupBy("name", "series")
         .agg(
@@ -281,7 +297,7 @@ def dashboard_series(points: DataFrame, targets: Mapping[str, Selector], start,
 def instant_vector(points: DataFrame, step_s: int) -> DataFrame:
     """Latest sample of every series in every step; the timestamp is the start of the step."""
     if "series" not in points.columns:
-        points = with_series(points)
+        points = with_service_series(points)
     return (
         points.groupBy("name", "series", bucket_start(F.col("timestamp"), step_s).alias("step"))
         .agg(F.max(F.struct("timestamp", "value")).alias("latest"))
@@ -302,7 +318,7 @@ def rate(points: DataFrame, range_s: int, step_s: int, start, end) -> DataFrame:
     step_us, range_us = step_s * MICROS, range_s * MICROS
     first, last = micros(start), micros(end)
     seen = prune_days(points, "timestamp", first - range_us, last)
-    seen = with_series(seen).withColumn("at", F.unix_micros("timestamp")).select("name", "series", "at", "value")
+    seen = with_service_series(seen).withColumn("at", F.unix_micros("timestamp")).select("name", "series", "at", "value")
     keyed = tick_cover(seen, F.col("at"), range_us, step_us, first, last)
 
     def grown(value: Column, previous: Column) -> Column:
@@ -363,7 +379,7 @@ def histogram_buckets(histograms: DataFrame) -> DataFrame:
         ),
     )
     return (
-        with_series(histograms.filter(n > 0))
+        with_service_series(histograms.filter(n > 0))
         .withColumn("b", F.explode(bounds))
         .select(
             "name",

@@ -11,8 +11,8 @@ from telemill.functions import fields
 from telemill.functions.fields import has_error
 from telemill.operators.joins import rows_of_keys
 
-# Hash space of sampling decisions.
-SAMPLE_SPACE = 1_000_000
+# Hash space of sampling decisions: the first 32 bits of the MD5 of the trace id.
+SAMPLE_SPACE = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def normalize_services(df: DataFrame) -> DataFrame:
 
 def _share(trace_id: str = "trace_id") -> Column:
     """Position of a trace in [0, 1), the same for all its spans and on every run."""
-    return F.pmod(F.xxhash64(trace_id), F.lit(SAMPLE_SPACE)) / F.lit(SAMPLE_SPACE)
+    return F.conv(F.substring(F.md5(trace_id), 1, 8), 16, 10).cast("double") / F.lit(float(SAMPLE_SPACE))
 
 
 def head_sampled(rate: float, service_rates: Mapping[str, float] | None = None) -> Column:

@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from telemill.functions.fields import has_error, is_root
 from telemill.functions.timegrid import prune_days
 from telemill.operators.joins import rows_of_keys
+from telemill.operators.metrics import top
 
 DEFAULT_LIMIT = 100
-DEFAULT_WINDOW_S = 3600
-
-
-def _limit(limit: int | None, default: int) -> int:
-    return limit if limit and limit > 0 else default
 
 
 def span_condition(
@@ -43,18 +39,20 @@ def span_condition(
     return condition
 
 
-def query_spans(spans: DataFrame, start, end, *, limit: int | None = None, **filters) -> DataFrame:
-    """Spans started in ``[start, end]`` that pass the filters, newest first."""
-    return (
+def query_spans(spans: DataFrame, start, end, *, limit: int | None = DEFAULT_LIMIT, **filters) -> DataFrame:
+    """Spans started in ``[start, end]`` that pass the filters, newest first; no limit (None, 0) means all."""
+    found = (
         prune_days(spans, "start_time", start, end)
         .filter(span_condition(**filters))
         .orderBy(F.desc("start_time"), F.desc("trace_id"), F.desc("span_id"))
-        .limit(_limit(limit, DEFAULT_LIMIT))
     )
+    return top(found, limit)
 
 
-def get_spans(spans: DataFrame, trace_id: str) -> DataFrame:
-    """All spans of one trace, oldest first."""
+def get_spans(spans: DataFrame, trace_id: str, start=None, end=None) -> DataFrame:
+    """All spans of one trace, oldest first.  With the range in which it ran, only those days are read."""
+    if start is not None and end is not None:
+        spans = prune_days(spans, "start_time", start, end)
     return spans.filter(F.col("trace_id") == trace_id).orderBy("start_time", "span_id")
 
 
@@ -169,45 +167,42 @@ def summaries_from_states(states: DataFrame) -> DataFrame:
     )
 
 
-# More trace ids than this are not broadcast.
-BROADCAST_TRACES = 100_000
-
-
 def _newest_summaries(spans: DataFrame, limit: int | None, hit: Column | None = None) -> DataFrame:
     """Summaries of the ``limit`` traces that start last, among those with a span passing ``hit``.
 
-    First only the start of every trace: two narrow columns, aggregated in hash tables.  Then the
-    summaries of the few traces that made it, whose spans are picked out of a second scan by a broadcast
-    of at most ``limit`` ids.  No wide state is built or shuffled for traces that are not shown.
+    With a filter, it runs at the scan, and only the ids of its hits are distinct and shuffled; starts are then
+    looked up for those traces alone.  Without one, the start of every trace is: two narrow columns, aggregated
+    in hash tables.  Then the summaries of the few traces that made it, whose spans are picked out of another
+    scan by their ids, which AQE broadcasts if they are few.  No wide state is built or shuffled for traces that
+    are not shown.
     """
-    limit = _limit(limit, DEFAULT_LIMIT)
-    newest = (
-        spans.groupBy("trace_id")
-        .agg(F.min("start_time").alias("trace_start"), F.bool_or(hit if hit is not None else F.lit(True)).alias("hit"))
-        .filter("hit")
-        .orderBy(F.desc("trace_start"), F.desc("trace_id"))
-        .limit(limit)
-        .select("trace_id")
-    )
-    if limit <= BROADCAST_TRACES:
-        shown = spans.join(F.broadcast(newest), "trace_id", "left_semi")
-    else:
-        shown = rows_of_keys(spans, newest, "trace_id", ["span_id", "start_time"])
+    spread = ["span_id", "start_time"]
+    starts = spans if hit is None else rows_of_keys(spans, spans.filter(hit), "trace_id", spread)
+    if limit and limit > 0:
+        newest = (
+            starts.groupBy("trace_id")
+            .agg(F.min("start_time").alias("trace_start"))
+            .orderBy(F.desc("trace_start"), F.desc("trace_id"))
+            .limit(limit)
+        )
+        starts = rows_of_keys(spans, newest, "trace_id", spread)
+    shown = starts
     return summaries_from_states(trace_states(shown)).orderBy(F.desc("trace_start"), F.desc("trace_id"))
 
 
-def trace_summaries(spans: DataFrame, start, end, *, limit: int | None = None) -> DataFrame:
-    """Summaries of the traces with spans started in ``[start, end]``, newest first."""
+def trace_summaries(spans: DataFrame, start, end, *, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """Summaries of the traces with spans started in ``[start, end]``, newest first; no limit (None, 0) means all."""
     return _newest_summaries(prune_days(spans, "start_time", start, end), limit)
 
 
-def search_traces(spans: DataFrame, start, end, *, limit: int | None = None, **filters) -> DataFrame:
-    """Summaries of the traces in which any one span passes all filters, newest first.
+def search_traces(spans: DataFrame, start, end, *, limit: int | None = DEFAULT_LIMIT, **filters) -> DataFrame:
+    """Summaries of the traces in which any one span passes all filters, newest first; no limit (None, 0) means all.
 
     The summary covers all spans of the trace inside the range.  A range of any width is one plan: day
     partitions are pruned and read in parallel, and a trace crossing a day appears once.
     """
-    return _newest_summaries(prune_days(spans, "start_time", start, end), limit, span_condition(**filters))
+    hit = span_condition(**filters) if any(v not in (None, "", 0, {}) or v == 0 and k == "status" for k, v in filters.items()) else None
+    return _newest_summaries(prune_days(spans, "start_time", start, end), limit, hit)
 
 
 def daily_trace_states(spans: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ WITH RECURSIVE metrics_v AS ({METRICS_SQL}),
    UNION ALL SELECT 'ticks_seen', * FROM metrics_v WHERE name = 'app_ticks_total' AND starts_with(l_type, 's')
    UNION ALL SELECT 'errors_either_way', * FROM metrics_v WHERE name = 'app_value' AND l_type = 'error'),
  seen AS (
-   SELECT p.rule_name, t.tick_us, l_shard, l_type, p."timestamp" AS ts, p.value,
-     dense_rank() OVER (PARTITION BY p.rule_name, t.tick_us ORDER BY l_shard, l_type) AS series_no
+   SELECT p.rule_name, t.tick_us, l_shard, l_type, service_name, p."timestamp" AS ts, p.value,
+     dense_rank() OVER (PARTITION BY p.rule_name, t.tick_us ORDER BY l_shard, l_type, service_name) AS series_no
    FROM pts p JOIN rules r ON r.name = p.rule_name
    JOIN ticks t ON epoch_us(p."timestamp") BETWEEN t.tick_us - r.lookback_us AND t.tick_us),
  one AS (
@@ -196,28 +196,32 @@ def rule_eval(spark, sf_dir):
 
 
 def rule_eval_per_series(spark, sf_dir):
-    """Every series on its own: how often it fired, and its labels."""
+    """Every series on its own, at every tick."""
     evaluated = evaluations(spark, sf_dir, per_series=True)
-    return evaluated.groupBy("rule_name", F.coalesce(F.col("labels")["shard"], F.lit("")).alias("shard")).agg(
-        F.count_if("firing").alias("fired"), F.count(F.lit(1)).alias("ticks")
+    label = lambda key: F.coalesce(F.col("labels")[key], F.lit(""))
+    return evaluated.select(
+        "rule_name", label("type").alias("l_type"), label("shard").alias("l_shard"), label("__service__").alias("l_service"),
+        "tick_us", "firing",
     )
 
 
 RULE_EVAL_PER_SERIES = f"""{BASE_SQL},
- s AS (SELECT rule_name, tick_us, l_shard, l_type, arg_min(value, ts) AS fst, arg_max(value, ts) AS lst, count(*) AS n
-       FROM seen GROUP BY ALL),
- subj AS (SELECT DISTINCT r.name AS rule_name, coalesce(l_shard, '') AS shard, coalesce(l_type, '') AS l_type
+ s AS (SELECT rule_name, tick_us, l_shard, l_type, service_name AS l_service, min({{'t': ts, 'v': value}}).v AS fst,
+         max({{'t': ts, 'v': value}}).v AS lst, count(*) AS n
+       FROM seen GROUP BY 1, 2, 3, 4, 5),
+ subj AS (SELECT DISTINCT r.name AS rule_name, coalesce(l_shard, '') AS l_shard, coalesce(l_type, '') AS l_type,
+            coalesce(l_service, '') AS l_service
           FROM rules r LEFT JOIN s ON s.rule_name = r.name),
- g AS (SELECT u.rule_name, u.shard, n, lst, CASE WHEN n >= 2 AND fst <> 0 THEN (lst - fst) / fst ELSE 0 END AS chg
-       FROM subj u CROSS JOIN ticks t LEFT JOIN s ON s.rule_name = u.rule_name AND s.l_shard = u.shard
-        AND s.l_type = u.l_type AND s.tick_us = t.tick_us)
-SELECT rule_name, shard, count(*) FILTER (coalesce(CASE rule_name
+ g AS (SELECT u.*, t.tick_us, n, lst, CASE WHEN n >= 2 AND fst <> 0 THEN (lst - fst) / fst ELSE 0 END AS chg
+       FROM subj u CROSS JOIN ticks t LEFT JOIN s ON s.rule_name = u.rule_name AND s.l_shard = u.l_shard
+        AND s.l_type = u.l_type AND s.l_service = u.l_service AND s.tick_us = t.tick_us)
+SELECT rule_name, l_type, l_shard, l_service, tick_us, coalesce(CASE rule_name
        WHEN 'high_purchases' THEN lst > 15
        WHEN 'jumpy_clicks' THEN n IS NOT NULL AND abs(chg) >= 0.5
        WHEN 'prices_missing' THEN n IS NULL
        WHEN 'ticks_seen' THEN lst > 0
-       ELSE n IS NULL OR lst < 3 OR abs(chg) > 4 END, false)) AS fired, count(*) AS ticks
-FROM g GROUP BY 1, 2"""
+       ELSE n IS NULL OR lst < 3 OR abs(chg) > 4 END, false) AS firing
+FROM g"""
 
 
 def absence(spark, sf_dir):
@@ -248,14 +252,14 @@ def active_alerts(spark, sf_dir):
 def unsilenced(spark, sf_dir):
     silences = ops.current_silences(silence_changes(spark))
     moved = ops.alert_transitions(states(spark, sf_dir)).filter(F.col("state") != "pending")
-    return ops.unsilenced(moved, silences).select("fingerprint", "rule_name", "tick_us", "state")
+    return ops.unsilenced(moved, silences, FIRST, LAST).select("fingerprint", "rule_name", "tick_us", "state")
 
 
 def silenced(spark, sf_dir):
     """The transitions held back by silences."""
     silences = ops.current_silences(silence_changes(spark))
     moved = ops.alert_transitions(states(spark, sf_dir)).filter(F.col("state") != "pending")
-    loud = ops.unsilenced(moved, silences).select("fingerprint", "tick_us")
+    loud = ops.unsilenced(moved, silences, FIRST, LAST).select("fingerprint", "tick_us")
     return moved.join(loud, ["fingerprint", "tick_us"], "left_anti").select("fingerprint", "rule_name", "tick_us", "state")
 
 

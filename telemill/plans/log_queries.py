@@ -53,11 +53,19 @@ def severity_at_least(spark, sf_dir):
 
 def span_log_search(spark, sf_dir):
     """Logs of one span: the slowest one."""
-    slowest = views.spans(spark, sf_dir).orderBy(F.desc("duration_ms"), "span_id").limit(1)
-    found = views.logs(spark, sf_dir).join(slowest.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
+    slowest = views.spans(spark, sf_dir).orderBy(F.desc("duration_ms"), "span_id").select("trace_id", "span_id").first()
+    found = ops.search_logs(
+        views.logs(spark, sf_dir), "1990-01-01", "2030-01-01", trace_id=slowest["trace_id"], span_id=slowest["span_id"], limit=None
+    )
     return _columns(found)
 
 
+def trace_log_context(spark, sf_dir):
+    """All logs of the trace of the slowest span."""
+    slowest = views.spans(spark, sf_dir).orderBy(F.desc("duration_ms"), "span_id").select("trace_id").first()
+    return _columns(ops.log_context(views.logs(spark, sf_dir), slowest["trace_id"]))
+
+
 def keyword_search_documents(spark, sf_dir):
     """Keyword with letters outside ASCII over whole document texts; those letters are not folded."""
     documents = views.table(spark, sf_dir, "documents")
@@ -185,6 +193,10 @@ QUERIES = {
         span_log_search,
         _sql(f"SELECT {_COLUMNS_SQL} FROM logs_v WHERE span_id = (SELECT span_id FROM spans_v ORDER BY duration_ms DESC, span_id LIMIT 1)"),
     ),
+    "trace_log_context": (
+        trace_log_context,
+        _sql(f"SELECT {_COLUMNS_SQL} FROM logs_v WHERE trace_id = (SELECT trace_id FROM spans_v ORDER BY duration_ms DESC, span_id LIMIT 1)"),
+    ),
     "keyword_search_documents": (keyword_search_documents, KEYWORD_SEARCH_DOCUMENTS),
     "log_context": (
         log_context,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from telemill.functions.fields import series_key
+from telemill.functions.fields import SERVICE_LABEL, series_key
 from telemill.operators import metrics as ops
 from telemill.operators.metrics import Selector
 from telemill.plans import views
@@ -14,10 +14,6 @@ GAUGE = Selector("app_value")
 COUNTER = Selector("app_ticks_total")
 STEP_S, RANGE_S = 3600, 4 * 3600
 
-# Averages of two-decimal values often lie exactly half-way between two results of rounding, where the
-# last bit decides.  They are shifted by this much before they are rounded, on both sides.
-OFF_TIE = 0.0000123
-
 
 def _sql(body: str) -> str:
     return f"WITH metrics_v AS ({METRICS_SQL})\n{body}"
@@ -28,11 +24,12 @@ def _event_points(spark, sf_dir) -> DataFrame:
 
 
 def _labels(df: DataFrame, *more) -> DataFrame:
-    """Scalars of a vector: its two labels, time and value."""
+    """Scalars of a vector: its two labels, service, time and value."""
     by_key = F.map_from_entries("series")
     return df.select(
         by_key["type"].alias("l_type"),
         by_key["shard"].alias("l_shard"),
+        by_key[SERVICE_LABEL].alias("l_service"),
         F.unix_micros("timestamp").alias("at_us"),
         F.round("value", 6).alias("value"),
         *more,
@@ -74,30 +71,32 @@ _KEY_SQL = """'{"shard":"' || l_shard || '","type":"' || l_type || '"}'"""
 
 
 def matrix_steps(spark, sf_dir):
-    """Array form on a one-hour grid, written out pair by pair."""
-    stepped = ops.query_matrix(_event_points(spark, sf_dir), START, END, 3600)
+    """Array form on a one-hour grid, written out pair by pair; all metrics over their whole time."""
+    stepped = ops.query_matrix(views.metrics(spark, sf_dir), "1990-01-01", "2030-01-01", 3600)
     return stepped.select("name", "series_key", F.explode("values").alias("v")).select(
         "name", "series_key", F.col("v.ts").alias("ts"), F.col("v.value").alias("value")
     )
 
 
 MATRIX_STEPS = _sql(f"""
-SELECT name, {_KEY_SQL} AS series_key, CAST(epoch(date_trunc('hour', "timestamp")) AS BIGINT) AS ts,
-  arg_max(value, "timestamp") AS value
-FROM metrics_v WHERE name <> 'item_price' GROUP BY 1, 2, 3""")
+SELECT name, '{{"shard":"' || l_shard || '","type":"' || l_type || '","__service__":"' || service_name || '"}}' AS series_key,
+  CAST(epoch(date_trunc('hour', "timestamp")) AS BIGINT) AS ts, max({{'t': epoch_us("timestamp"), 'v': value}}).v AS value
+FROM metrics_v GROUP BY 1, 2, 3""")
 
 
 def _rollup_columns(states: DataFrame) -> DataFrame:
-    return ops.read_rollup(states).select(
+    """The states themselves: sums of two-decimal values and counts, whose quotient read_rollup gives."""
+    return states.select(
         "name", F.col("type").cast("bigint").alias("type"), series_key().alias("series_key"), "service_name",
-        F.unix_micros("timestamp").alias("bucket_us"), F.round(F.col("value") + OFF_TIE, 4).alias("value"),
+        F.unix_micros("bucket").alias("bucket_us"), F.round("value_sum", 2).alias("value_sum"), "value_cnt",
     )
 
 
 def _rollup_sql(seconds: int) -> str:
     return _sql(f"""
 SELECT name, CAST(type AS BIGINT) AS type, {_KEY_SQL} AS series_key, service_name,
-  (epoch_us("timestamp") // {seconds * 1_000_000}) * {seconds * 1_000_000} AS bucket_us, round(avg(value) + {OFF_TIE}, 4) AS value
+  (epoch_us("timestamp") // {seconds * 1_000_000}) * {seconds * 1_000_000} AS bucket_us,
+  round(sum(value), 2) AS value_sum, count(value) AS value_cnt
 FROM metrics_v GROUP BY 1, 2, 3, 4, 5""")
 
 
@@ -124,11 +123,11 @@ def routed_points(spark, sf_dir):
     points = views.metrics(spark, sf_dir)
     frame = ops.routed_points({"1m": points, **{size: ops.rollup(points, size) for size in ops.ROLLUP_SECONDS}}, START, END)
     found = ops.select_points(frame, GAUGE, START, END)
-    return _points(found).withColumn("value", F.round(F.col("value") + OFF_TIE, 4))
+    return _points(found).withColumn("value", F.round("value", 6))
 
 
 ROUTED_POINTS = _sql(f"""
-, daily AS (SELECT name, l_type, l_shard, service_name, epoch_us(date_trunc('day', "timestamp")) AS at_us, round(avg(value) + {OFF_TIE}, 4) AS value
+, daily AS (SELECT name, l_type, l_shard, service_name, epoch_us(date_trunc('day', "timestamp")) AS at_us, round(avg(value), 6) AS value
   FROM metrics_v WHERE name = 'app_value' GROUP BY ALL)
 SELECT name, l_type, l_shard, service_name, at_us, value FROM daily
 WHERE at_us BETWEEN epoch_us(TIMESTAMP '{START}') AND epoch_us(TIMESTAMP '{END}')""")
@@ -143,7 +142,7 @@ def window_columns(windows: DataFrame) -> DataFrame:
     return windows.select(
         "name", "service_name", series_key().alias("series_key"), "window_size",
         F.unix_micros("bucket").alias("bucket_us"), F.round("sum", 4).alias("sum"), "count", "min", "max",
-        F.round(F.col("avg") + OFF_TIE, 4).alias("avg"),
+        F.round("avg", 6).alias("avg"),
     )
 
 
@@ -151,7 +150,7 @@ def window_sql(source: str = "metrics_v", where: str = "TRUE") -> str:
     return _sql(f"""
 , w AS (SELECT * FROM (VALUES ('1m', 60000000), ('5m', 300000000), ('1h', 3600000000), ('1d', 86400000000)) t(window_size, us))
 SELECT name, service_name, {_KEY_SQL} AS series_key, window_size, (epoch_us("timestamp") // us) * us AS bucket_us,
-  round(sum(value), 4) AS "sum", count(*) AS "count", min(value) AS "min", max(value) AS "max", round(avg(value) + {OFF_TIE}, 4) AS "avg"
+  round(sum(value), 4) AS "sum", count(*) AS "count", min(value) AS "min", max(value) AS "max", round(avg(value), 6) AS "avg"
 FROM {source}, w WHERE {where} GROUP BY 1, 2, 3, 4, 5""")
 
 
@@ -183,40 +182,40 @@ def rate(spark, sf_dir):
 _RATES = f"""
 , ticks AS (SELECT unnest(range(epoch_us(TIMESTAMP '{START}') // 3600000000, epoch_us(TIMESTAMP '{END}') // 3600000000 + 1)) * 3600000000 AS tick),
   seen AS (
-    SELECT l_type, l_shard, tick, epoch_us(m."timestamp") AS t_us, value,
-      lag(value) OVER (PARTITION BY l_type, l_shard, tick ORDER BY m."timestamp", value) AS prev
+    SELECT l_type, l_shard, service_name AS l_service, tick, epoch_us(m."timestamp") AS t_us, value,
+      lag(value) OVER (PARTITION BY l_type, l_shard, service_name, tick ORDER BY m."timestamp", value) AS prev
     FROM metrics_v m JOIN ticks ON epoch_us(m."timestamp") BETWEEN tick - {RANGE_S * 1_000_000} AND tick
     WHERE name = 'app_ticks_total'),
   rates AS (
-    SELECT l_type, l_shard, tick AS at_us,
+    SELECT l_type, l_shard, l_service, tick AS at_us,
       sum(CASE WHEN prev IS NULL THEN 0 WHEN value >= prev THEN value - prev ELSE value END) / ((max(t_us) - min(t_us)) / 1e6) AS value
-    FROM seen GROUP BY 1, 2, 3 HAVING count(*) > 1 AND max(t_us) > min(t_us))"""
+    FROM seen GROUP BY 1, 2, 3, 4 HAVING count(*) > 1 AND max(t_us) > min(t_us))"""
 
 
 def sum_rate(spark, sf_dir):
-    """Rates summed over shards, keeping the type."""
+    """Rates summed over shards and services, keeping the type."""
     summed = ops.aggregate_series(_rates(spark, sf_dir), "sum", ["type"])
-    return _labels(summed).drop("l_shard")
+    return _labels(summed).drop("l_shard", "l_service")
 
 
 def sum_by(spark, sf_dir):
     vector = ops.instant_vector(_event_points(spark, sf_dir).filter(GAUGE.condition()), STEP_S)
-    return _labels(ops.aggregate_series(vector, "sum", ["shard"])).drop("l_type")
+    return _labels(ops.aggregate_series(vector, "sum", ["shard"])).drop("l_type", "l_service")
 
 
 def avg_by(spark, sf_dir):
     """Average over all series of a metric, for every metric and day."""
     vector = ops.instant_vector(views.metrics(spark, sf_dir), 86400)
-    return _labels(ops.aggregate_series(vector, "avg"), "name").drop("l_type", "l_shard")
+    return _labels(ops.aggregate_series(vector, "avg"), "name").drop("l_type", "l_shard", "l_service")
 
 
 def _instant_sql(seconds: int) -> str:
     us = seconds * 1_000_000
     return f"""
 , latest AS (
-  SELECT name, l_type, l_shard, (epoch_us("timestamp") // {us}) * {us} AS at_us,
+  SELECT name, l_type, l_shard, service_name AS l_service, (epoch_us("timestamp") // {us}) * {us} AS at_us,
     max({{'t': epoch_us("timestamp"), 'v': value}}).v AS value
-  FROM metrics_v GROUP BY 1, 2, 3, 4)"""
+  FROM metrics_v GROUP BY 1, 2, 3, 4, 5)"""
 
 
 def histogram_quantile(spark, sf_dir):
@@ -224,7 +223,7 @@ def histogram_quantile(spark, sf_dir):
     out = []
     for q in (0.5, 0.9, 0.99):
         quantiles = ops.histogram_quantile(vector, q)
-        out.append(_labels(quantiles, F.lit(q).alias("q")).drop("l_shard"))
+        out.append(_labels(quantiles, F.lit(q).alias("q")).drop("l_shard", "l_service"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -261,7 +260,7 @@ def histogram_points(spark, sf_dir):
         F.array("a", "b", "c").alias("bucket_counts"),
         F.array(F.lit(25.0), F.lit(100.0)).alias("explicit_bounds"),
     )
-    return _labels(ops.histogram_quantile(ops.histogram_buckets(points), 0.5)).drop("l_shard")
+    return _labels(ops.histogram_quantile(ops.histogram_buckets(points), 0.5)).drop("l_shard", "l_service")
 
 
 HISTOGRAM_POINTS = """
@@ -301,7 +300,7 @@ QUERIES = {
         select_points,
         _sql(f"""SELECT {_POINT_SQL} FROM metrics_v m WHERE name = 'app_value' AND regexp_full_match(l_type, 'cl.*|view')
                  AND l_shard <> '0' AND service_name = 'svc-1'
-                 AND "timestamp" BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' ORDER BY at_us LIMIT 10000"""),
+                 AND "timestamp" BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"""),
     ),
     "label_matchers": (
         label_matchers,
@@ -324,13 +323,19 @@ QUERIES = {
         list_series,
         _sql(f"SELECT DISTINCT name, {_KEY_SQL} AS series_key FROM metrics_v WHERE name LIKE 'app\\_%' ESCAPE '\\' LIMIT 1000"),
     ),
-    "list_labels": (list_labels, "SELECT unnest(['shard', 'type']) AS label FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0"),
+    "list_labels": (
+        list_labels,
+        _sql(
+            "SELECT DISTINCT substr(label, 3) AS label FROM (UNPIVOT (SELECT l_type, l_shard FROM metrics_v "
+            "WHERE name = 'item_price') ON COLUMNS(*) INTO NAME label VALUE v)"
+        ),
+    ),
     "label_values": (
         label_values,
         _sql("SELECT DISTINCT l_type AS label_value FROM metrics_v WHERE name = 'item_price' AND l_type <> '' ORDER BY 1 LIMIT 1000"),
     ),
     "metric_names": (metric_names, _sql("SELECT DISTINCT name FROM metrics_v WHERE starts_with(name, 'app_')")),
-    "rate": (rate, _sql(f"{_RATES} SELECT l_type, l_shard, at_us, round(value, 6) AS value FROM rates")),
+    "rate": (rate, _sql(f"{_RATES} SELECT l_type, l_shard, l_service, at_us, round(value, 6) AS value FROM rates")),
     "sum_rate": (
         sum_rate,
         _sql(f"{_RATES} SELECT l_type, at_us, round(sum(value), 6) AS value FROM rates GROUP BY 1, 2"),
@@ -348,7 +353,8 @@ QUERIES = {
     "vector_ratio": (
         vector_ratio,
         _sql(f"""{_instant_sql(STEP_S)}
-             SELECT l_type, l_shard, at_us, round(a.value / nullif(b.value, 0), 6) AS value FROM latest a JOIN latest b USING (l_type, l_shard, at_us)
+             SELECT l_type, l_shard, l_service, at_us, round(a.value / nullif(b.value, 0), 6) AS value
+             FROM latest a JOIN latest b USING (l_type, l_shard, l_service, at_us)
              WHERE a.name = 'app_ticks_total' AND b.name = 'app_value'"""),
     ),
     "dashboard_series": (dashboard_series, DASHBOARD_SERIES),

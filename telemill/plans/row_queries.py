@@ -92,13 +92,12 @@ def head_sample(spark, sf_dir):
 
 
 def head_sample_half(spark, sf_dir):
-    """A share in between: how many spans and traces stay (checked for whole traces in the tests)."""
-    kept = processors.head_sample(views.spans(spark, sf_dir), 0.5)
-    return kept.groupBy("service_name").agg(F.count(F.lit(1)).alias("spans"))
+    """A share in between."""
+    return processors.head_sample(views.spans(spark, sf_dir), 0.5).select("trace_id", "span_id")
 
 
 def tail_sample(spark, sf_dir):
-    return processors.tail_sample(views.spans(spark, sf_dir), 0.0).select("trace_id", "span_id")
+    return processors.tail_sample(views.spans(spark, sf_dir), 0.3).select("trace_id", "span_id")
 
 
 def enum_names(spark, sf_dir):
@@ -302,6 +301,8 @@ def span_days(spark, sf_dir):
     return dated.groupBy(F.col("_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("spans"))
 
 
+_SHARE_SQL = "('0x' || substr(md5(trace_id), 1, 8))::BIGINT / 4294967296"
+
 QUERIES = {
     "normalize_service": (normalize_service, NORMALIZE_SERVICE),
     "attr_add": (attr_add, _spans_sql("SELECT span_id, 'production' AS attr_env, attr_user, attr_props FROM spans_v")),
@@ -333,11 +334,14 @@ QUERIES = {
             "SELECT span_id, service_name, CAST(status AS BIGINT) AS status FROM spans_v WHERE status = 2 OR service_name = 'purchase'"
         ),
     ),
-    "head_sample_half": (head_sample_half, None),
+    "head_sample_half": (
+        head_sample_half, _spans_sql(f"SELECT trace_id, span_id FROM spans_v WHERE status = 2 OR {_SHARE_SQL} < 0.5")
+    ),
     "tail_sample": (
         tail_sample,
         _spans_sql(
-            "SELECT trace_id, span_id FROM spans_v WHERE trace_id IN (SELECT trace_id FROM spans_v WHERE status = 2)"
+            f"SELECT trace_id, span_id FROM spans_v WHERE {_SHARE_SQL} < 0.3 "
+            "OR trace_id IN (SELECT trace_id FROM spans_v WHERE status = 2)"
         ),
     ),
     "enum_names": (enum_names, ENUM_NAMES),

@@ -47,30 +47,30 @@ def drain(stream: DataFrame, purpose: str, base: str | None = None) -> DataFrame
 
 
 def stream_multi_window(spark, sf_dir):
-    points = views.event_metrics_of(event_stream(spark, sf_dir)).filter(F.col("name") == "app_value")
+    points = views.event_metrics_of(event_stream(spark, sf_dir))
     return metric_queries.window_columns(drain(windows.stream_multi_window(points, DELAY), "windows"))
 
 
 STREAM_MULTI_WINDOW = metric_queries.window_sql(
-    where=f"name = 'app_value' AND (epoch_us(\"timestamp\") // us) * us + us <= {_CLOSED_US}"
+    where=f"name <> 'item_price' AND (epoch_us(\"timestamp\") // us) * us + us <= {_CLOSED_US}"
 )
 
 
 def stream_window_cascade(spark, sf_dir):
-    """Minutes from the raw stream into a table; hours and days from a stream over that table."""
-    points = views.event_metrics_of(event_stream(spark, sf_dir)).filter(F.col("name") == "app_value")
+    """Minutes from the raw stream into a table; hours and days from a stream over that table, a file at a time."""
+    points = views.event_metrics_of(event_stream(spark, sf_dir))
     base = shared_dir(spark, "minutes")
     minutes = drain(windows.stream_multi_window(points, DELAY, {"1m": 60}), "minutes", base)
-    again = spark.readStream.schema(minutes.schema).parquet(f"{base}/rows")
-    coarser = drain(windows.stream_coarser_windows(again, {"5m": 300, "1h": 3600, "1d": 86400}), "coarser")
+    again = spark.readStream.schema(minutes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/rows")
+    write = windows.coarser_window_writer(f"{base}/states", {"5m": 300, "1h": 3600, "1d": 86400})
+    query = again.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/coarser").trigger(availableNow=True).start()
+    query.awaitTermination()
+    coarser = windows.read_coarser_windows(spark.read.parquet(f"{base}/states"))
     return metric_queries.window_columns(minutes.unionByName(coarser))
 
 
-_LAST_MINUTE_US = f"""(SELECT max((epoch_us(ts) // 60000000) * 60000000) FROM events
-  WHERE (epoch_us(ts) // 60000000) * 60000000 + 60000000 <= {_CLOSED_US})"""
 STREAM_WINDOW_CASCADE = metric_queries.window_sql(
-    where=f"""name = 'app_value' AND (epoch_us("timestamp") // us) * us + us
-      <= CASE WHEN window_size = '1m' THEN {_CLOSED_US} ELSE {_LAST_MINUTE_US} END"""
+    where=f"""name <> 'item_price' AND (epoch_us("timestamp") // 60000000) * 60000000 + 60000000 <= {_CLOSED_US}"""
 )
 
 

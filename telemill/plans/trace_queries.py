@@ -101,8 +101,8 @@ ORDER BY start_time DESC LIMIT 100""")
 def trace_spans(spark, sf_dir):
     """All spans of the trace with the longest span."""
     all_spans = views.spans(spark, sf_dir)
-    slowest = all_spans.orderBy(F.desc("duration_ms"), "trace_id").limit(1).select("trace_id")
-    return _span_columns(all_spans.join(slowest, "trace_id", "left_semi").orderBy("start_time", "span_id"))
+    slowest = all_spans.orderBy(F.desc("duration_ms"), "trace_id").select("trace_id").first()
+    return _span_columns(ops.get_spans(all_spans, slowest["trace_id"]))
 
 
 TRACE_SPANS = _sql(f"""

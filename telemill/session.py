@@ -45,11 +45,15 @@ def build_session(app: str = "telemill", master: str | None = None, conf: dict[s
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for ``purpose`` below the cluster's shared checkpoint folder.
 
-    A cluster names that folder in ``spark.checkpoint.dir``.  Only where it is unset (tests on one
-    machine) is a temporary folder used.
+    A cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset, a temporary folder serves a
+    local master, whose driver and executors are one process; any other raises RuntimeError, as its executors
+    would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="telemill-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

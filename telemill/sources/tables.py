@@ -69,7 +69,7 @@ def write_metrics(points: DataFrame, path: str, mode: str = "append", cluster: b
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored table; it keeps ``_date``, so the operators' time filters also prune partitions."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +92,7 @@ def apply_retention(df: DataFrame, layout: TableLayout, as_of, days: int = DEFAU
 
 def rewrite_retained(spark: SparkSession, path: str, target: str, layout: TableLayout, as_of, days: int) -> None:
     """Copy what retention keeps to a new folder, clustered; whole expired days are never read."""
-    kept = apply_retention(read_table(spark, path), layout, as_of, days).drop("batch")
+    kept = apply_retention(read_table(spark, path), layout, as_of, days)
     write_table(kept, target, layout, "errorifexists")
 
 

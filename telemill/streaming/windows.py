@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from telemill.functions.timegrid import bucket_start
 from telemill.operators.metrics import WINDOW_SECONDS
 from telemill.operators.spans import trace_states
 
@@ -47,32 +48,42 @@ def stream_multi_window(
     One watermark, one aggregate per size, their union a single append-mode query.  A window is emitted
     when the watermark passes its end, later rows for it are dropped (see :func:`late_rows`); a row late
     for its minute still counts for its hour.  Every size reads the source.  For large streams run the
-    finest size alone, write it to a table and feed that to :func:`stream_coarser_windows`.
+    finest size alone, write it to a table and feed that to :func:`coarser_window_writer`.
     """
     source = points.withWatermark("timestamp", delay)
     frames = [_stream_window(source, size, seconds) for size, seconds in (sizes or WINDOW_SECONDS).items()]
     return reduce(DataFrame.unionByName, frames)
 
 
-def stream_coarser_windows(finest: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
-    """Coarser windows merged from a stream of emitted finest windows, read from their table.
+def _merged(states: DataFrame) -> DataFrame:
+    return states.groupBy(*_KEYS, "window_size", "bucket").agg(
+        F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max")
+    )
+
+
+def coarser_window_writer(path: str, sizes: Mapping[str, int]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for a stream of emitted finest windows: appends their coarser states to a table.
 
-    The raw points are then read and aggregated once, whatever the number of sizes.  Finest windows are
-    emitted in time order from batch to batch, so no delay is needed here: a window closes with the first
-    finest window beyond it.  A row late for its finest window is missing from the coarser ones too.
+    The raw points are then read and aggregated once, whatever the number of sizes.  States are merged when read
+    (:func:`read_coarser_windows`), so files may come in any order and number per batch, none is late, and windows
+    that are still open are there as far as they go.  A batch owns its folder and replaces it when it is run again.
     Every size must be a multiple of the finest.
     """
-    source = finest.select(*_KEYS, "bucket", "sum", "count", "min", "max").withWatermark("bucket", "0 seconds")
-    frames = []
-    for size, seconds in sizes.items():
-        windowed = source.groupBy(F.window("bucket", f"{seconds} seconds").alias("w"), *_KEYS).agg(
-            F.sum("sum").alias("sum"),
-            F.sum("count").alias("count"),
-            F.min("min").alias("min"),
-            F.max("max").alias("max"),
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        windows = F.array(
+            *[F.struct(F.lit(size).alias("size"), bucket_start(F.col("bucket"), s).alias("bucket")) for size, s in sizes.items()]
         )
-        frames.append(_emitted(windowed, size))
-    return reduce(DataFrame.unionByName, frames)
+        rows = batch.select(*_KEYS, F.explode(windows).alias("w"), "sum", "count", "min", "max")
+        states = _merged(rows.withColumns({"window_size": F.col("w.size"), "bucket": F.col("w.bucket")}))
+        states.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def read_coarser_windows(states: DataFrame) -> DataFrame:
+    """Coarser windows from the table of their states."""
+    return _merged(states).withColumn("avg", F.try_divide("sum", "count"))
 
 
 def stream_severity_counts(logs: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:

@@ -116,9 +116,7 @@ def test_matrix(spark):
         ({"__name__": "m", "a": "1"}, base, 1.0), ({"__name__": "m", "a": "1"}, base + 61, 2.0),
     ]
     stepped = {r["series_key"]: [(v["ts"] - base, v["value"]) for v in r["values"]] for r in ops.query_matrix(df, at(0), at(100), 60).collect()}
-    assert stepped == {'{"a":"0"}': [(0, 8.0)], '{"a":"1"}': [(0, 1.0), (60, 2.0)]}
-    with pytest.raises(ValueError):
-        ops.query_matrix(df, at(0), at(86400), 1)
+    assert stepped == {'{"a":"0","__service__":"svc"}': [(0, 8.0)], '{"a":"1","__service__":"svc"}': [(0, 1.0), (60, 2.0)]}
 
 
 def test_dashboard(spark):
@@ -215,3 +213,30 @@ def test_ratio(spark):
     bottom = ops.with_series(points(spark, point("b", 3, 0, x="1"), point("b", 0, 0, x="2")))
     got = ops.vector_ratio(top, bottom).withColumn("name", F.lit(""))
     assert vector(got, "x") == {("1", 0.0): 2.0, ("2", 0.0): None}
+
+
+def test_services_with_equal_labels_are_apart(spark):
+    a = [point("m", 100 + i, 5 * i, service="a", k="x") for i in range(11)]
+    b = [point("m", 1000 + i, 5 * i + 1, service="b", k="x") for i in range(11)]
+    df = points(spark, *a, *b)
+    got = ops.rate(df, 60, 60, at(0), at(60))
+    assert sorted(round(r[0], 9) for r in rows(got, "value") if r[0] > 0) == [0.2, 0.2]
+    last = ops.instant_vector(df, 3600)
+    assert rows(ops.aggregate_series(last, "sum"), "value") == [(1120.0,)]
+    apart = ops.aggregate_series(last, "sum", ["__service__"])
+    assert sorted(rows(apart, "value")) == [(110.0,), (1010.0,)]
+    assert ops.list_series(df).count() == 1
+
+
+def test_no_limit_means_all(spark):
+    df = points(spark, *[point("m", i, i, k=str(i)) for i in range(30)])
+    for limit in (None, 0, -1):
+        assert ops.select_points(df, Selector("m"), at(0), at(100), limit=limit).count() == 30
+        assert ops.list_series(df, limit=limit).count() == 30
+        assert ops.list_label_values(df, "m", "k", limit).count() == 30
+
+
+def test_matrix_of_a_long_range_has_no_step_limit(spark):
+    df = points(spark, *[point("m", i, 3600 * i) for i in range(40)])
+    assert rows(ops.query_matrix(df, at(0), at(30 * 86400), 60).selectExpr("size(values) AS n"), "n") == [(40,)]
+    assert ops.stepped_samples(df, at(0), at(30 * 86400), 60).count() == 40

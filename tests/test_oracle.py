@@ -2,11 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracle import compare, connect
+from telemill.plans.registry import REGISTERED
 
 SF = "/root/testdata/sf0.001"
-PLANS, SQL = queries(), oracle_sql()
+PLANS = {name: plan for name, (plan, _) in REGISTERED.items()}
+SQL = {name: sql for name, (_, sql) in REGISTERED.items() if sql}
 
 
 @pytest.fixture(scope="module")

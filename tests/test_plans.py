@@ -40,13 +40,21 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "EqualTo(event_type,purchase)" in searched and "TakeOrderedAndProject" in searched
 
 
-def test_search_shuffles_only_trace_starts(spark):
-    """All traces: id, start and hit flag, in hash tables.  Wide states: only for the traces shown."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    plan = plan_of(REGISTERED["search_traces"][0](spark, SF))
-    assert "BroadcastHashJoin [trace_id" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
-    narrow = plan[plan.index("BroadcastExchange"):]
-    assert "SortAggregate" not in narrow and narrow.count("Exchange hashpartitioning") == 1
+def test_search_filters_reach_the_scan(spark, tmp_path):
+    from telemill.operators import logs, spans
+    from telemill.sources import tables
+
+    path = str(tmp_path / "spans")
+    tables.write_table(views.spans(spark, SF), path, tables.SPANS)
+    stored = tables.read_table(spark, path)
+    plan = plan_of(spans.search_traces(stored, "2024-01-02", "2024-01-03", service="error", status=2))
+    assert "EqualTo(service_name,error)" in plan and "EqualTo(status,2)" in plan and "SortMergeJoin" not in plan.split("LeftSemi")[0]
+    one = plan_of(spans.get_spans(stored, "t1", "2024-01-02", "2024-01-03"))
+    assert "EqualTo(trace_id,t1)" in one and re.search(r"PartitionFilters: \[isnotnull\(_date", one)
+    path = str(tmp_path / "logs")
+    tables.write_table(views.logs(spark, SF), path, tables.LOGS)
+    near = plan_of(logs.log_context(tables.read_table(spark, path), "t1", "2024-01-02", "2024-01-03"))
+    assert "EqualTo(trace_id,t1)" in near and re.search(r"PartitionFilters: \[isnotnull\(_date", near)
 
 
 def test_edges_shuffle_parents_once(spark):
