@@ -34,8 +34,8 @@ from telemill.llm.shared import written
 LENGTH = 100
 GRAM = 24
 #: Bytes of texts that a worker looks at together, and bytes of segments in one suffix array.
-SLICE_BYTES = 1 << 20
-SHARD_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+SHARD_BYTES = 1 << 19
 HOT_CLASSES = 20_000
 _U = np.uint64
 _NO_ID = -(1 << 63)
@@ -429,12 +429,18 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, packed, listed in zip(batch.column("_id").to_pylist(), batch.column("_packed"), batch.column("_list")):
-                raw, own = opener.decompress(packed.as_py()), listed.values.flatten()
-                grams, starts, sizes = own[0], own[1].to_pylist(), own[2].to_pylist()
-                cut = [raw[s : s + n + LENGTH - 1] for s, n in zip(starts, sizes)]
+            listed = batch.column("_list")
+            grams, starts, sizes = listed.flatten().flatten()
+            ends = np.cumsum(pc.list_value_length(listed).to_numpy())
+            cut: list[bytes] = []
+            for packed, end in zip(batch.column("_packed"), ends.tolist()):
+                raw, begin = opener.decompress(packed.as_py()), len(cut)
+                cut += [raw[s : s + n + LENGTH - 1] for s, n in zip(starts[begin:end].to_pylist(), sizes[begin:end].to_pylist())]
+            docs_of = np.repeat(batch.column("_id").to_numpy(), np.diff(ends, prepend=0))
+            for at in range(0, len(cut), 10_000):
+                own = slice(at, at + 10_000)
                 yield pa.RecordBatch.from_arrays(
-                    [grams, pa.array([doc] * len(cut), pa.int64()), own[1], pa.array(cut, pa.binary())], ["_gram", "_doc", "_start", "_bytes"]
+                    [grams[own], pa.array(docs_of[own]), starts[own], pa.array(cut[own], pa.binary())], ["_gram", "_doc", "_start", "_bytes"]
                 )
 
     joined = _packed(docs).join(lists, F.col("_id") == F.col("_doc")).select("_id", "_packed", "_list")

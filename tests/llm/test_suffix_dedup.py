@@ -88,7 +88,7 @@ def test_registered_query_removes_what_a_dictionary_removes(spark, sample):
     check(queries.op2_suffix_dedup(spark, SF), [(d, t) for d, t, _ in sample])
 
 
-@pytest.mark.parametrize("hot, piece", [(20_000, 1 << 20), (3, 1 << 20), (20_000, 700)])
+@pytest.mark.parametrize("hot, piece", [(20_000, 1 << 19), (3, 1 << 19), (20_000, 700)])
 def test_planted_repeats(documents, monkeypatch, hot, piece):
     monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
     rows = planted(hot + piece)
