@@ -45,6 +45,8 @@ HEADLINE = [
     "alert_transitions",
     "outbox",
     "stream_severity_counts",
+    "silenced",
+    "nearby_logs",
 ]
 RUNS = 3
 

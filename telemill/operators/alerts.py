@@ -268,9 +268,26 @@ def valid_silence() -> Column:
     )
 
 
+def invalid_silences(changes: DataFrame) -> DataFrame:
+    """Changes that :func:`current_silences` leaves out as invalid: id, updated_at and the first reason."""
+    reason = (
+        F.when(F.coalesce(F.size("matchers"), F.lit(0)) <= 0, "no matchers")
+        .when(F.col("starts_at").isNull(), "no start")
+        .when(~F.coalesce(F.col("ends_at") > F.col("starts_at"), F.lit(False)), "end is not after start")
+        .when(F.coalesce("created_by", F.lit("")) == "", "no creator")
+    )
+    checked = changes.select("id", "updated_at", reason.alias("reason"))
+    return checked.filter(F.col("reason").isNotNull())
+
+
 def current_silences(changes: DataFrame) -> DataFrame:
-    """Latest version of every silence, deleted and invalid ones left out."""
-    latest = changes.groupBy("id").agg(F.max_by(F.struct(*changes.columns), "updated_at").alias("s")).select("s.*")
+    """Latest version of every silence, deleted and invalid ones left out.
+
+    Of versions with the same time a deletion counts first, then the greatest in the order of the columns.
+    """
+    others = [c for c in changes.columns if c not in ("id", "updated_at", "deleted")]
+    version = F.struct("updated_at", F.coalesce("deleted", F.lit(False)).alias("deleted"), *others)
+    latest = changes.groupBy("id").agg(F.max(version).alias("s")).select("id", "s.*").select(*changes.columns)
     return latest.filter(~F.coalesce("deleted", F.lit(False)) & valid_silence())
 
 

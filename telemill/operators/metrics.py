@@ -392,9 +392,11 @@ def histogram_buckets(histograms: DataFrame) -> DataFrame:
     )
 
 
-def histogram_quantile(vector: DataFrame, q: float) -> DataFrame:
+def histogram_quantile(vector: DataFrame, q: float | Sequence[float]) -> DataFrame:
     """Quantile from cumulative buckets labelled ``le``, per remaining label set and timestamp.
 
+    Several quantiles are one pass over the buckets, and come with a column ``q``.
+
     rank = q * count of the +Inf bucket; the first bucket reaching the rank is interpolated linearly from
     the bucket below it (0 below the first).  In the +Inf bucket the highest finite bound is returned.
     No samples, or no +Inf bucket, give null.
@@ -421,17 +423,20 @@ def histogram_quantile(vector: DataFrame, q: float) -> DataFrame:
         buckets.withColumn("below", F.coalesce(F.lag("upto").over(by_bound), F.lit(0.0)))
         .withColumn("floor", F.coalesce(F.lag("le").over(by_bound), F.lit(0.0)))
         .withColumn("total", F.max(F.when(infinite, F.col("upto"))).over(Window.partitionBy(*keys)))
-        .withColumn("rank", F.lit(float(q)) * F.col("total"))
+        .withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in ([q] if isinstance(q, (int, float)) else q)])))
+        .withColumn("rank", F.col("q") * F.col("total"))
     )
+    single = isinstance(q, (int, float))
     hit = F.min(F.when(F.col("upto") >= F.col("rank"), F.struct("le", "floor", "below", "upto", "rank", "total")))
     inside = F.coalesce(
         F.try_divide(F.col("hit.rank") - F.col("hit.below"), F.col("hit.upto") - F.col("hit.below")), F.lit(0.0)
     )
     return (
-        ranked.groupBy(*keys)
+        ranked.groupBy(*keys, "q")
         .agg(hit.alias("hit"), F.max(F.when(~infinite, F.col("le"))).alias("top"))
         .select(
             *keys,
+            *([] if single else ["q"]),
             F.when(F.coalesce(F.col("hit.total"), F.lit(0.0)) == 0, F.lit(None).cast("double"))
             .when(F.col("hit.le") == float("inf"), F.col("top"))
             .otherwise(F.col("hit.floor") + (F.col("hit.le") - F.col("hit.floor")) * inside)

@@ -16,7 +16,7 @@ Step = Callable[[DataFrame], DataFrame]
 
 def ingest_batch(rows: DataFrame, steps: Sequence[Step], writers: Sequence[BatchWriter]) -> None:
     """Run the steps and hand what is left to every writer."""
-    fan_out(writers)(run_processors(rows, steps), 0)
+    fan_out(writers, persist=False)(run_processors(rows, steps), 0)
 
 
 def ingest_stream(

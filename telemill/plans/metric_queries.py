@@ -220,11 +220,7 @@ def _instant_sql(seconds: int) -> str:
 
 def histogram_quantile(spark, sf_dir):
     vector = views.histogram_vector_of(views.table(spark, sf_dir, "events"))
-    out = []
-    for q in (0.5, 0.9, 0.99):
-        quantiles = ops.histogram_quantile(vector, q)
-        out.append(_labels(quantiles, F.lit(q).alias("q")).drop("l_shard", "l_service"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return _labels(ops.histogram_quantile(vector, (0.5, 0.9, 0.99)), "q").drop("l_shard", "l_service")
 
 
 _BOUNDS = "(25.0::DOUBLE), (50.0), (100.0), (200.0), (400.0), ('inf'::DOUBLE)"

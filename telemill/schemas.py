@@ -72,18 +72,13 @@ METRIC_SCHEMA = _row(
     service_name=TEXT,
 )
 
-# Histogram and summary points carry the metric columns plus their own.
+# Histogram points carry the metric columns plus their own.
 HISTOGRAM_SCHEMA = StructType(
     METRIC_SCHEMA.fields
     + _row(
         count=LONG, sum=DOUBLE, bucket_counts=ArrayType(LONG), explicit_bounds=ArrayType(DOUBLE), min=DOUBLE, max=DOUBLE
     ).fields
 )
-SUMMARY_SCHEMA = StructType(
-    METRIC_SCHEMA.fields
-    + _row(count=LONG, sum=DOUBLE, quantiles=ArrayType(_row(quantile=DOUBLE, value=DOUBLE))).fields
-)
-
 CONDITION = _row(type=TEXT, operator=TEXT, threshold=DOUBLE)
 
 RULE_SCHEMA = _row(

@@ -135,6 +135,20 @@ def _parsed(df: DataFrame, column: str, schema: str, root: str) -> DataFrame:
     return df.select(F.explode(request[root]).alias("r"))
 
 
+def rejected_requests(df: DataFrame, schema: str, root: str, column: str = "value") -> DataFrame:
+    """Requests that the flattening functions leave out: the message and a reason.
+
+    ``schema`` and ``root`` are those of the signal, for instance ``TRACES_REQUEST`` and ``resourceSpans``.
+    """
+    body = F.col(column)
+    reason = (
+        F.when(body.isNull(), "no message")
+        .when(F.get_json_object(body, "$").isNull(), "not JSON")
+        .when(F.from_json(body, schema)[root].isNull(), f"no {root}")
+    )
+    return df.select(body.alias("message"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def flatten_otlp_traces(df: DataFrame, column: str = "value") -> DataFrame:
     """Trace export requests to spans, with events, links and trace state."""
     spans = (

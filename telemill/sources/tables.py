@@ -113,15 +113,17 @@ def batch_writer(path: str, layout: TableLayout, prepare: Callable[[DataFrame],
     return write
 
 
-def fan_out(writers: Sequence[BatchWriter]) -> BatchWriter:
+def fan_out(writers: Sequence[BatchWriter], persist: bool = True) -> BatchWriter:
     """A ``foreachBatch`` function handing every non-empty batch, with its number, to all writers.
 
     A writer that fails does not keep the others from running; all errors are raised together at the
-    end, and the batch comes again to all of them.  It is persisted once for all writers.
+    end, and the batch comes again to all of them.  A micro-batch is persisted once for all writers; a whole
+    load is not, each writer reads it again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        if persist:
+            batch.persist()
         try:
             if batch.isEmpty():
                 return
@@ -134,7 +136,8 @@ def fan_out(writers: Sequence[BatchWriter]) -> BatchWriter:
             if errors:
                 raise RuntimeError("; ".join(f"{type(e).__name__}: {e}" for e in errors)) from errors[0]
         finally:
-            batch.unpersist()
+            if persist:
+                batch.unpersist()
 
     return write
 

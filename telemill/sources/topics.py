@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from telemill.schemas import LOG_SCHEMA, METRIC_SCHEMA
 
-# Micro-batch settings: how often a stream looks for rows, and how many it takes at a time.
+# How often a stream looks for rows; ``max_rows`` of a topic bounds how many it takes at a time.
 DEFAULT_TRIGGER = {"processingTime": "30 seconds"}
-LOG_TRIGGER = {"processingTime": "5 seconds"}
-DEFAULT_BATCH_ROWS = 1000
-LOG_BATCH_ROWS = 500
 
 TOPIC_KEYS = {"spans": "trace_id", "logs": "service_name", "metrics": "name"}
 

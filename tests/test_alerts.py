@@ -270,3 +270,14 @@ def test_outbox(spark):
     ]
     alert = sent.first()["alerts"][0]
     assert alert["severity"] == "critical" and alert["labels"] == {"team": "b", "env": "prod"}
+
+
+def test_invalid_silences_are_reported_and_ties_are_settled(spark):
+    changes = silences(
+        spark, silence("a"), silence("a", deleted=True), silence("b", matchers=()), silence("c", start=5, end=5),
+        silence("d", by=""), silence("e"),
+    )
+    assert sorted(rows(ops.invalid_silences(changes), "id", "reason")) == [
+        ("b", "no matchers"), ("c", "end is not after start"), ("d", "no creator"),
+    ]
+    assert rows(ops.current_silences(changes), "id") == [("e",)]

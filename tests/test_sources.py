@@ -217,7 +217,16 @@ def test_batches_own_their_folders_and_are_compacted(spark, tmp_path):
     write(spans(spark, span("t", "3", start=1)), 1)
     write(first, 0)  # delivered again
     back = tables.read_spans(spark, path)
-    assert sorted(rows(back, "span_id", "batch")) == [("1", 0), ("2", 0), ("3", 1)]
+    assert sorted(rows(spark.read.parquet(path), "span_id", "batch")) == [("1", 0), ("2", 0), ("3", 1)]
+    assert "batch" not in back.columns
     tables.rewrite_retained(spark, path, str(tmp_path / "kept"), tables.SPANS, at(7 * 86400 + 0.5), 7)
     kept = tables.read_spans(spark, str(tmp_path / "kept"))
     assert sorted(rows(kept, "span_id")) == [("2",), ("3",)] and "batch" not in kept.columns
+
+
+def test_rejected_requests(spark):
+    from telemill.sources import otlp
+
+    df = spark.createDataFrame([(None,), ("{broken",), ("{}",), ('{"resourceSpans": []}',)], "value string")
+    got = sorted(rows(otlp.rejected_requests(df, otlp.TRACES_REQUEST, "resourceSpans"), "reason"))
+    assert got == [("no message",), ("no resourceSpans",), ("not JSON",)]
