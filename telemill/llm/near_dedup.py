@@ -1,16 +1,17 @@
 """Near duplicates: MinHash bands, odd sketches, exact confirmation, components.
 
 A document's set is its distinct five-word shingles, A-Z lower-cased, as 64-bit hashes.  ``HASHES`` MinHash samples of
-the set give ``BANDS`` band keys and an odd sketch: a bitmap in which every sample flips one bit.  The XOR of two
-sketches has about (n/2)(1 - (1 - 2/n)^(2m)) ones if m samples differ, so its population count estimates the
-similarity.  Bands of four samples miss a pair at similarity 0.75 once in 190,000 pairs; the sketch filter passes
-estimates down to ``SKETCH_FLOOR``, five standard deviations below.  Links are confirmed on the full sets.
-
-Rows with equal sets are one class from the start, however many they are.  In a bucket of equal band keys not all pairs
-are formed: the smallest id is compared with all others, components are found, and only buckets that still hold several
-components go on.  There, members of all components but the largest take turns to be compared with the members of other
-components, until no pair of different components is left.  So a group of near copies costs a number of pairs in
-proportion to its size, and no link between members of different components is skipped.
+the set give ``BANDS`` band keys; bands of four samples miss a pair at similarity 0.75 once in 190,000 pairs.  Samples of
+``BINS`` bins under one permutation are folded into an odd sketch: a bitmap in which every sample flips one bit.  The
+ones in the XOR of two sketches estimate how many samples differ; candidates with more ones than a pair at the threshold
+shows, plus ``DEVIATIONS`` standard deviations of sampling and folding, are passed over.  Links are confirmed on full sets.
+
+Rows with equal sets are one class from the start, however many they are.  In a bucket of equal band keys the member
+that shares most buckets with others is compared with all others.  Buckets that then still hold several components are
+looked at once more: pairs of members of different components are held against each other by their sketches, in
+the first bucket that they share, and the likely ones are confirmed.  So a group of near copies costs a number of
+confirmed pairs in proportion to its size, and no candidate between different components is left out.  A bucket with
+more than ``BLOCK`` members is spread over pairs of blocks.
 
 Components come from contraction: every node joins the neighbour of smallest hashed rank, joined edges vanish, until no
 edge is left.  All tables are joined and aggregated by Spark; nothing is collected.
@@ -22,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.shared import whole, written
 
 WORDS = 5
 PERCENT = 75
-HASHES, BANDS, SKETCH_BITS = 128, 32, 512
-SKETCH_FLOOR = 0.5
-CENTRES = 16
+HASHES, BANDS = 128, 32
+BINS, SKETCH_BITS, DEVIATIONS = 1024, 2048, 5.0
+BLOCK = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
@@ -51,7 +52,7 @@ _BASE = int(_constants(1, 1)[0])
 _STEPS = _constants(WORDS, 2)
 _FAMILY = _constants(HASHES, 3)
 _BAND = _constants(HASHES // BANDS, 4)
-_SALT = _constants(HASHES, 5)
+_SALT = _constants(2, 5)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -88,18 +89,39 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(rows) * _BAND).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U)).view(np.int64)
 
 
+def bin_samples(hashes: np.ndarray) -> np.ndarray:
+    """The least of the sorted hashes in each bin that has any."""
+    bins = (_mixed(hashes ^ _SALT[0]) % _U(BINS)).astype(np.uint16)
+    order = np.argsort(bins, kind="stable")
+    return hashes[order[np.append(True, bins[order][1:] != bins[order][:-1])]]
+
+
 def odd_sketch(low: np.ndarray) -> bytes:
-    flips = np.bincount((_mixed(low ^ _SALT) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    flips = np.bincount((_mixed(low ^ _SALT[1]) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-def _most_ones(similarity: float) -> int:
-    """Ones to expect in the XOR of two sketches of this similarity."""
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * HASHES * (1 - similarity))))
+def most_ones(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, deviations: float = DEVIATIONS) -> np.ndarray:
+    """Ones in the XOR of the sketches that a pair at the threshold may show, from the sizes of sets and samples."""
+    similarity = PERCENT / 100
+    union = (na + nb) / (1 + similarity)
+    filled = BINS * -np.expm1(-union / BINS)
+    spread = np.sqrt(filled * similarity * (1 - similarity) * np.maximum(0, 1 - filled / union))
+    differ = np.maximum(0, ka + kb - 2 * similarity * filled) + 2 * deviations * spread
+    ones = SKETCH_BITS / 2 * -np.expm1(-2 * differ / SKETCH_BITS)
+    folded = SKETCH_BITS / 4 * -np.expm1(-4 * differ / SKETCH_BITS) - differ * np.exp(-4 * differ / SKETCH_BITS)
+    return ones + deviations * np.sqrt(np.maximum(folded, 0)) + 1
+
+
+def _likely(one: dict[str, np.ndarray], other: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether set sizes and sketches (n, k, sketch as rows of words) allow a link; shapes are broadcast."""
+    na, nb = one["n"], other["n"]
+    ones = np.bitwise_count(one["sketch"] ^ other["sketch"]).sum(axis=-1, dtype=np.int64)
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (ones <= most_ones(na, nb, one["k"], other["k"]))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, _digest (of the set), _words (the sketch, as longs), _keys (bands); sets may be empty."""
+    """doc_id, n_shingles, _digest (of the set), _k (samples in the sketch), _sketch, _keys (bands); sets may be empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,58 +129,60 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         none = np.zeros(0, np.int64)
         for batch in batches:
-            sizes, digests, sketches, keys = [], [], [], []
+            sizes, digests, counts, sketches, keys = [], [], [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py() or "")
-                low = samples(own) if len(own) else None
+                low = bin_samples(own) if len(own) else own
                 sizes.append(len(own))
                 digests.append(hashlib.md5(own.tobytes()).digest())
-                sketches.append(none if low is None else np.frombuffer(odd_sketch(low), np.int64))
-                keys.append(none if low is None else band_keys(low))
+                counts.append(len(low))
+                sketches.append(odd_sketch(low))
+                keys.append(band_keys(samples(own)) if len(own) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-                + [pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys)],
-                ["doc_id", "n_shingles", "_digest", "_words", "_keys"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
+                 pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "_digest", "_k", "_sketch", "_keys"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, _digest binary, _words array<long>, _keys array<long>"
+        run, f"doc_id {kind}, n_shingles long, _digest binary, _k long, _sketch binary, _keys array<long>"
     )
 
 
-def _similar_sketches(one: str, other: str) -> Column:
-    ones = F.aggregate(
-        F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, c: a + c.cast("int")
-    )
-    return ones <= _most_ones(SKETCH_FLOOR)
+def _side(batch: pa.RecordBatch, end: str = "") -> dict[str, np.ndarray]:
+    words = np.frombuffer(b"".join(batch.column(f"_sketch{end}").to_pylist()), _U).reshape(batch.num_rows, -1)
+    return {"n": batch.column(f"_n{end}").to_numpy(), "k": batch.column(f"_k{end}").to_numpy(), "sketch": words}
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (_a, _b) whose set sizes and sketches allow a link."""
-    side = lambda c: reps.select(F.col("_rep").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"), F.col("_words").alias(f"_w{c}"))
-    joined = pairs.join(side("b"), "_b").join(side("a"), "_a")
-    sizes = 100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")
-    return joined.filter(sizes).filter(_similar_sketches("_wa", "_wb")).select("_a", "_b")
+def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (_a, _b) whose sketches allow a link and whose full sets are similar enough."""
 
+    def with_sides(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for end in "ba":
+            side = table.select(F.col("_rep").alias(f"_{end}"), *[F.col(c).alias(f"{c}{end}") for c in columns])
+            rows = rows.join(side, f"_{end}")
+        return rows.select("_a", "_b", *[f"{c}{end}" for end in "ab" for c in columns])
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (_a, _b) whose full sets are similar enough."""
-    side = lambda c: texts.select(F.col("_rep").alias(f"_{c}"), F.col("_text").alias(f"_t{c}"))
-    both = pairs.join(side("b"), "_b").join(side("a"), "_a")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select(["_a", "_b"]).filter(pa.array(_likely(_side(batch, "a"), _side(batch, "b"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
             keep = []
             for i, a in enumerate(batch.column("_a").to_pylist()):
                 if a != last:  # rows of one centre arrive together
-                    last, left = a, shingles(batch.column("_ta")[i].as_py())
-                right = shingles(batch.column("_tb")[i].as_py())
+                    last, left = a, shingles(batch.column("_texta")[i].as_py())
+                right = shingles(batch.column("_textb")[i].as_py())
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * common >= PERCENT * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], ["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("_a", "_b", "_ta", "_tb").mapInArrow(run, "_a long, _b long")
+    likely = with_sides(pairs, reps, "_n", "_k", "_sketch").mapInArrow(sketched, "_a long, _b long")
+    likely = written(likely, "pairs")
+    return written(with_sides(likely, texts, "_text").mapInArrow(confirmed, "_a long, _b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,54 +205,106 @@ def components(links: DataFrame) -> DataFrame:
     return written(labels.join(smallest, "_root").select("_rep", "_comp"), "components")
 
 
-def _next_centres(members: DataFrame, comps: DataFrame, used: DataFrame, wave: int) -> tuple[DataFrame, DataFrame]:
-    """Members of unsettled buckets with their components, and the members that are compared next.
-
-    A bucket is settled when at most one of its components has members that were not yet compared with the rest.
-    """
-    placed = members.join(comps, "_rep", "left").withColumn("_comp", F.coalesce("_comp", "_rep"))
-    fresh = placed.join(used, ["_key", "_rep"], "left_anti")
-    open_ = fresh.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_n"), F.min("_rep").alias("_rep"))
-    bucket = Window.partitionBy("_key")
-    ranked = open_.withColumn("_many", F.count(F.lit(1)).over(bucket)).filter("_many > 1")
-    # The largest component waits; of the others about CENTRES, twice as many in each wave.
-    first = F.struct(-F.col("_n"), F.col("_comp"))
-    ranked = ranked.withColumn("_waits", first == F.min(first).over(bucket)).filter(~F.col("_waits"))
-    draw = F.pmod(F.xxhash64("_comp", F.lit(wave)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    turn = ranked.withColumn("_turn", draw).withColumn("_first", F.min("_turn").over(bucket))
-    turn = turn.filter((F.col("_turn") * F.col("_many") <= CENTRES << wave) | (F.col("_turn") == F.col("_first")))
-    return placed, turn.select("_key", F.col("_rep").alias("_centre"), F.col("_comp").alias("_own"))
+def _pairs_in_block(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of a bucket (or of two of its blocks) the likely pairs of different components, as indexes."""
+    comp, block, keys, n = rows["comp"], rows["block"], rows["keys"], len(rows["comp"])
+    names, sizes = np.unique(comp, return_counts=True)
+    main = comp == names[sizes.argmax()]
+    every, lefts, rights = np.arange(n), [], []
+    across = block.min() != block.max() or rows["across"]
+    step = max(1, (1 << 17) // n)
+    rest = np.flatnonzero(~main)
+    for at in range(0, len(rest), step):
+        own = rest[at : at + step]
+        meets = (comp[own][:, None] != comp) & (main | (every > own[:, None]))
+        if across:
+            meets &= block[own][:, None] != block
+        left, right = np.nonzero(meets)
+        left = own[left]
+        pick = lambda i: {c: rows[c][i] for c in ("n", "k", "sketch")}
+        near = _likely(pick(left), pick(right))
+        left, right = left[near], right[near]
+        first = (keys[left] == keys[right]).argmax(axis=1) == rows["band"]
+        lefts.append(left[first])
+        rights.append(right[first])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+
+
+def _across_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_a, _b of likely pairs, from rows sorted by bucket and pair of blocks; each pair in its first common bucket."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        plain = {c: rows.column(f"_{c}").to_numpy() for c in ("key", "i", "j", "band", "rep", "comp", "block")}
+        side = _side(rows)
+        keys = rows.column("_keys").flatten().to_numpy().reshape(rows.num_rows, -1)
+        fresh = np.append(True, (plain["key"][1:] != plain["key"][:-1]) | (plain["i"][1:] != plain["i"][:-1]) | (plain["j"][1:] != plain["j"][:-1]))
+        bounds = np.append(np.flatnonzero(fresh), rows.num_rows)
+        for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = slice(begin, end)
+            group = {"keys": keys[own], "band": plain["band"][begin], "comp": plain["comp"][own], "block": plain["block"][own]}
+            group |= {c: side[c][own] for c in side} | {"across": plain["i"][begin] != plain["j"][begin]}
+            left, right = _pairs_in_block(group)
+            if len(left):
+                one, other = plain["rep"][own][left], plain["rep"][own][right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["_a", "_b"])
+
+    def last_group(rows: pa.RecordBatch) -> int:
+        """Where the last bucket, which may go on, begins."""
+        same = np.ones(rows.num_rows, bool)
+        for c in ("_key", "_i", "_j"):
+            same &= rows.column(c).to_numpy() == rows.column(c)[-1].as_py()
+        return int(rows.num_rows - same.sum())
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+        cut = last_group(rows)
+        yield from pairs(rows.slice(0, cut))
+        held = [rows.slice(cut)]
+    if held:
+        yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _unsettled(members: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, once for each pair of blocks that they are in."""
+    placed = members.filter("_size > 2").select("_key", "_band", "_rep", "_size").join(comps, "_rep", "left")
+    placed = placed.withColumn("_comp", F.coalesce("_comp", "_rep"))
+    several = placed.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low <> _high")
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    rows = placed.join(several.select("_key"), "_key").withColumn("_block", F.pmod(F.xxhash64("_rep"), blocks).cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(
+        "_key", "_band", "_rep", "_comp", "_block", F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j")
+    )
+    return rows.join(reps, "_rep")
 
 
 def link_components(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """_rep, _comp of the linked among ``reps`` (_rep, _n, _words, _keys), whose texts are in ``docs``."""
-    rows = reps.select("_rep", F.explode("_keys").alias("_key"))
-    buckets = rows.groupBy("_key").agg(F.min("_rep").alias("_centre"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    """_rep, _comp of the linked among ``reps`` (_rep, _n, _k, _sketch, _keys), whose texts are in ``docs``."""
+    rows = reps.select("_rep", F.posexplode("_keys").alias("_band", "_key"))
+    buckets = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     members = written(rows.join(buckets, "_key"), "members")
-    pairs = members.filter("_rep <> _centre").select(F.col("_centre").alias("_a"), F.col("_rep").alias("_b")).distinct()
-    reps = reps.select("_rep", "_n", "_words")
-    pairs = written(_likely(pairs, reps), "pairs")
+    # The centre of a bucket: the member with most company in all its buckets, of equals the smallest id.
+    company = members.groupBy("_rep").agg(F.sum("_size").alias("_company"))
+    ranked = members.join(company, "_rep")
+    centres = ranked.groupBy("_key").agg(F.max(F.struct("_company", -F.col("_rep"))).alias("_top"))
+    centres = centres.select("_key", (-F.col("_top.col2")).alias("_centre"))
+    met = members.select("_key", "_rep").join(centres, "_key").filter("_rep <> _centre")
+    pairs = met.select(F.col("_centre").alias("_a"), F.col("_rep").alias("_b")).distinct()
     # Texts of all members, as any of them may be compared later on.
     wanted = members.select(F.col("_rep")).distinct().hint("merge")
     texts = written(docs.select(F.col("doc_id").alias("_rep"), whole().alias("_text")).join(wanted, "_rep"), "member-texts")
-    links = written(_linked(pairs, texts), "links")
+    links = _linked(pairs, reps, texts)
     comps = components(links)
-    used = members.select("_key", F.col("_centre").alias("_rep")).distinct()
-    members = members.filter("_size > 2").select("_key", "_rep")
-    wave = 0
-    while True:
-        placed, centres = _next_centres(members, comps, used, wave)
-        centres = written(centres, "centres")
-        if centres.isEmpty():
-            return comps
-        met = placed.join(centres, "_key").filter("_comp <> _own")
-        pairs = met.select(F.least("_rep", "_centre").alias("_a"), F.greatest("_rep", "_centre").alias("_b")).distinct()
-        found = written(_linked(_likely(pairs, reps), texts), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            comps = components(links)
-        used = written(used.union(centres.select("_key", F.col("_centre").alias("_rep"))), "used")
-        wave += 1
+    unsettled = _unsettled(members, comps, reps).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+    found = _linked(written(unsettled.mapInArrow(_across_components, "_a long, _b long"), "across"), reps, texts)
+    return components(links.union(found))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -244,7 +320,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = written(classes.filter(F.col("_rep").isNotNull()), "classes")
     first = classes.select("_digest", "_rep")
     reps = full.join(first, (full["_digest"] == first["_digest"]) & (F.col("doc_id") == F.col("_rep")), "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "_digest"]).select(F.col("doc_id").alias("_rep"), F.col("n_shingles").alias("_n"), "_words", "_keys")
+    reps = reps.dropDuplicates(["doc_id", "_digest"]).select(F.col("doc_id").alias("_rep"), F.col("n_shingles").alias("_n"), "_k", "_sketch", "_keys")
     reps = written(reps, "reps")
     comps = link_components(reps, docs)
     joined = classes.join(comps, "_rep", "left")
@@ -260,6 +336,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the smallest id."""
+    """One document of each group, with all its columns: the smallest id.  Rows that share an id, or have none, go together."""
     gone = near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

@@ -97,17 +97,27 @@ def test_no_rows_null_ids_repeats_and_foreign_columns(spark, documents):
     assert near_dedup.drop_near(docs.filter("doc_id = 4")).columns == docs.columns
 
 
-def test_odd_sketches_estimate_similarity():
+def test_odd_sketches_tell_similar_sets():
     rng = np.random.default_rng(3)
-    for similarity in (0.95, 0.75, 0.5):
-        ones = []
-        for _ in range(40):
-            n = 1500
-            common = rng.integers(0, 2**63, int(2 * n * similarity / (1 + similarity)), dtype=np.uint64)
-            sides = [np.concatenate([common, rng.integers(0, 2**63, n - len(common), dtype=np.uint64)]) for _ in range(2)]
-            low = [near_dedup.samples(s) for s in sides]
-            one, other = (np.frombuffer(near_dedup.odd_sketch(x), np.uint8) for x in low)
-            ones.append(int(np.unpackbits(one ^ other).sum()))
-        assert abs(np.mean(ones) - near_dedup._most_ones(similarity)) < 6
-        if similarity >= 0.75:
-            assert max(ones) <= near_dedup._most_ones(near_dedup.SKETCH_FLOOR)
+    for n in (8, 150, 1500, 20_000):
+        for similarity, passes in ((1.0, True), (0.9, True), (0.76, True), (0.55 if n > 1000 else 0.4 if n > 100 else 0.0, False)):
+            for _ in range(25):
+                common = rng.integers(0, 2**63, int(np.ceil(2 * n * similarity / (1 + similarity))), dtype=np.uint64)
+                sides = [np.unique(np.concatenate([common, rng.integers(0, 2**63, n - len(common), dtype=np.uint64)])) for _ in range(2)]
+                low = [near_dedup.bin_samples(s) for s in sides]
+                one, other = ({"n": np.array([len(s)]), "k": np.array([len(x)]), "sketch": np.frombuffer(near_dedup.odd_sketch(x), np.uint64)[None]}
+                              for s, x in zip(sides, low))
+                assert near_dedup._likely(one, other)[0] == passes, (n, similarity)
+
+
+def test_blocks_of_a_large_bucket_meet(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            words[rng.randrange(150)] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    check(near_dedup.near_groups(documents(*rows)), rows)
