@@ -31,7 +31,7 @@ from telemill.llm.shared import whole, written
 WORDS = 5
 PERCENT = 75
 HASHES, BANDS = 128, 32
-BINS, SKETCH_BITS, DEVIATIONS = 1024, 2048, 5.0
+BINS, SKETCH_BITS, DEVIATIONS = 2048, 4096, 4.5
 BLOCK = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -154,21 +154,29 @@ def _side(batch: pa.RecordBatch, end: str = "") -> dict[str, np.ndarray]:
     return {"n": batch.column(f"_n{end}").to_numpy(), "k": batch.column(f"_k{end}").to_numpy(), "sketch": words}
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (_a, _b) whose sketches allow a link and whose full sets are similar enough."""
+def _with_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (_a, _b) with columns of both ends."""
+    for end in "ba":
+        side = table.select(F.col("_rep").alias(f"_{end}"), *[F.col(c).alias(f"{c}{end}") for c in columns])
+        pairs = pairs.join(side, f"_{end}")
+    return pairs.select("_a", "_b", *[f"{c}{end}" for end in "ab" for c in columns])
 
-    def with_sides(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        for end in "ba":
-            side = table.select(F.col("_rep").alias(f"_{end}"), *[F.col(c).alias(f"{c}{end}") for c in columns])
-            rows = rows.join(side, f"_{end}")
-        return rows.select("_a", "_b", *[f"{c}{end}" for end in "ab" for c in columns])
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (_a, _b) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield batch.select(["_a", "_b"]).filter(pa.array(_likely(_side(batch, "a"), _side(batch, "b"))))
 
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _with_sides(pairs, reps, "_n", "_k", "_sketch").mapInArrow(run, "_a long, _b long")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (_a, _b) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
             keep = []
@@ -180,9 +188,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(left) + len(right) - common))
             yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = with_sides(pairs, reps, "_n", "_k", "_sketch").mapInArrow(sketched, "_a long, _b long")
-    likely = written(likely, "pairs")
-    return written(with_sides(likely, texts, "_text").mapInArrow(confirmed, "_a long, _b long"), "links")
+    return written(_with_sides(written(pairs, "pairs"), texts, "_text").mapInArrow(run, "_a long, _b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,10 +306,10 @@ def link_components(reps: DataFrame, docs: DataFrame) -> DataFrame:
     # Texts of all members, as any of them may be compared later on.
     wanted = members.select(F.col("_rep")).distinct().hint("merge")
     texts = written(docs.select(F.col("doc_id").alias("_rep"), whole().alias("_text")).join(wanted, "_rep"), "member-texts")
-    links = _linked(pairs, reps, texts)
+    links = _linked(_sketched(pairs, reps), texts)
     comps = components(links)
     unsettled = _unsettled(members, comps, reps).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
-    found = _linked(written(unsettled.mapInArrow(_across_components, "_a long, _b long"), "across"), reps, texts)
+    found = _linked(unsettled.mapInArrow(_across_components, "_a long, _b long"), texts)
     return components(links.union(found))
 
 
