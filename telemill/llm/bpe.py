@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 #: Texts encoded together; bounds what a worker holds beside its batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_characters() -> list[str]:
