@@ -2,9 +2,10 @@
 
 All rules are column expressions.  Lines are normalised (A-Z lower-cased, white space runs to one space, trimmed) and
 hashed; per host (the ``source`` column, null being a host of its own) the distinct texts that hold a line are
-counted.  A line is above the limit if more than ``MIN_TEXTS`` texts and more than ``SHARE`` of the host's texts hold
-it.  Its first holder (smallest doc_id) keeps it, all others lose it; copies of one text count as one text, so copying
-alone makes no line frequent.  A document that keeps fewer than ``KEEP_SHARE`` of its words, or fewer than
+counted.  A line is above the limit if more than ``SHARE`` of the host's texts hold it, and more than ``MIN_TEXTS``, so
+that a few texts that agree by chance make no line frequent on a small host.  Its first holder (smallest doc_id) keeps
+it, all others lose it; copies of one text count as one text, so copying alone makes no line frequent.  A document that
+keeps fewer than ``KEEP_SHARE`` of its words, or fewer than
 ``LEAST_WORDS``, is depleted and rejected.
 
 A host has at most (lines per text) / SHARE lines above the limit, so they fit one row per host, and the lines of the
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm.shared import WORD, ascii_lower, whole, words_of, written
 
-MIN_TEXTS = 50
+MIN_TEXTS = 3
 SHARE = 0.05
 LEAST_WORDS = 20
 KEEP_SHARE = 0.3

@@ -135,6 +135,24 @@ def test_frequent_lines_of_a_host_are_removed(documents):
     assert kept.columns == with_foreign_columns(docs).columns and kept.count() == len(rows) - 5
 
 
+def test_registered_quality_removes_lines_of_small_hosts(spark):
+    sf = SF.replace("sf0.001", "sf0.01")  # 49 or 50 texts a host
+    plan, sql = queries.QUERIES["op6_quality"]
+    rows = plan(spark, sf).cache()
+    ok, note = compare(rows, connect(sf), sql)
+    assert ok, note
+    assert rows.filter("n_kept_words < n_words").count() > 100
+    assert rows.filter("NOT base_failed AND NOT kept").count() > 0
+
+
+def test_limit_does_not_depend_on_the_number_of_texts(documents):
+    # One line in 10% of the texts, whatever the host's size; three texts may agree by chance.
+    rows = [(n * 1000 + i, f"{LONG}{n} {i}" + ("\nthe same line here" if i % 10 == 0 else ""), f"h{n}") for n in (30, 40, 400) for i in range(n)]
+    got = by_id(quality.quality(documents(*rows)))
+    lost = collections.Counter(i // 1000 if i < 400_000 else 400 for i, r in got.items() if r["n_kept_words"] == r["n_words"] - 4)
+    assert lost == {40: 3, 400: 39}
+
+
 def test_repeated_chunks(documents):
     def plain(rows):
         """The same rule, line by line."""
