@@ -6,7 +6,8 @@ punctuation density, the words in its class, id and role and in those of its anc
 takes the likeliest labelling in which nothing below an unwanted node is wanted, so an ancestor and a descendant
 cannot contradict each other; it is one pass over the nodes from the last to the first.
 
-The trees are fitted on at most ``TRAIN_PAGES`` pages (least hash of page_id, at most ``TRAIN_CHARS`` characters) and on
+The trees are fitted on at most ``TRAIN_PAGES`` pages of any length (least hash of page_id; fewer if they exceed
+``TRAIN_CHARS`` characters together, but at least one) and on
 ``VARIANTS`` rearrangements of each under other tags and names, with menus, sidebars, notices, forms, adverts and reader
 comments around and inside.  In given pages text in article or main is main text, unless nearer to a menu, aside or form.
 The model is a few kilobytes and goes to the workers with the function.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from telemill.llm import boosting
 
 TRAIN_PAGES = 300
-TRAIN_CHARS = 64_000
+TRAIN_CHARS = 300 * 64_000
 VARIANTS = 3
 SEED = 11
 
@@ -390,17 +391,28 @@ def training_rows(sources: list[str], variants: int = VARIANTS, seed: int = SEED
     return np.concatenate([features(p) for p in pages]), np.concatenate(labels).astype(np.float64)
 
 
-def fit_pages(pages: DataFrame, most: int = TRAIN_PAGES) -> boosting.Trees | None:
-    """Fit on a bounded sample of the pages; none if there are no pages.
+def fit_pages(pages: DataFrame, most: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> boosting.Trees | None:
+    """Fit on a bounded sample of the pages; none if there are no pages with html.
 
-    Only about four times the sample leaves the scan: a task offers no page beyond that share of all hashes.
+    Pages are taken by hash until there are ``most`` or the next would exceed ``chars`` characters together; the first is
+    taken whatever its length.  Lengths are looked at before any html is collected, and only about four times the sample
+    leaves the scan: a task offers no page beyond that share of all hashes, unless ids are too alike to fill the sample.
     """
     space = 1 << 40
-    rank = F.pmod(F.xxhash64("page_id"), F.lit(space))
-    share = int(space * min(1.0, 4 * most / max(1, pages.count())))
-    fair = pages.filter((F.length("html") <= TRAIN_CHARS) & (rank < share)).select("html", rank.alias("_rank"))
-    sample = [r.html for r in fair.orderBy("_rank", "html").limit(most).collect()]
-    return boosting.fit(*training_rows(sample)) if sample else None
+    key = F.struct(F.pmod(F.xxhash64("page_id"), F.lit(space)).alias("rank"), F.xxhash64("html").alias("own"))
+    given = pages.filter("html IS NOT NULL").select("html", key.alias("_key"))
+    count = given.count()
+    share = int(space * min(1.0, 4 * most / max(1, count)))
+    sizes = given.select("_key", F.length("html").alias("_size"))
+    found = sizes.filter(F.col("_key.rank") < share).orderBy("_key").limit(most).collect()
+    if len(found) < min(most, count):
+        found = sizes.orderBy("_key").limit(most).collect()
+    if not found:
+        return None
+    taken = max(1, int((np.cumsum([r["_size"] for r in found]) <= chars).sum()))
+    last = found[taken - 1]["_key"]
+    near = given.filter(F.col("_key") <= F.struct(F.lit(last["rank"]).alias("rank"), F.lit(last["own"]).alias("own")))
+    return boosting.fit(*training_rows([r.html for r in near.orderBy("_key").limit(taken).collect()]))
 
 
 def main_blocks(source: str, model: boosting.Trees) -> list[str]:
@@ -413,14 +425,18 @@ def extract(pages: DataFrame, model: boosting.Trees | None = None) -> DataFrame:
     """page_id, url, text (wanted blocks joined by a newline, empty if none), n_chars: one row per row of ``pages``.
 
     A null html counts as empty.  The model is fitted on ``pages`` if none is given.  Pages of any length are parsed
-    whole; damaged markup ends open elements as browsers do, in the main.  Other columns are not read.
+    whole; damaged markup ends open elements as browsers do, in the main.  Other columns are not read.  Html without a
+    model is an error, not an empty text.
     """
     model = model or fit_pages(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [Page(s or "") for s in batch.column("html").to_pylist()]
+            sources = batch.column("html").to_pylist()
+            if not model and any(sources):
+                raise ValueError("no page to fit the model on, but pages to extract from")
+            parsed = [Page(s or "") for s in sources]
             texts: list[str] = []
             for begin in range(0, len(parsed), 256):
                 group = parsed[begin : begin + 256]

@@ -83,6 +83,35 @@ def test_odd_pages(spark, model):
     assert html_main.extract(empty).count() == 0
 
 
+def long_page(i, blocks=700):
+    menu = "".join(f"<li><a href=/{k}>Go {k}</a></li>" for k in range(8))
+    main = "".join(f"<p>Long page {i}, block {k}: a sentence of the article, which goes on for quite a while, and then ends.</p>" for k in range(blocks))
+    return f"<html><body><nav class=menu><ul>{menu}</ul></nav><article><h1>Title {i}</h1>{main}</article><footer><p>&copy; Site</p></footer></body></html>"
+
+
+def test_a_table_of_long_pages_only(spark):
+    rows = [(i, "u", long_page(i)) for i in range(3)] + [(3, "u", None)]
+    assert min(len(s) for _, _, s in rows[:3]) > 64_000
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_main.extract(pages).collect()}
+    assert texts.pop(3) == ""
+    assert all(texts[i] == "\n".join(article(rows[i][2])) for i in texts) and len(texts) == 3
+
+
+def test_training_sample_is_bounded_by_fewer_pages_not_shorter_ones(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_main, "training_rows", lambda sources: (seen.append(sources), (np.eye(4), np.array([0.0, 1, 0, 1])))[1])
+    rows = [(i, long_page(i, 5 + 300 * (i % 2))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    html_main.fit_pages(pages, 20)
+    html_main.fit_pages(pages, 20, 200_000)
+    html_main.fit_pages(pages, 20, 1)
+    html_main.fit_pages(pages.selectExpr("7 AS page_id", "html"), 4)
+    assert [len(s) for s in seen][::2] == [20, 1] and len(seen[3]) == 4
+    assert seen[1] == seen[0][: len(seen[1])] and sum(map(len, seen[1])) <= 200_000 < sum(map(len, seen[0][: len(seen[1]) + 1]))
+    assert html_main.fit_pages(pages.filter("page_id < 0")) is None
+
+
 def test_decoding_is_the_likeliest_consistent_labelling():
     rng = random.Random(1)
     for _ in range(60):
