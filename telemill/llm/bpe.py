@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -107,13 +108,38 @@ def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit, each distinct unit of a batch once; ids are unsigned 32-bit integers."""
+    """Encodes texts unit by unit, each distinct unit of a batch once; ids are unsigned 32-bit integers.
 
-    def __init__(self, tokenizer, byte_lengths: np.ndarray):
+    The text of a token added to the tokenizer is ordinary text, or with ``added_tokens`` that token, as by the library's
+    default.  It is a unit then: the library encodes what lies before and behind it on its own.
+    """
+
+    def __init__(self, tokenizer, byte_lengths: np.ndarray, added_tokens: bool = False):
         self.tokenizer = tokenizer
-        self.tokenizer.encode_special_tokens = True
         self.lengths = byte_lengths
         self.known: dict[bytes, bytes] = {}
+        self.added: re.Pattern[bytes] | None = None
+        if not added_tokens:
+            self.tokenizer.encode_special_tokens = True
+        elif added := self.tokenizer.get_added_tokens_decoder().values():
+            if tokenizer.normalizer or any(t.single_word or t.lstrip or t.rstrip for t in added):
+                raise ValueError("added tokens that depend on the text around them, or on a normalizer")
+            contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+            self.added = re.compile(b"|".join(map(re.escape, contents)))
+
+    def _around_added(self, raw: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The places where units begin, with every added token's text as a unit; ``texts`` has the end, too."""
+        held = raw.tobytes()
+        if not self.added or not self.added.search(held):
+            return starts
+        ends = texts.tolist()
+        spans = np.array([m.span() for b, e in zip(ends, ends[1:]) for m in self.added.finditer(held, b, e)], np.int64).reshape(-1, 2)
+        if not len(spans):
+            return starts
+        before = np.searchsorted(spans[:, 0], starts) - 1  # the last token's text that begins before
+        inside = (before >= 0) & (starts < spans[before, 1])
+        places = np.concatenate([starts[~inside], spans.ravel()])
+        return np.unique(places[places < len(raw)])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,6 +149,9 @@ class UnitEncoder:
         spaced, plain, rest = [], [], []
         for raw in units:
             text = raw.decode()
+            if self.added and self.added.search(raw):
+                rest.append((raw, text))
+                continue
             kind = spaced if text[0] == " " and text[1:].isalpha() else plain if text.isalpha() else rest
             kind.append((raw, text))
         self.known.update(zip((r for r, _ in rest), (i.tobytes() for i in self._whole([t for _, t in rest]))))
@@ -148,7 +177,7 @@ class UnitEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        starts = unit_starts(raw, offsets)
+        starts = self._around_added(raw, offsets, unit_starts(raw, offsets))
         bounds = np.append(starts, len(raw)).astype(np.int32)
         units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         coded = units.dictionary_encode()

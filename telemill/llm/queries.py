@@ -142,7 +142,7 @@ FROM m GROUP BY doc_id
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "token-shards")
-    token_shards.write_shards(table(spark, sf_dir, "documents"), out, str(public_tokenizers.path("byte_bpe_50k.json")))
+    token_shards.write_shards(table(spark, sf_dir, "documents"), out, str(public_tokenizers.path("byte_bpe_50k.json")), added_tokens=True)
     return token_shards.read_shards(spark.read.parquet(out))
 
 

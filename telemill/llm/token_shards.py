@@ -148,26 +148,29 @@ class Shard:
 
 
 @lru_cache(maxsize=2)
-def file_encoder(path: str) -> UnitEncoder:
+def file_encoder(path: str, added_tokens: bool = False) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     own = {c: b for b, c in enumerate(byte_characters())}
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-    return UnitEncoder(tokenizer, np.array([sum(1 for c in name if c in own) for name in names]))
+    return UnitEncoder(tokenizer, np.array([sum(1 for c in name if c in own) for name in names]), added_tokens)
 
 
-def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(
+    docs: DataFrame, out: str, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, added_tokens: bool = False
+) -> None:
     """Write ``docs`` in ascending doc_id order as shard files below ``out``: _part, _shard, _start, n_tokens, n_docs, file.
 
     ``_start`` counts the ids before the shard in its part.  Each document ends with ``end_id``.  A null text has only
-    that; null ids come first; rows that repeat an id are ordered by text.
+    that; null ids come first; rows that repeat an id are ordered by text.  With ``added_tokens`` the text of a token added
+    to the tokenizer, like ``<|endoftext|>``, becomes that token, as by the library's default; else it is ordinary text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), file_encoder(path), np.array([end_id], "<u4")
+        part, encoder, end = TaskContext.get().partitionId(), file_encoder(path, added_tokens), np.array([end_id], "<u4")
         held, names, lengths, shard, start, n = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:

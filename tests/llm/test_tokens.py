@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from telemill.llm import bpe, token_shards
+from telemill.llm import bpe, queries, token_shards
 from telemill.session import shared_dir
 
 from .conftest import by_id
@@ -109,6 +109,35 @@ def test_shards_hold_every_document_in_order(spark, documents, sample):
     assert not got
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [
+    f"a{END} x", END, END * 3, f" {END} ", f"a {END}", f"a  {END}  b", f"a\n{END}\nb", f"é{END}'s", f"<|endof{END}text|>", "<|endof", "text|>",
+    f"日本{END}語\x85{END}", f"don't{END}'t {END}x{END}\n\n{END}", "<|endoftext|", f"{END}" + "word and word " * 500 + END,
+]
+
+
+def test_added_tokens_encode_as_the_unchanged_library_does():
+    whole = Tokenizer.from_file(JSON)
+    texts = WITH_ADDED + ODD
+    own = token_shards.file_encoder(JSON, True)
+    assert encoded(own, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(own, [WITH_ADDED[0]]) == [[64, 50256, 2124]]
+    rng = np.random.default_rng(3)
+    mixed = ["".join(rng.choice([END, " ", "\n", "a", "'s", "1", "<|", "|>", "é", "  ", ".", "日"], 12)) for _ in range(3000)]
+    assert encoded(own, mixed) == [whole.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
+def test_registered_shards_hold_added_tokens(spark, documents, monkeypatch):
+    rows = list(enumerate(WITH_ADDED))
+    monkeypatch.setattr(queries, "table", lambda *_: documents(*rows))
+    got = by_id(queries.QUERIES["op7_token_shards"][0](spark, "none"))
+    whole, start = Tokenizer.from_file(JSON), 0
+    for doc_id, text in rows:
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[doc_id] == dict(doc_id=doc_id, start=start, n_tokens=len(ids), ids_crc32=zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_no_documents_no_shards(spark, documents):
     out = shared_dir(spark, "shards")
     token_shards.write_shards(documents(), out, JSON)
