@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards
+from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards, va_clusters
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -167,6 +167,39 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.with_inertia(va_clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10, dims: int = va_clusters.DIMS, scale: int = va_clusters.SCALE) -> str:
+    """Every round as two relations: the nearest centroid of each vector, and the means by dimension."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"d{r} AS (SELECT v.r, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{r} c USING (j) GROUP BY v.r, c.c),\n"
+            f"a{r} AS MATERIALIZED (SELECT r, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.c, c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT c, j,"
+                f" (CASE WHEN sum(x) < 0 THEN -((count(*) - 1 - sum(x)) // count(*)) ELSE sum(x) // count(*) END)::BIGINT AS x"
+                f" FROM a{r} JOIN v USING (r) GROUP BY c, j) m ON c.c = m.c AND c.j = m.j)"
+            )
+    steps = ",\n".join(steps)
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {dims}
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(range({dims})) AS j, floor({scale} * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM e QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, j, x FROM s JOIN v USING (r)),
+{steps},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS "cluster", d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN h USING (c)
+"""
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -178,4 +211,5 @@ QUERIES = {
     "op8_line_chunks": (op8_line_chunks, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_near_dedup": (op10_near_dedup, None),
+    "op11_va_clusters": (op11_va_clusters, _op11_sql()),
 }
