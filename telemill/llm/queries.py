@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_shards, va_clusters
+from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, quality_gam, secret_scan, suffix_dedup, token_shards, va_clusters
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -200,6 +200,10 @@ FROM a{rounds} JOIN e USING (r) JOIN h USING (c)
 """
 
 
+def op13_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -212,4 +216,5 @@ QUERIES = {
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op11_va_clusters": (op11_va_clusters, _op11_sql()),
+    "op13_quality_gam": (op13_quality_gam, None),
 }
