@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, quality_gam, secret_scan, suffix_dedup, token_shards, va_clusters
+from telemill.llm import bpe, exact_dedup, html_main, line_chunks, mixing, near_dedup, quality, quality_gam, secret_scan, spelling, suffix_dedup, token_shards, va_clusters
 from telemill.llm.shared import LOWER, UPPER, table
 from telemill.session import shared_dir
 
@@ -200,6 +200,37 @@ FROM a{rounds} JOIN e USING (r) JOIN h USING (c)
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum is computed byte by byte from a table made by its own rule; words are near if one without a letter is
+#: the other, or if both without the letter at one place are equal.
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list(b ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS b FROM range(256) r(i))),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+  '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(len(x) // 2),
+  lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda a, v: xor(a >> 8, t[xor(a & 255, v) + 1])), 4294967295) AS h FROM b, crc),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {spelling.SPOIL} = 0
+  THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM g a JOIN g b ON a.i = b.i AND a.gap = b.gap AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.gap = w.word UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.gap = w.word),
+c AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, other AS form, m AS form_n FROM (SELECT p.*, w.n FROM p JOIN w USING (word)
+  QUALIFY row_number() OVER (PARTITION BY p.word ORDER BY m DESC, other) = 1) WHERE m >= {spelling.RATIO} * n),
+walk AS (SELECT word, form AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.root = f.word),
+ends AS (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM f))
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM w LEFT JOIN c USING (word) LEFT JOIN f USING (word) LEFT JOIN ends USING (word)
+"""
+
+
 def op13_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -216,5 +247,6 @@ QUERIES = {
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op11_va_clusters": (op11_va_clusters, _op11_sql()),
+    "op12_spelling": (op12_spelling, OP12_SQL),
     "op13_quality_gam": (op13_quality_gam, None),
 }
