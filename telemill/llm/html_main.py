@@ -10,6 +10,9 @@ The trees are fitted on at most ``TRAIN_PAGES`` pages of any length (least hash
 ``TRAIN_CHARS`` characters together, but at least one) and on
 ``VARIANTS`` rearrangements of each under other tags and names, with menus, sidebars, notices, forms, adverts and reader
 comments around and inside.  In given pages text in article or main is main text, unless nearer to a menu, aside or form.
+In a given page without such text the paragraphs of its densest element are main text, if they are most of its
+paragraphs; else the page says nothing, and only its rearrangements are learnt from.  Every other page is learnt from twice, once with those elements under
+other tags and names, so that the model does not rest on them.
 The model is a few kilobytes and goes to the workers with the function.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +55,8 @@ _ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: Open elements that such a search passes at most, so that parsing is linear in depth.  Browsers nest no deeper, either.
+MOST_BETWEEN = 512
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -123,6 +129,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, open_tags = [0], ["#root"]  # open block elements
+        n_open = Counter(open_tags)
         held: list[str] = []
         linked = at = 0
         link = False
@@ -150,7 +157,9 @@ class Page:
             """Close open elements down to a depth."""
             nonlocal skipped
             flush()
-            skipped -= sum(t in _SKIPPED for t in open_tags[to:])
+            for t in open_tags[to:]:
+                skipped -= t in _SKIPPED
+                n_open[t] -= 1
             del stack[to:], open_tags[to:]
 
         for token in _TOKEN.finditer(source):
@@ -169,8 +178,11 @@ class Page:
                     held.append(" ")
                 continue
             if ending:
-                if tag in open_tags:
-                    close(len(open_tags) - 1 - open_tags[::-1].index(tag))
+                if n_open[tag]:
+                    to = len(open_tags) - 1
+                    while open_tags[to] != tag:  # what is passed is closed, so it is passed once
+                        to -= 1
+                    close(to)
                     if link and tag not in ("p", "li"):
                         link = False
                 continue
@@ -178,9 +190,9 @@ class Page:
                 close(len(open_tags) - 1)
             if open_tags[-1] == "p":
                 close(len(open_tags) - 1)
-            elif tag in _ENDS:
+            elif tag in _ENDS and any(n_open[t] for t in _ENDS[tag][0]):
                 ended, barrier = _ENDS[tag]
-                for depth in range(len(open_tags) - 1, 0, -1):
+                for depth in range(len(open_tags) - 1, max(0, len(open_tags) - 1 - MOST_BETWEEN), -1):
                     if open_tags[depth] in barrier:
                         break
                     if open_tags[depth] in ended:
@@ -203,6 +215,7 @@ class Page:
             else:
                 stack.append(self._add(tag, stack[-1], _name_kinds(attributes)))
             open_tags.append(tag)
+            n_open[tag] += 1
         take(source[at:])
         flush()
 
@@ -362,7 +375,8 @@ def _variant(main: list[str], spare: list[str], rng: random.Random) -> str:
     if some(0.3):
         body = f"<div{name('text', 'body', 'entry-content')}>{body}</div>"
     names = ("content", "article-body", "post", "entry-content", "story", "main-content", "post-content", "text")
-    body = f"<{holder}{name(*names)}>{body}</{holder}>"
+    if not some(0.15):  # else the blocks stand in the page's body
+        body = f"<{holder}{name(*names)}>{body}</{holder}>"
     if some(0.3):
         body = f"<div{name('container', 'wrapper', 'page', 'layout')}>{body}{side() if some(0.5) else ''}</div>"
     top = (notice() if some(0.3) else "") + (f"<header{name('header', 'masthead')}><div>{words(2)}</div>{links(3) if some(0.4) else f'<p>{words(6)}</p>'}</header>" if some(0.5) else "")
@@ -373,21 +387,73 @@ def _variant(main: list[str], spare: list[str], rng: random.Random) -> str:
     return f"<html><head><title>{words(4)}</title></head><body>{top}{body}{end}</body></html>"
 
 
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+
+
+def _densest(page: Page) -> list[int]:
+    """The paragraphs and headings of the element that has most of them as children, by characters without links.
+
+    None if that element holds less than half of what stands in paragraphs: then density does not tell.
+    """
+    weight: Counter[int] = Counter()
+    blocks: dict[int, list[int]] = {}
+    for i, (text, linked, up) in enumerate(zip(page.text, page.linked, page.parent)):
+        if text and page.tag[up] in _PROSE and 2 * linked < len(text):
+            holder = page.parent[up]
+            weight[holder] += len(text) - linked
+            blocks.setdefault(holder, []).append(i)
+    if not weight:
+        return []
+    holder, most = weight.most_common(1)[0]
+    return blocks[holder] if 2 * most >= weight.total() else []
+
+
+def _seeded(page: Page) -> np.ndarray:
+    """Labels of a page without telling tags, from density."""
+    wanted = np.zeros(len(page.tag), bool)
+    for i in _densest(page):
+        while i >= 0 and not wanted[i]:
+            wanted[i], i = True, page.parent[i]
+    return wanted
+
+
+def _retagged(page: Page, rng: random.Random) -> Page:
+    """A copy of a parsed page whose article and main elements are others, with and without telling names."""
+    copy = Page("")
+    tag, name = rng.choice(["div", "section", "div"]), rng.choice(["", "", ' class="story"', ' id="content"', ' class="c1"'])
+    copy.tag = [tag if t in _CONTENT else t for t in page.tag]
+    copy.names = [_name_kinds(name) if t in _CONTENT else n for t, n in zip(page.tag, page.names)]
+    copy.parent, copy.text, copy.linked = page.parent, page.text, page.linked
+    return copy
+
+
 def training_rows(sources: list[str], variants: int = VARIANTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the nodes of the given pages and of their rearrangements."""
     rng = random.Random(seed)
-    pages = [Page(s) for s in sources]
-    labels = [_labels(p) for p in pages]
-    texts = [[t for t in p.text if t] for p in pages]
+    given = [Page(s) for s in sources]
+    labels = [_labels(p) for p in given]
+    texts = [[t for t in p.text if t] for p in given]
     spare = [t for own in texts for t in own if len(t) > 20] or ["some words, as there are none here."]
-    for page, wanted, own in list(zip(pages, labels, texts)):
-        main = [t for t, w in zip(page.text, wanted) if t and w] or [t for t in own if t.count(" ") > 15] or [rng.choice(spare)]
+    pages, wanted = [], []
+    for i, page in enumerate(given):
+        if labels[i].any():
+            # The same page under other tags, too: a model that knew article and main alone would find nothing elsewhere.
+            pages.append(_retagged(page, rng))
+            wanted.append(labels[i])
+        else:
+            labels[i] = _seeded(page)
+        if labels[i].any():  # else nothing says which text is the main one
+            pages.append(page)
+            wanted.append(labels[i])
+    for page, known, own in zip(given, labels, texts):
+        main = [t for t, w in zip(page.text, known) if t and w] or [t for t in own if t.count(" ") > 15] or [rng.choice(spare)]
         for _ in range(variants):
             # Of one page's main text a random stretch, so that short and long articles occur.
             begin = rng.randrange(len(main)) if rng.random() < 0.3 else 0
             other = Page(_variant(main[begin : begin + rng.randrange(1, 40)], spare, rng))
             pages.append(other)
-            labels.append(_labels(other))
+            wanted.append(_labels(other))
+    labels = wanted
     return np.concatenate([features(p) for p in pages]), np.concatenate(labels).astype(np.float64)
 
 

@@ -131,3 +131,35 @@ def test_boosting_learns_an_interaction():
     labels = ((rows[:, 0] > 0) ^ (rows[:, 2] > 0.3)).astype(float)
     model = boosting.fit(rows[:2000], labels[:2000])
     assert ((model.scores(rows[2000:]) > 0) == (labels[2000:] > 0)).mean() > 0.95
+
+
+LAYOUTS = {
+    "story": ('<div class="story">', "</div>"), "div": ("<div>", "</div>"), "section": ('<section id="text">', "</section>"),
+    "main": ("<main>", "</main>"), "body": ("", ""), "article": ("<article>", "</article>"),
+}
+
+
+@pytest.mark.parametrize("layout", ["div", "body", "section", "mixed", "tenth"])
+def test_pages_without_telling_tags(pages, layout):
+    """Fitted and extracted on pages whose articles stand under other tags, in all or some of the pages."""
+    sources = [r.html for r in pages.orderBy("page_id").collect()][:160]
+    kinds = {"mixed": list(LAYOUTS), "tenth": ["div"] + ["article"] * 9}.get(layout, [layout])
+    shown = []
+    for i, source in enumerate(sources):
+        begin, end = LAYOUTS[kinds[i % len(kinds)]]
+        shown.append(source.replace("<article>", begin).replace("</article>", end))
+    model = boosting.fit(*html_main.training_rows(shown[:80]))
+    total = missed = more = 0
+    for source, page in zip(sources, shown):
+        want, got = collections.Counter(article(source)), collections.Counter(html_main.main_blocks(page, model))
+        assert got
+        total += sum(len(t) * n for t, n in want.items())
+        missed += sum(len(t) * n for t, n in (want - got).items())
+        more += sum(len(t) * n for t, n in (got - want).items())
+    assert missed <= 0.05 * total and more <= 0.05 * total
+
+
+def test_parsing_is_linear_in_depth():
+    """A quadratic parser would take minutes."""
+    for source in ("<div>" * 200_000 + "x" + "</div>" * 200_000, "<div><li>" * 100_000 + "x" + "</p>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li>x" * 100_000):
+        assert any(t and "x" in t for t in html_main.Page(source).text)
