@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -110,12 +111,15 @@ def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """Encodes texts unit by unit, each distinct unit of a batch once; ids are unsigned 32-bit integers.
 
-    The text of a token added to the tokenizer is ordinary text, or with ``added_tokens`` that token, as by the library's
+    With ``words_whole`` the tokenizer's pattern takes letters, with or without a space before them, as one piece; such
+    units go to its merges directly.  The text of a token added to the tokenizer is ordinary text, or with ``added_tokens`` that token, as by the library's
     default.  It is a unit then: the library encodes what lies before and behind it on its own.
     """
 
-    def __init__(self, tokenizer, byte_lengths: np.ndarray, added_tokens: bool = False):
+    def __init__(self, tokenizer, byte_lengths: np.ndarray, added_tokens: bool = False, words_whole: bool = False):
         self.tokenizer = tokenizer
+        self.words_whole = words_whole
+        self.characters = dict(enumerate(byte_characters())) | {0x0A: "\n"}  # no word holds a line end
         self.lengths = byte_lengths
         self.known: dict[bytes, bytes] = {}
         self.added: re.Pattern[bytes] | None = None
@@ -155,6 +159,11 @@ class UnitEncoder:
             kind = spaced if text[0] == " " and text[1:].isalpha() else plain if text.isalpha() else rest
             kind.append((raw, text))
         self.known.update(zip((r for r, _ in rest), (i.tobytes() for i in self._whole([t for _, t in rest]))))
+        if self.words_whole and (own := [r for r, _ in spaced + plain]):
+            merged = self.tokenizer.model.tokenize
+            words = b"\n".join(own).decode("latin-1").translate(self.characters).split("\n")
+            self.known.update(zip(own, (array("I", [t.id for t in merged(w)]).tobytes() for w in words)))
+            return
         for own, joint in ((spaced, ""), (plain, "\n")):
             if not own:
                 continue

@@ -10,6 +10,7 @@ all, also after lost executors.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -154,7 +155,10 @@ def file_encoder(path: str, added_tokens: bool = False) -> UnitEncoder:
     tokenizer = Tokenizer.from_file(path)
     own = {c: b for b, c in enumerate(byte_characters())}
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-    return UnitEncoder(tokenizer, np.array([sum(1 for c in name if c in own) for name in names]), added_tokens)
+    # Without a pattern of its own, the byte-level splitter takes a run of letters and one space before it as a piece.
+    whole = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    whole = whole.get("type") == "ByteLevel" and whole.get("use_regex") and not whole.get("add_prefix_space")
+    return UnitEncoder(tokenizer, np.array([sum(1 for c in name if c in own) for name in names]), added_tokens, bool(whole) and not tokenizer.normalizer)
 
 
 def write_shards(
