@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.shared import written
@@ -124,18 +124,17 @@ def segments(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.
     return text[first], first, n, grams[anchors[first]], (classes & ~_U(127)) | n.astype(_U)
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), _NO_ID).to_numpy(zero_copy_only=False)
-    return ids, pc.fill_null(batch.column("text").cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
-def _pieces(ids: np.ndarray, texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(id, offset, bytes) in lists of about ``SLICE_BYTES``; long texts in pieces that share LENGTH - 1 bytes."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(id, row, offset, bytes) in lists of about ``SLICE_BYTES``; long texts in pieces that share LENGTH - 1 bytes."""
     held, size = [], 0
-    for doc, text in zip(ids.tolist(), texts):
+    for doc, row, text in zip(batch.column("_id").to_pylist(), batch.column("_row").to_pylist(), _texts(batch)):
         for at in range(0, max(1, len(text) - LENGTH + 1), SLICE_BYTES):
             piece = text[at : at + SLICE_BYTES + LENGTH - 1]
-            held.append((doc, at, piece))
+            held.append((doc, row, at, piece))
             size += len(piece)
             if size >= SLICE_BYTES:
                 yield held
@@ -149,24 +148,24 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_gram, _class, _doc, _start of every segment; one that repeats in its slice has -1 - start and only its size."""
+    """_gram, _class, _doc, _row, _start of every segment; one that repeats in its slice has -1 - start and only its size."""
     for batch in batches:
-        for pieces in _pieces(*_texts(batch)):
-            raw = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
-            ends = np.cumsum([len(p) for _, _, p in pieces])
+        for pieces in _pieces(batch):
+            raw = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
+            ends = np.cumsum([len(p[3]) for p in pieces])
             begins = np.append(0, ends[:-1])
             text, first, n, gram, kind = segments(raw, begins, ends)
-            doc = np.array([d for d, _, _ in pieces], np.int64)[text]
-            start = first - begins[text] + np.array([o for _, o, _ in pieces], np.int64)[text]
-            order = np.lexsort((start, doc, kind, gram))
-            text, n, gram, kind, doc, start = (x[order] for x in (text, n, gram, kind, doc, start))
+            doc, row, offset = (np.array([p[k] for p in pieces], np.int64)[text] for k in range(3))
+            start = first - begins[text] + offset
+            order = np.lexsort((start, row, doc, kind, gram))
+            n, gram, kind, doc, row, start = (x[order] for x in (n, gram, kind, doc, row, start))
             again = np.zeros(len(order), bool)
             again[1:] = (gram[1:] == gram[:-1]) & (kind[1:] == kind[:-1])
-            gram = np.where(again, _mixed(doc.view(_U) * _ODD[20] + start.view(_U)), gram)
+            gram = np.where(again, _mixed(doc.view(_U) * _ODD[20] + row.view(_U) + start.view(_U)), gram)
             kind = np.where(again, n.astype(_U), kind)
             start = np.where(again, -1 - start, start)
             yield pa.RecordBatch.from_arrays(
-                [_signed(gram), _signed(kind), pa.array(doc), pa.array(start)], ["_gram", "_class", "_doc", "_start"]
+                [_signed(gram), _signed(kind), pa.array(doc), pa.array(row), pa.array(start)], ["_gram", "_class", "_doc", "_row", "_start"]
             )
 
 
@@ -175,23 +174,23 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only the last class and the last first segment are carried from batch to batch.
     """
-    names = ["_gram", "_doc", "_start", "_n"]
+    names = ["_gram", "_doc", "_row", "_start", "_n"]
     before = None  # gram and class of the last row
-    waiting = None  # (gram, doc, start, n, contested) of the last first segment
+    waiting = None  # (gram, doc, row, start, n, contested) of the last first segment
 
-    def rows(gram, doc, start, n, keep_gram):
+    def rows(gram, doc, row, start, n, keep_gram):
         grams = pa.array(gram, pa.int64()) if keep_gram else pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([grams, pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([grams, *(pa.array(x, pa.int64()) for x in (doc, row, start, n))], names)
 
     for batch in batches:
-        gram, kind, doc, start = (batch.column(c).to_numpy() for c in ("_gram", "_class", "_doc", "_start"))
+        gram, kind, doc, row, start = (batch.column(c).to_numpy() for c in ("_gram", "_class", "_doc", "_row", "_start"))
         if not len(gram):
             continue
         local = start < 0
         n = kind & 127
         if local.any():
-            yield rows(None, doc[local], -1 - start[local], n[local], False)
-            gram, kind, doc, start, n = (x[~local] for x in (gram, kind, doc, start, n))
+            yield rows(None, doc[local], row[local], -1 - start[local], n[local], False)
+            gram, kind, doc, row, start, n = (x[~local] for x in (gram, kind, doc, row, start, n))
             if not len(gram):
                 continue
         same = np.zeros(len(gram), bool)
@@ -199,22 +198,22 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] = before == (gram[0], kind[0])
         before = (gram[-1], kind[-1])
         if same.any():
-            yield rows(None, doc[same], start[same], n[same], False)
-        first = [x[~same] for x in (gram, doc, start, n)]
+            yield rows(None, doc[same], row[same], start[same], n[same], False)
+        first = [x[~same] for x in (gram, doc, row, start, n)]
         if not len(first[0]):
             continue
         contested = np.zeros(len(first[0]), bool)
         contested[1:] = first[0][1:] == first[0][:-1]
         contested[0] = waiting is not None and waiting[0] == first[0][0]
-        if waiting is not None and (waiting[4] or contested[0]):
-            yield rows(*([x] for x in waiting[:4]), True)
+        if waiting is not None and (waiting[5] or contested[0]):
+            yield rows(*([x] for x in waiting[:5]), True)
         waiting = (*(x[-1] for x in first), bool(contested[-1]))
         contested[:-1] |= contested[1:]
         contested[-1] = False
         if contested.any():
             yield rows(*(x[contested] for x in first), True)
-    if waiting is not None and waiting[4]:
-        yield rows(*([x] for x in waiting[:4]), True)
+    if waiting is not None and waiting[5]:
+        yield rows(*([x] for x in waiting[:5]), True)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -355,8 +354,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, symbols: int, most: int
     return shared
 
 
-def repeated_strings(parts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of first segments, (part, offset) of each string that also occurs at an earlier (document, place)."""
+def repeated_strings(parts: list[bytes], docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of first segments, (part, offset) of each string that also occurs at an earlier (document, row, place)."""
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1)
@@ -370,7 +369,7 @@ def repeated_strings(parts: list[bytes], docs: np.ndarray, starts: np.ndarray) -
     order = order[whole[order]]
     group = np.cumsum(np.append(True, shared[order[1:]] < LENGTH)) if len(order) else order
     part, at = owner[order], offset[order]
-    rank = np.lexsort((starts[part] + at, docs[part], group))
+    rank = np.lexsort((starts[part] + at, rows[part], docs[part], group))
     later = np.zeros(len(rank), bool)
     later[1:] = group[rank][1:] == group[rank][:-1]
     places = rank[later]
@@ -387,44 +386,63 @@ def _runs(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_doc, _start, _n of removed strings; shards hold whole grams, in about ``SHARD_BYTES``."""
-    held: list[tuple[int, int, int, bytes]] = []
+    """_doc, _row, _start, _n of removed strings; shards hold whole grams, in about ``SHARD_BYTES``."""
+    held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        docs = np.array([h[1] for h in held], np.int64)
-        starts = np.array([h[2] for h in held], np.int64)
-        part, at, n = _runs(*repeated_strings([h[3] for h in held], docs, starts))
-        return pa.RecordBatch.from_arrays([pa.array(docs[part]), pa.array(starts[part] + at), pa.array(n)], ["_doc", "_start", "_n"])
+        docs, rows, starts = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
+        part, at, n = _runs(*repeated_strings([h[4] for h in held], docs, rows, starts))
+        columns = docs[part], rows[part], starts[part] + at, n
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_doc", "_row", "_start", "_n"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("_gram", "_doc", "_start", "_bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("_gram", "_doc", "_row", "_start", "_bytes"))):
             if size >= SHARD_BYTES and row[0] != held[-1][0]:
                 yield flush()
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield flush()
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """_id and the compressed text: what is shuffled, twice, is a third of it."""
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """_id, _row, text, _times: the documents, each a row of its own.
+
+    ``_id`` is the doc_id, for null the least number.  Ids and null ids that repeat are told apart by a hash of the text
+    in ``_row``, which is 0 where ids do not repeat.  Rows that repeat id and text become one with their number.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if rows.groupBy("_id").count().filter("count > 1").isEmpty():
+        return rows.select("_id", F.lit(0).cast("long").alias("_row"), "text", F.lit(1).cast("long").alias("_times"))
+    rows = rows.select("_id", F.xxhash64("text").alias("_row"), "text")
+    copies = rows.groupBy("_id", "_row").agg(F.count("*").alias("_times")).filter("_times > 1")
+    copies = written(copies, "repeated-rows")
+    single = rows.join(copies, ["_id", "_row"], "left_anti").withColumn("_times", F.lit(1).cast("long"))
+    first = rows.join(copies, ["_id", "_row"], "left_semi").groupBy("_id", "_row").agg(F.min("text").alias("text"))
+    return written(single.unionByName(first.join(copies, ["_id", "_row"])), "distinct-rows")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """_id, _row, _times and the compressed text: what is shuffled, twice, is a third of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, texts = _texts(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["_id", "_packed"]
-            )
+            packed = pa.array([squeeze.compress(t) for t in _texts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_row", "_times")), packed], ["_id", "_row", "_times", "_packed"])
+
+    return rows.select("_id", "_row", "_times", "text").mapInArrow(run, "_id long, _row long, _times long, _packed binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "_id long, _packed binary")
+def _same_row() -> Column:
+    return (F.col("_id") == F.col("_doc")) & (F.col("_row") == F.col("_of"))
 
 
-def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_gram, _doc, _start, _bytes of the wanted segments (_gram, _doc, _start, _n)."""
-    lists = wanted.groupBy("_doc").agg(F.collect_list(F.struct("_gram", "_start", "_n")).alias("_list")).hint("merge")
+def _bytes_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_gram, _doc, _row, _start, _bytes of the wanted segments (_gram, _doc, _row, _start, _n)."""
+    lists = wanted.groupBy("_doc", F.col("_row").alias("_of")).agg(F.collect_list(F.struct("_gram", "_start", "_n")).alias("_list")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -436,19 +454,20 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for packed, end in zip(batch.column("_packed"), ends.tolist()):
                 raw, begin = opener.decompress(packed.as_py()), len(cut)
                 cut += [raw[s : s + n + LENGTH - 1] for s, n in zip(starts[begin:end].to_pylist(), sizes[begin:end].to_pylist())]
-            docs_of = np.repeat(batch.column("_id").to_numpy(), np.diff(ends, prepend=0))
+            docs_of, rows_of = (np.repeat(batch.column(c).to_numpy(), np.diff(ends, prepend=0)) for c in ("_id", "_row"))
             for at in range(0, len(cut), 10_000):
                 own = slice(at, at + 10_000)
                 yield pa.RecordBatch.from_arrays(
-                    [grams[own], pa.array(docs_of[own]), starts[own], pa.array(cut[own], pa.binary())], ["_gram", "_doc", "_start", "_bytes"]
+                    [grams[own], pa.array(docs_of[own]), pa.array(rows_of[own]), starts[own], pa.array(cut[own], pa.binary())],
+                    ["_gram", "_doc", "_row", "_start", "_bytes"],
                 )
 
-    joined = _packed(docs).join(lists, F.col("_id") == F.col("_doc")).select("_id", "_packed", "_list")
-    return joined.mapInArrow(run, "_gram long, _doc long, _start long, _bytes binary")
+    joined = _packed(rows).join(lists, _same_row()).select("_id", "_row", "_packed", "_list")
+    return joined.mapInArrow(run, "_gram long, _doc long, _row long, _start long, _bytes binary")
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes, _doc and _start of every string of segments."""
+    """Two hashes, _doc, _row and _start of every string of segments."""
     for batch in batches:
         parts = batch.column("_bytes").to_pylist()
         raw = np.frombuffer(b"".join(parts), np.uint8)
@@ -456,54 +475,75 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sizes - LENGTH + 1
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(np.cumsum(sizes) - sizes, n) + inner
-        docs, starts = (batch.column(c).to_numpy() for c in ("_doc", "_start"))
+        docs, rows, starts = (batch.column(c).to_numpy() for c in ("_doc", "_row", "_start"))
         hashes = [range_hashes(raw, at, at + LENGTH, t) for t in (_BYTE, _OTHER)]
-        yield pa.RecordBatch.from_arrays(
-            [*map(_signed, hashes), pa.array(np.repeat(docs, n)), pa.array(np.repeat(starts, n) + inner)], ["_one", "_two", "_doc", "_start"]
-        )
+        places = np.repeat(docs, n), np.repeat(rows, n), np.repeat(starts, n) + inner
+        yield pa.RecordBatch.from_arrays([*map(_signed, hashes), *map(pa.array, places)], ["_one", "_two", "_doc", "_row", "_start"])
 
 
-def removed_stretches(docs: DataFrame) -> DataFrame:
-    """_doc, _start, _n: n strings from ``_start`` on also start earlier.  Null ids count as the least number."""
-    rows = docs.select("doc_id", "text").mapInArrow(_segment_rows, "_gram long, _class long, _doc long, _start long")
-    dealt = rows.repartition("_gram").sortWithinPartitions("_gram", "_class", "_doc", "_start")
-    settled = written(dealt.mapInArrow(_settle, "_gram long, _doc long, _start long, _n long"), "segments")
-    removed = settled.filter(F.col("_gram").isNull()).select("_doc", "_start", "_n")
+def removed_stretches(texts: DataFrame) -> DataFrame:
+    """_doc, _row, _start, _n of ``distinct_rows``: n strings from ``_start`` on also start earlier."""
+    fields = "_doc long, _row long, _start long, "
+    rows = texts.select("_id", "_row", "text").mapInArrow(_segment_rows, f"_gram long, _class long, {fields[:-2]}")
+    dealt = rows.repartition("_gram").sortWithinPartitions("_gram", "_class", "_doc", "_row", "_start")
+    settled = written(dealt.mapInArrow(_settle, f"_gram long, {fields} _n long"), "segments")
+    removed = settled.filter(F.col("_gram").isNull()).select("_doc", "_row", "_start", "_n")
     first = settled.filter(F.col("_gram").isNotNull())
     hot = first.groupBy("_gram").agg(F.count(F.lit(1)).alias("_classes")).filter(F.col("_classes") > HOT_CLASSES)
     hot = written(hot.select(F.col("_gram").alias("_hot")), "hot-grams")
-    parts = _bytes_of(docs, first)
+    parts = _bytes_of(texts, first)
     if not hot.isEmpty():
         parts = written(parts, "segment-bytes")
-        strings = parts.join(hot, F.col("_gram") == F.col("_hot"), "left_semi").mapInArrow(
-            _string_rows, "_one long, _two long, _doc long, _start long"
-        )
+        strings = parts.join(hot, F.col("_gram") == F.col("_hot"), "left_semi").mapInArrow(_string_rows, f"_one long, _two long, {fields[:-2]}")
         strings = written(strings, "strings")
-        least = strings.groupBy("_one", "_two").agg(F.min(F.struct("_doc", "_start")).alias("_first"), F.count(F.lit(1)).alias("_of"))
+        place = F.struct("_doc", "_row", "_start")
+        least = strings.groupBy("_one", "_two").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_of"))
         least = written(least.filter("_of > 1"), "first-strings")
-        later = strings.join(least, ["_one", "_two"]).filter(F.struct("_doc", "_start") != F.col("_first"))
-        removed = removed.union(later.select("_doc", "_start", F.lit(1).cast("long")))
+        later = strings.join(least, ["_one", "_two"]).filter(place != F.col("_first"))
+        removed = removed.union(later.select("_doc", "_row", "_start", F.lit(1).cast("long")))
         parts = parts.join(hot, F.col("_gram") == F.col("_hot"), "left_anti")
-    shards = parts.repartition("_gram").sortWithinPartitions("_gram").mapInArrow(_sorted_shards, "_doc long, _start long, _n long")
+    shards = parts.repartition("_gram").sortWithinPartitions("_gram").mapInArrow(_sorted_shards, f"{fields} _n long")
     return removed.union(shards)
 
 
+def _with_copies(rows: DataFrame, with_text: bool) -> DataFrame:
+    """One row per document again: of rows that repeat, all but one lose what 100-byte strings cover."""
+    ways = 256
+    dealt = rows.filter("_times > 1").withColumn("_way", F.explode(F.sequence(F.lit(1), F.lit(ways))))
+    dealt = dealt.filter(F.col("_way") < F.col("_times")).repartition("_way")
+    copies = dealt.withColumn("_copy", F.explode(F.sequence(F.col("_way").cast("long"), F.col("_times") - 1, F.lit(ways).cast("long"))))
+    covered = F.col("n_bytes") >= LENGTH
+    digest = F.when(covered, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256"))
+    columns = {
+        "n_removed": F.when(covered, F.col("n_bytes")).otherwise(F.lit(0)).cast("long"),
+        "n_spans": covered.cast("long"),
+        "kept_sha256": digest,
+    }
+    if with_text:
+        one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+        columns |= {"spans": F.when(covered, one).otherwise(F.col("spans")), "kept": F.when(covered, F.lit(b"")).otherwise(F.col("kept"))}
+    return rows.drop("_times").unionByName(copies.withColumns(columns).drop("_times", "_way", "_copy"))
+
+
 def drop_repeated_strings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, spans (start and end in bytes) and kept (bytes).
 
-    One row per row of ``docs``.  A null text counts as empty; texts shorter than ``LENGTH`` bytes keep all.  Ids are
-    taken to be unique; rows that repeat an id share the stretches of all of them.  Other columns are not read.
+    One row per row of ``docs``.  A null text counts as empty; texts shorter than ``LENGTH`` bytes keep all.  Null ids
+    come before all others.  Rows that share an id, or have none, are documents of their own, in the order of a hash of
+    their texts; of rows that repeat id and text, one keeps what is first there and the others lose all that a string
+    covers.  Ids are numbers.  Other columns are not read.
     """
-    stretches = removed_stretches(docs).groupBy("_doc").agg(F.collect_list(F.struct("_start", "_n")).alias("_list"))
-    joined = _packed(docs).join(stretches.hint("merge"), F.col("_id") == F.col("_doc"), "left").select("_id", "_packed", "_list")
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    texts = distinct_rows(docs)
+    stretches = removed_stretches(texts).groupBy("_doc", F.col("_row").alias("_of")).agg(F.collect_list(F.struct("_start", "_n")).alias("_list"))
+    joined = _packed(texts).join(stretches.hint("merge"), _same_row(), "left").select("_id", "_times", "_packed", "_list")
+    fields = "doc_id long, _times long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     fields += ", spans array<struct<start:long,end:long>>, kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, packed, listed in zip(batch.column("_id").to_pylist(), batch.column("_packed"), batch.column("_list")):
+            for doc, times, packed, listed in zip(*(batch.column(c) for c in ("_id", "_times", "_packed", "_list"))):
                 raw = opener.decompress(packed.as_py())
                 begins = ends = np.zeros(0, np.int64)
                 if listed.is_valid:
@@ -516,13 +556,17 @@ def drop_repeated_strings(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     inside = begins < len(raw)
                     begins, ends = begins[inside], ends[inside]
                 kept = b"".join(raw[a:b] for a, b in zip(np.append(0, ends).tolist(), np.append(begins, len(raw)).tolist()))
-                row = (None if doc == _NO_ID else doc, len(raw), int((ends - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest())
+                doc, times = doc.as_py(), times.as_py()
+                row = (None if doc == _NO_ID else doc, times, len(raw), int((ends - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest())
                 rows.append(row + (([dict(start=a, end=b) for a, b in zip(begins.tolist(), ends.tolist())], kept) if with_text else ()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
+            kinds = [pa.int64()] * 5 + [pa.string()]
             if with_text:
                 kinds += [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+            names = ["doc_id", "_times", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[: len(kinds)])
 
-    return joined.mapInArrow(run, fields)
+    found = joined.mapInArrow(run, fields)
+    if texts.filter("_times > 1").isEmpty():
+        return found.drop("_times")
+    return _with_copies(written(found, "kept-strings"), with_text)

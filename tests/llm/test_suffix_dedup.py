@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -30,6 +31,13 @@ def plain(rows):
     return out
 
 
+def plain_rows(rows):
+    """The same as a list, for rows whose ids repeat or are null: by id, then by a hash of the text."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
+    found = plain(list(enumerate(t for _, t in order)))
+    return sorted(((order[i][0], *v) for i, v in found.items()), key=repr)
+
+
 def check(df, rows):
     got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in by_id(df).items()}
     want = plain(rows)
@@ -108,3 +116,19 @@ def test_spans_and_bytes_and_odd_rows(documents):
     assert [tuple(s) for s in got[2]["spans"]] == [(2, 162)] and bytes(got[2]["kept"]) == "üü".encode()
     assert got[None]["n_bytes"] == 0
     assert suffix_dedup.drop_repeated_strings(documents()).count() == 0
+
+
+def test_rows_that_repeat_ids_and_texts_keep_one_copy(documents):
+    """Every text of 100 bytes or more survives once, whatever ids its rows have."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (400, 300, 50, 250, 99)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2] + texts[1]), (2, texts[3]), (2, "x" + texts[3]), (2, texts[3])]
+    rows += [(3, texts[4])] * 3 + [(None, "")] * 2 + [(4, None), (4, "")] + [(5, texts[0])] * 300 + [(6, texts[4] + "z")] * 2
+    docs = documents(*rows)
+    got = suffix_dedup.drop_repeated_strings(docs, with_text=False)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == plain_rows(rows)
+    full = suffix_dedup.drop_repeated_strings(docs).collect()
+    kept = b"|".join(bytes(r["kept"]) for r in full)
+    assert all(t.encode() in kept for t in texts) and len(full) == len(rows)
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and sum(e - b for b, e in r["spans"]) == r["n_removed"] for r in full)
