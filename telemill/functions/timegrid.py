@@ -65,25 +65,3 @@ def floor_div(value: Column, width: Column | int) -> Column:
 
 def ceil_div(value: Column, width: Column | int) -> Column:
     return -floor_div(-value, width)
-
-
-def tick_cover(df, at_us: Column, range_us: Column | int, step_us: int, first_us: int, last_us: int):
-    """Add ``lo`` and ``hi``: the numbers of the first and last tick that see a point; drop unseen points.
-
-    Tick ``k`` happens at ``k * step`` and sees points in ``[tick - range, tick]``, both ends included.
-    Only ticks inside ``[first_us, last_us]`` count.  Points with equal ``(lo, hi)`` are seen by exactly
-    the same ticks, so operators fold them into one state row before copying anything to the ticks; and
-    ``(lo, hi)`` grows with time, so it also orders those states.
-    """
-    range_us = long_lit(range_us) if isinstance(range_us, int) else range_us
-    lo = F.greatest(ceil_div(at_us, step_us), long_lit(-(-first_us // step_us)))
-    hi = F.least(floor_div(at_us + range_us, step_us), long_lit(last_us // step_us))
-    # lo <= hi first: sequence() would count downwards otherwise.
-    return df.withColumn("lo", lo).withColumn("hi", hi).filter(F.col("lo") <= F.col("hi"))
-
-
-def to_ticks(df, step_us: int):
-    """Copy every state row to the ticks that see it; adds ``tick_us``, keeps ``lo`` and ``hi``."""
-    return df.withColumn("tick_us", F.explode(F.sequence("lo", "hi"))).withColumn(
-        "tick_us", F.col("tick_us") * long_lit(step_us)
-    )

@@ -6,12 +6,13 @@ and joined like any table beyond it.  Evaluations and everything after them are
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import compare, service_series, sorted_labels
-from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, tick_cover, to_ticks, ts_lit
+from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, ts_lit
+from telemill.operators import sliding
 from telemill.operators.joins import small_side
 from telemill.operators.metrics import Selector, tag_selected
 
@@ -62,11 +63,19 @@ def lookback_s() -> Column:
 # -- evaluation ---------------------------------------------------------------------------------
 
 
-def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end) -> DataFrame:
+def longest_lookback_s(rules: DataFrame) -> int:
+    """Seconds that the rule with the longest lookback looks back; 0 without rules."""
+    return rules.agg(F.max(lookback_s())).first()[0] or 0
+
+
+def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end, rules: DataFrame | None = None) -> DataFrame:
     """Points each rule looks at, tagged with ``rule_name``, in one scan for all rules.
 
-    ``start`` must reach back to the earliest point the first tick can still see.
+    With ``rules``, ``start`` and ``end`` are the range of ticks, and points are read from the longest lookback before it.
+    Without, they are the range of points.
     """
+    if rules is not None:
+        start = micros(start) - longest_lookback_s(rules) * MICROS
     return (
         prune_days(points, "timestamp", start, end)
         .transform(tag_selected, selectors, "rule_name")
@@ -74,35 +83,45 @@ def rule_points(points: DataFrame, selectors: Mapping[str, Selector], start, end
     )
 
 
+def linked_samples(points: DataFrame, rules: DataFrame, keys: Sequence[str], start, end, interval_s: int) -> DataFrame:
+    """The points that ticks see, with their neighbours in time, running totals and the rule's ``range_us``."""
+    looks = small_side(rules.select(F.col("name").alias("rule_name"), (lookback_s() * long_lit(MICROS)).alias("range_us")))
+    seen = points.join(looks, "rule_name").withColumn("at", F.unix_micros("timestamp"))
+    seen = sliding.visible(seen, interval_s * MICROS, micros(start), micros(end))
+    return sliding.linked(seen, keys).join(looks, "rule_name")
+
+
 def samples_by_tick(points: DataFrame, rules: DataFrame, start, end, interval_s: int) -> DataFrame:
     """What every (rule, series) sees at every tick: first value, last value, number of samples.
 
-    Points are folded per set of ticks that sees them before they are copied to those ticks, and all
-    states are mergeable, so a series with a large share of the points is combined on the map side.
-    Latest and first are by time, then value.
+    Latest and first are by time, then value.  Rows grow with ticks that see data, not with lookback / interval.
+    """
+    keys = ["rule_name", "series"]
+    samples = linked_samples(points, rules, keys, start, end, interval_s)
+    ticks = sliding.at_ticks(samples, keys, interval_s * MICROS, micros(start), micros(end))
+    return ticks.select(*keys, "tick_us", "first_value", "last_value", "n")
+
+
+def absences(points: DataFrame, rules: DataFrame, start, end, interval_s: int, per_series: bool = False) -> DataFrame:
+    """Runs of ticks without data: rule_name, series if asked for, from_us, to_us (first and last tick of the run).
+
+    By default a run is without data of any series of the rule.  A rule that never sees a point has one run over all
+    ticks; its ``series`` is empty.  Rows are bounded by the points, whatever the number of ticks.
     """
     step_us = interval_s * MICROS
-    looks = rules.select(F.col("name").alias("rule_name"), (lookback_s() * long_lit(MICROS)).alias("range_us"))
-    seen = points.join(small_side(looks), "rule_name").withColumn("at", F.unix_micros("timestamp"))
-    covered = tick_cover(seen, F.col("at"), F.col("range_us"), step_us, micros(start), micros(end))
-    states = covered.groupBy("rule_name", "series", "lo", "hi").agg(
-        F.min(F.struct("at", "value")).alias("head"),
-        F.max(F.struct("at", "value")).alias("tail"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return (
-        to_ticks(states, step_us)
-        .groupBy("rule_name", "series", "tick_us")
-        .agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n").alias("n"))
-        .select(
-            "rule_name",
-            "series",
-            "tick_us",
-            F.col("head.value").alias("first_value"),
-            F.col("tail.value").alias("last_value"),
-            "n",
-        )
-    )
+    first, last = micros(start), micros(end)
+    keys = ["rule_name", "series"] if per_series else ["rule_name"]
+    samples = linked_samples(points, rules, keys, start, end, interval_s)
+    runs = sliding.gaps(samples, keys, step_us, first, last)
+    low, high = -(-first // step_us) * step_us, last // step_us * step_us
+    if low > high:
+        return runs
+    seen = samples.select(F.col("rule_name").alias("_seen")).distinct()
+    silent = rules.select(F.col("name").alias("rule_name")).join(seen, F.col("rule_name") == F.col("_seen"), "left_anti")
+    silent = silent.withColumn("from_us", long_lit(low)).withColumn("to_us", long_lit(high))
+    if per_series:
+        silent = silent.withColumn("series", sorted_labels(F.create_map().cast("map<string,string>")))
+    return runs.unionByName(silent.select(runs.columns))
 
 
 def rate_of_change(first: Column, last: Column, n: Column) -> Column:
@@ -135,22 +154,22 @@ def evaluate_rules(
     step_us = interval_s * MICROS
     first_tick, last_tick = -(-micros(start) // step_us), micros(end) // step_us
     seen = samples_by_tick(points, rules, start, end, interval_s)
+    subjects = rules.withColumnRenamed("name", "rule_name")
     if per_series:
-        found = seen.select("rule_name", "series").distinct()
-        subjects = rules.withColumnRenamed("name", "rule_name").join(found, "rule_name", "left")
-        subjects = subjects.withColumn("series", F.coalesce("series", sorted_labels(F.create_map().cast("map<string,string>"))))
-        keys = ["rule_name", "series", "tick_us"]
+        # Ticks with data, and the runs of ticks without, written out.
+        runs = absences(points, rules, start, end, interval_s, per_series=True)
+        ticks = F.explode(F.sequence("from_us", "to_us", long_lit(step_us)))
+        nothing = [F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in ("first_value", "last_value", "n")]
+        empty = runs.select("rule_name", "series", ticks.alias("tick_us"), *nothing)
+        joined = seen.unionByName(empty).join(small_side(subjects), "rule_name")
     else:
         seen = (
             seen.groupBy("rule_name", "tick_us")
             .agg(F.min(F.struct("series", "first_value", "last_value", "n")).alias("s"))
             .select("rule_name", "tick_us", "s.first_value", "s.last_value", "s.n")
         )
-        subjects = rules.withColumnRenamed("name", "rule_name")
-        keys = ["rule_name", "tick_us"]
-    ticks = F.transform(F.sequence(long_lit(first_tick), long_lit(last_tick)), lambda k: k * long_lit(step_us))
-    grid = subjects.withColumn("tick_us", F.explode(ticks))
-    joined = grid.join(seen, keys, "left")
+        ticks = F.transform(F.sequence(long_lit(first_tick), long_lit(last_tick)), lambda k: k * long_lit(step_us))
+        joined = subjects.withColumn("tick_us", F.explode(ticks)).join(seen, ["rule_name", "tick_us"], "left")
 
     present = F.col("n").isNotNull()
     change = rate_of_change(F.col("first_value"), F.col("last_value"), F.col("n"))

@@ -17,7 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import MATCH_OPERATORS, matches_label, series_key, service_series, sorted_labels
-from telemill.functions.timegrid import MICROS, bucket_start, micros, prune_days, tick_cover, to_ticks
+from telemill.functions.timegrid import MICROS, bucket_start, long_lit, micros, prune_days
+from telemill.operators import sliding
 
 DEFAULT_SERIES = 1_000
 DEFAULT_VALUES = 1_000
@@ -312,48 +313,18 @@ def rate(points: DataFrame, range_s: int, step_s: int, start, end) -> DataFrame:
     reset and counts in full.  The rate is increase / (last time - first time); fewer than two samples
     or no time between them give no row; nothing is extrapolated.
 
-    Samples seen by the same ticks are folded to (first, last, increase) before anything is copied to
-    the ticks; a tick then links the few states it sees.  No step sorts a whole series.
+    The increase is the difference of two running totals of the reset-corrected counter, at the first and the last
+    sample a tick sees (:mod:`telemill.operators.sliding`); rows grow with ticks, not with range / step.
     """
     step_us, range_us = step_s * MICROS, range_s * MICROS
     first, last = micros(start), micros(end)
     seen = prune_days(points, "timestamp", first - range_us, last)
-    seen = with_service_series(seen).withColumn("at", F.unix_micros("timestamp")).select("name", "series", "at", "value")
-    keyed = tick_cover(seen, F.col("at"), range_us, step_us, first, last)
-
-    def grown(value: Column, previous: Column) -> Column:
-        return F.when(previous.isNull(), 0.0).when(value >= previous, value - previous).otherwise(value)
-
-    cover = ["name", "series", "lo", "hi"]
-    in_time = Window.partitionBy(*cover).orderBy("at", "value")
-    states = (
-        keyed.withColumn("up", grown(F.col("value"), F.lag("value").over(in_time)))
-        .groupBy(*cover)
-        .agg(
-            F.min(F.struct("at", "value")).alias("head"),
-            F.max(F.struct("at", "value")).alias("tail"),
-            F.sum("up").alias("up"),
-        )
-    )
-    tick = ["name", "series", "tick_us"]
-    by_tick = Window.partitionBy(*tick).orderBy("lo", "hi")
-    linked = to_ticks(states, step_us).withColumn(
-        "link", grown(F.col("head.value"), F.lag("tail.value").over(by_tick))
-    )
-    return (
-        linked.groupBy(*tick)
-        .agg(
-            (F.sum("up") + F.sum("link")).alias("increase"),
-            F.min("head.at").alias("t0"),
-            F.max("tail.at").alias("t1"),
-        )
-        .filter(F.col("t1") > F.col("t0"))
-        .select(
-            "name",
-            "series",
-            F.timestamp_micros("tick_us").alias("timestamp"),
-            (F.col("increase") / ((F.col("t1") - F.col("t0")) / F.lit(float(MICROS)))).alias("value"),
-        )
+    seen = with_service_series(seen).withColumn("at", F.unix_micros("timestamp")).select("name", "series", long_lit(range_us).alias("range_us"), "at", "value")
+    samples = sliding.linked(sliding.visible(seen, step_us, first, last), ["name", "series"]).withColumn("range_us", long_lit(range_us))
+    ticks = sliding.at_ticks(samples, ["name", "series"], step_us, first, last)
+    seconds = (F.col("last_at") - F.col("first_at")) / F.lit(float(MICROS))
+    return ticks.filter(F.col("last_at") > F.col("first_at")).select(
+        "name", "series", F.timestamp_micros("tick_us").alias("timestamp"), (F.col("up") / seconds).alias("value")
     )
 
 

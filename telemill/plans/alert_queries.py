@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from telemill.functions.fields import SERVICE_LABEL
 from telemill.functions.timegrid import MICROS
 from telemill.operators import alerts as ops
 from telemill.operators.metrics import Selector
@@ -16,7 +17,6 @@ from telemill.session import config_table
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
 TICK_S = 6 * 3600
-LONGEST_LOOKBACK_FROM = "2023-12-31"
 
 SELECTORS = {
     "high_purchases": Selector("app_value", [("type", "=", "purchase")]),
@@ -81,8 +81,9 @@ def silence_changes(spark: SparkSession) -> DataFrame:
 
 
 def evaluations(spark, sf_dir, per_series: bool = False) -> DataFrame:
-    points = ops.rule_points(views.metrics(spark, sf_dir), SELECTORS, LONGEST_LOOKBACK_FROM, LAST)
-    return ops.evaluate_rules(points, ops.load_rules(rule_groups(spark)), FIRST, LAST, TICK_S, per_series)
+    rules = ops.load_rules(rule_groups(spark))
+    points = ops.rule_points(views.metrics(spark, sf_dir), SELECTORS, FIRST, LAST, rules)
+    return ops.evaluate_rules(points, rules, FIRST, LAST, TICK_S, per_series)
 
 
 def states(spark, sf_dir) -> DataFrame:
@@ -229,6 +230,30 @@ def absence(spark, sf_dir):
     return evaluations(spark, sf_dir).filter(F.col("message").startswith("no data")).select("rule_name", "tick_us", "message")
 
 
+def absence_runs(spark, sf_dir):
+    """Runs of ticks on which a rule, or one of its series, sees nothing."""
+    rules = ops.load_rules(rule_groups(spark))
+    points = ops.rule_points(views.metrics(spark, sf_dir), SELECTORS, FIRST, LAST, rules)
+    of_rules = ops.absences(points, rules, FIRST, LAST, TICK_S).withColumn("of", F.lit("rule")).withColumn("own", F.lit(""))
+    of_series = ops.absences(points, rules, FIRST, LAST, TICK_S, per_series=True).withColumn("of", F.lit("series"))
+    own = F.concat_ws("|", *[F.coalesce(F.map_from_entries("series")[k], F.lit("")) for k in ("type", "shard", SERVICE_LABEL)])
+    columns = ["of", "rule_name", "own", "from_us", "to_us"]
+    return of_rules.select(columns).unionByName(of_series.withColumn("own", own).select(columns))
+
+
+#: Every tick of every subject, joined to all it sees; then the islands of ticks that see nothing.
+ABSENCE_RUNS = f"""{BASE_SQL},
+ subj AS (SELECT 'rule' AS "of", name AS rule_name, '' AS own FROM rules
+          UNION SELECT 'series', r.name, coalesce(p.l_type || '|' || p.l_shard || '|' || p.service_name, '||')
+          FROM rules r LEFT JOIN seen p ON p.rule_name = r.name),
+ has AS (SELECT DISTINCT 'rule' AS "of", rule_name, '' AS own, tick_us FROM seen
+         UNION SELECT DISTINCT 'series', rule_name, l_type || '|' || l_shard || '|' || service_name, tick_us FROM seen),
+ bare AS (SELECT s.*, t.tick_us FROM subj s CROSS JOIN ticks t ANTI JOIN has h
+          ON h."of" = s."of" AND h.rule_name = s.rule_name AND h.own = s.own AND h.tick_us = t.tick_us),
+ isle AS (SELECT *, tick_us // {_US} - row_number() OVER (PARTITION BY "of", rule_name, own ORDER BY tick_us) AS g FROM bare)
+SELECT "of", rule_name, own, min(tick_us) AS from_us, max(tick_us) AS to_us FROM isle GROUP BY "of", rule_name, own, g"""
+
+
 def rate_of_change(spark, sf_dir):
     return evaluations(spark, sf_dir).filter(F.col("message").startswith("rate of change")).select(
         "rule_name", "tick_us", "message", F.round("value", 4).alias("value")
@@ -283,6 +308,7 @@ QUERIES = {
     ),
     "rule_eval_per_series": (rule_eval_per_series, RULE_EVAL_PER_SERIES),
     "absence": (absence, f"{BASE_SQL} SELECT rule_name, tick_us, message FROM evals WHERE starts_with(message, 'no data')"),
+    "absence_runs": (absence_runs, ABSENCE_RUNS),
     "rate_of_change": (
         rate_of_change,
         f"{BASE_SQL} SELECT rule_name, tick_us, message, round(value, 4) AS value FROM evals WHERE starts_with(message, 'rate of')",
