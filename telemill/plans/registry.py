@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telemill.plans import alert_queries, log_queries, metric_queries, row_queries, stream_queries, trace_queries
+from telemill.plans import alert_queries, log_queries, metric_queries, row_queries, store_queries, stream_queries, trace_queries
 
 REGISTERED = {
     **trace_queries.QUERIES,
@@ -11,4 +11,5 @@ REGISTERED = {
     **row_queries.QUERIES,
     **alert_queries.QUERIES,
     **stream_queries.QUERIES,
+    **store_queries.QUERIES,
 }

@@ -6,9 +6,13 @@ batches.  Connection options belong to the caller.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from telemill.schemas import LOG_SCHEMA, METRIC_SCHEMA
+from telemill.sources.daytable import Files, Ledger
 
 # How often a stream looks for rows; ``max_rows`` of a topic bounds how many it takes at a time.
 DEFAULT_TRIGGER = {"processingTime": "30 seconds"}
@@ -81,6 +85,62 @@ def encode(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("key"), F.to_json(F.struct("*"), JSON_OPTIONS).alias("value"))
 
 
+def topic_writer(brokers: str, topic: str, key: str, **options) -> Callable[[DataFrame, int], None]:
+    """Writer of micro-batches to a broker topic, keyed by ``key``.  Needs the broker connector on the class path.
+
+    A broker takes a batch again when it is delivered again; readers that mind tell messages apart by their ids.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        sink = encode(batch, key).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic)
+        sink.options(**options).save()
+
+    return write
+
+
+class FileTopic:
+    """A topic in a folder: keyed messages, equal keys in the same of ``partitions``, each batch of a source once.
+
+    A batch is a commit that the topic's ledger names; what a failed delivery left is never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, partitions: int = 8):
+        self.spark, self.path, self.key, self.partitions = spark, path.rstrip("/"), key, partitions
+        self.ledger = Ledger(Files(spark, self.path), f"{self.path}/ledger")
+
+    def writer(self, source: str) -> Callable[[DataFrame, int], None]:
+        """A ``foreachBatch`` function that adds a batch if its number is above the source's last one."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            if Ledger.knows(self.ledger.latest(), source, batch_id):
+                return
+            name = uuid.uuid4().hex
+            part = F.pmod(F.xxhash64("key"), F.lit(self.partitions)).cast("int").alias("partition")
+            messages = encode(batch, self.key).select("key", "value", part)
+            messages.write.partitionBy("partition").parquet(f"{self.path}/messages/commit={name}")
+
+            def change(document: dict) -> dict | None:
+                if Ledger.knows(document, source, batch_id):
+                    return None
+                document.setdefault("commits", []).append(name)
+                document["batches"][source] = batch_id
+                return document
+
+            self.ledger.change(change)
+
+        return write
+
+    def read(self) -> DataFrame:
+        """All messages: key, value, partition."""
+        schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("partition", T.IntegerType())])
+        commits = self.ledger.latest().get("commits", [])
+        if not commits:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("commit", T.StringType())]))
+        paths = [f"{self.path}/messages/commit={name}" for name in commits]
+        return reader.option("basePath", f"{self.path}/messages").parquet(*paths).drop("commit")
+
+
 def sample_export(points: DataFrame) -> DataFrame:
     """Points in the shape of a sample write request: label list with ``__name__`` first, and the sample.
 
