@@ -6,15 +6,19 @@ and joined like any table beyond it.  Evaluations and everything after them are
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telemill.functions.fields import compare, service_series, sorted_labels
-from telemill.functions.timegrid import MICROS, long_lit, micros, prune_days, ts_lit
+from telemill.functions.timegrid import MICROS, ceil_div, floor_div, long_lit, micros, prune_days, ts_lit
 from telemill.operators import sliding
-from telemill.operators.joins import small_side
+from telemill.operators.joins import SMALL_ROWS, small_side
 from telemill.operators.metrics import Selector, tag_selected
+from telemill.session import config_table
 
 SEVERITIES = ("critical", "warning", "info")
 DEFAULT_LOOKBACK_S = 300
@@ -287,6 +291,23 @@ def valid_silence() -> Column:
     )
 
 
+def bad_patterns(changes: DataFrame) -> list[str]:
+    """Patterns of a silence table that do not compile.  Silences are configuration: distinct patterns are looked at."""
+    spark = changes.sparkSession
+    patterns = changes.select(F.explode("matchers").alias("m")).filter("m.is_regex AND m.value IS NOT NULL").select("m.value")
+    bad = []
+    for (pattern,) in patterns.distinct().toLocalIterator():
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException):
+            bad.append(pattern)
+    return sorted(bad)
+
+
+def _has_bad_pattern(bad: Sequence[str]) -> Column:
+    return F.coalesce(F.exists("matchers", lambda m: m["is_regex"] & m["value"].isin(*bad)), F.lit(False)) if bad else F.lit(False)
+
+
 def invalid_silences(changes: DataFrame) -> DataFrame:
     """Changes that :func:`current_silences` leaves out as invalid: id, updated_at and the first reason."""
     reason = (
@@ -294,20 +315,21 @@ def invalid_silences(changes: DataFrame) -> DataFrame:
         .when(F.col("starts_at").isNull(), "no start")
         .when(~F.coalesce(F.col("ends_at") > F.col("starts_at"), F.lit(False)), "end is not after start")
         .when(F.coalesce("created_by", F.lit("")) == "", "no creator")
+        .when(_has_bad_pattern(bad_patterns(changes)), "bad pattern")
     )
     checked = changes.select("id", "updated_at", reason.alias("reason"))
     return checked.filter(F.col("reason").isNotNull())
 
 
 def current_silences(changes: DataFrame) -> DataFrame:
-    """Latest version of every silence, deleted and invalid ones left out.
+    """Latest version of every silence, deleted and invalid ones left out, those with a bad pattern among them.
 
     Of versions with the same time a deletion counts first, then the greatest in the order of the columns.
     """
     others = [c for c in changes.columns if c not in ("id", "updated_at", "deleted")]
     version = F.struct("updated_at", F.coalesce("deleted", F.lit(False)).alias("deleted"), *others)
     latest = changes.groupBy("id").agg(F.max(version).alias("s")).select("id", "s.*").select(*changes.columns)
-    return latest.filter(~F.coalesce("deleted", F.lit(False)) & valid_silence())
+    return latest.filter(~F.coalesce("deleted", F.lit(False)) & valid_silence() & ~_has_bad_pattern(bad_patterns(changes)))
 
 
 def active_silences(silences: DataFrame, at) -> DataFrame:
@@ -327,36 +349,74 @@ def matched_by(matchers: Column, labels: Column) -> Column:
     return F.forall(matchers, one)
 
 
+#: Days of a cell are powers of this; so many levels reach beyond the year 9999 from the year 1.
+CELL_BASE, CELL_LEVELS = 4, 12
+
+
+def silence_cells(silences: DataFrame) -> DataFrame:
+    """Each silence as cells of days: level, cell (of ``CELL_BASE ** level`` days), s_from, s_to, matchers.
+
+    The days a silence touches are cut into the largest aligned cells, as in a digital clock: at most six of a level, of
+    which the outermost hold days at the ends and the next level takes over in the middle.  A silence of a year has
+    about twenty cells and one of ten thousand years about fifty, where a row per day would be millions.
+    """
+    first = floor_div(F.unix_micros("starts_at"), DAY_US)
+    end = floor_div(F.unix_micros("ends_at") - 1, DAY_US) + 1  # the day after the last one
+    levels = []
+    for level in range(CELL_LEVELS):
+        size = CELL_BASE**level
+        lo, hi = ceil_div(first, size), floor_div(end, size)
+        upper_lo, upper_hi = ceil_div(first, size * CELL_BASE) * CELL_BASE, floor_div(end, size * CELL_BASE) * CELL_BASE
+        whole = upper_lo >= upper_hi if level < CELL_LEVELS - 1 else F.lit(True)  # nothing for the next level
+
+        def cells(begin: Column, stop: Column, level: int = level) -> Column:
+            nothing = F.array().cast("array<struct<level: int, cell: bigint>>")
+            found = F.transform(F.sequence(begin, stop - 1), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+            return F.when(begin < stop, found).otherwise(nothing)
+
+        levels.append(F.when(whole, cells(lo, hi)).otherwise(F.concat(cells(lo, upper_lo), cells(upper_hi, hi))))
+    return silences.select(
+        F.explode(F.concat(*levels)).alias("_c"),
+        F.unix_micros("starts_at").alias("s_from"),
+        F.unix_micros("ends_at").alias("s_to"),
+        "matchers",
+    ).select("_c.level", "_c.cell", "s_from", "s_to", "matchers")
+
+
 def unsilenced(transitions: DataFrame, silences: DataFrame, start=None, end=None) -> DataFrame:
     """Transitions not covered by a silence in effect at their tick.
 
-    Given the range of the ticks, silences are clipped to it, so one without an end costs no more days than that.
-
-    A silence is copied to the days it touches, so the match is an equality on the day with the exact
-    times and matchers as further conditions: a hash join, never every transition against every silence.
+    A silence lies in a few cells of days of different sizes (:func:`silence_cells`), so the match is, for each size in
+    use, an equality on the cell with the exact times and matchers as further conditions: a hash join per size, never
+    every transition against every silence.  Given the range of the ticks, other silences are left out before.
     """
-    starts, ends = F.unix_micros("starts_at"), F.unix_micros("ends_at")
     if start is not None:
-        starts = F.greatest(starts, long_lit(micros(start)))
+        silences = silences.filter(F.col("ends_at") > ts_lit(start))
     if end is not None:
-        ends = F.least(ends, long_lit(micros(end) + 1))
-    days = F.sequence(F.floor(starts / long_lit(DAY_US)), F.floor((ends - 1) / long_lit(DAY_US)))
-    by_day = silences.filter(starts < ends).select(
-        F.explode(days).alias("s_day"), starts.alias("s_from"), ends.alias("s_to"), "matchers"
-    )
-    day = F.floor(F.col("tick_us") / long_lit(DAY_US))
-    return (
-        transitions.withColumn("t_day", day)
-        .join(
-            small_side(by_day),
-            (F.col("t_day") == F.col("s_day"))
+        silences = silences.filter(F.col("starts_at") <= ts_lit(end))
+    cells = silence_cells(silences.filter(F.col("starts_at") < F.col("ends_at")))
+    found = cells.limit(SMALL_ROWS + 1).collect()
+    if len(found) <= SMALL_ROWS:  # configuration as a rule: known by now, and joined as literal rows
+        of_level: dict[int, list[tuple]] = {}
+        for row in found:
+            of_level.setdefault(row["level"], []).append(tuple(row)[1:])
+        schema = cells.drop("level").schema
+        owns = {level: F.broadcast(config_table(cells.sparkSession, rows, schema)) for level, rows in of_level.items()}
+    else:
+        levels = [level for (level,) in cells.select("level").distinct().collect()]  # at most CELL_LEVELS numbers
+        owns = {level: cells.filter(F.col("level") == level).drop("level") for level in levels}
+    left = transitions
+    for level, own in sorted(owns.items()):
+        day = floor_div(F.col("tick_us"), DAY_US * CELL_BASE**level)
+        left = left.withColumn("_cell", day).join(
+            own,
+            (F.col("_cell") == F.col("cell"))
             & (F.col("s_from") <= F.col("tick_us"))
             & (F.col("tick_us") < F.col("s_to"))
             & matched_by(F.col("matchers"), F.col("labels")),
             "left_anti",
-        )
-        .drop("t_day")
-    )
+        ).drop("_cell")
+    return left
 
 
 # -- notifications ------------------------------------------------------------------------------
@@ -374,23 +434,26 @@ def route(transitions: DataFrame, channels: DataFrame) -> DataFrame:
 def suppress_repeats(candidates: DataFrame) -> DataFrame:
     """Drop a notification if the last one *sent* for its (alert, channel, status) is too recent.
 
-    What was sent depends on what was sent before, so each key folds its own instants in time order.
-    A key has at most one candidate per tick and carries bare instants into the fold.
+    What was sent depends on what was sent before: a chain that no window frame expresses.  The rows of a key are sorted
+    in one task and pass by once, in batches, with the last instant sent as the only state; they come out as they are,
+    so there is nothing to join back, and a key's number of rows takes time but no memory.
     """
     keys = ["fingerprint", "channel", "state"]
 
-    def send(sent: Column, at: Column) -> Column:
-        last = F.try_element_at(sent, F.lit(-1))
-        due = last.isNull() | (at - last >= F.col("repeat_interval_s") * long_lit(MICROS))
-        return F.when(due, F.array_append(sent, at)).otherwise(sent)
-
-    sent = (
-        candidates.groupBy(*keys, "repeat_interval_s")
-        .agg(F.sort_array(F.collect_list("tick_us")).alias("instants"))
-        .withColumn("tick_us", F.explode(F.aggregate("instants", F.array().cast("array<bigint>"), send)))
-        .select(*keys, "tick_us")
-    )
-    return candidates.join(sent, [*keys, "tick_us"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, 0
+        for batch in batches:
+            ticks, repeats = (batch.column(c).to_pylist() for c in ("tick_us", "repeat_interval_s"))
+            sent = []
+            for key, tick, repeat in zip(zip(*(batch.column(c).to_pylist() for c in keys)), ticks, repeats):
+                due = key != before or tick - last >= repeat * MICROS
+                if due:
+                    before, last = key, tick
+                sent.append(due)
+            yield batch.filter(pa.array(sent, pa.bool_()))
+
+    ordered = candidates.repartition(*keys).sortWithinPartitions(*keys, "tick_us")
+    return ordered.mapInArrow(send, candidates.schema)
 
 
 def notifications(candidates: DataFrame) -> DataFrame:

@@ -112,21 +112,20 @@ def at_ticks(samples: DataFrame, keys: Sequence[str], step_us: int, first_us: in
     next_one = F.coalesce(ceil_div(F.col("after_at"), step_us) - 1, high)
     former = F.coalesce(_last_seer(F.col("before_at"), step_us) + 1, low)
 
-    def named(begin: Column, end: Column) -> DataFrame:
-        ends = samples.withColumn("_lo", F.greatest(begin, low)).withColumn("_hi", F.least(end, high))
+    def named(begin: Column, end: Column, side: int) -> Column:
+        """Twice the tick's number, plus one for ticks of which the sample is the first."""
+        lo, hi = F.greatest(begin, low), F.least(end, high)
         # lo <= hi first: sequence() would count downwards otherwise
-        return ends.filter(F.col("_lo") <= F.col("_hi")).withColumn("_tick", F.explode(F.sequence("_lo", "_hi")))
+        ticks = F.sequence(lo * 2 + side, hi * 2 + side, long_lit(2))
+        return F.when(lo <= hi, ticks).otherwise(F.array().cast("array<bigint>"))
 
     values = ["at", "value", "grew", "odd", "nth"]
-    nulls = [F.lit(None).cast(samples.schema[c].dataType) for c in values]
-    as_last = named(seen_from, F.least(seen_to, next_one)).select(
-        *keys, "_tick", *[F.col(c).alias(f"l_{c}") for c in values], *[n.alias(f"f_{c}") for n, c in zip(nulls, values)]
-    )
-    as_first = named(F.greatest(seen_from, former), seen_to).select(
-        *keys, "_tick", *[n.alias(f"l_{c}") for n, c in zip(nulls, values)], *[F.col(c).alias(f"f_{c}") for c in values]
-    )
-    joined = as_last.unionByName(as_first).groupBy(*keys, "_tick").agg(
-        *[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lf" for c in values]
+    both = F.concat(named(seen_from, F.least(seen_to, next_one), 0), named(F.greatest(seen_from, former), seen_to, 1))
+    ends = samples.select(*keys, *values, F.explode(both).alias("_end"))
+    is_first = F.pmod("_end", F.lit(2)) == 1
+    joined = ends.groupBy(*keys, floor_div(F.col("_end"), 2).alias("_tick")).agg(
+        *[F.max(F.when(~is_first, F.col(c))).alias(f"l_{c}") for c in values],
+        *[F.max(F.when(is_first, F.col(c))).alias(f"f_{c}") for c in values],
     )
     odd = F.col("l_odd") - F.col("f_odd")
     up = F.col("l_grew") - F.col("f_grew")

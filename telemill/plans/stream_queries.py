@@ -6,6 +6,8 @@ folder the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill.functions.timegrid import prune_days
@@ -20,7 +22,6 @@ from telemill.sources.tables import fan_out
 from telemill.streaming import alerting, windows
 
 DELAY = "10 minutes"
-_CLOSED_US = "(SELECT (epoch_us(max(ts)) - 600000000) // 1000 * 1000 FROM events)"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +31,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, purpose: str, base: str | None = None) -> DataFrame:
-    """Run a stream over all available data into a Parquet folder; the rows written."""
-    spark = stream.sparkSession
-    base = base or shared_dir(spark, purpose)
+def _run(stream: DataFrame, base: str) -> None:
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/rows")
@@ -43,24 +41,42 @@ def drain(stream: DataFrame, purpose: str, base: str | None = None) -> DataFrame
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def drain(stream: DataFrame, purpose: str, base: str | None = None) -> DataFrame:
+    """Run a stream over all available data into a Parquet folder; the rows written."""
+    base = base or shared_dir(stream.sparkSession, purpose)
+    _run(stream, base)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def drain_closed(
+    source: DataFrame, plan: Callable[[DataFrame], DataFrame], purpose: str, time_column: str, base: str | None = None, **values
+) -> DataFrame:
+    """Run ``plan`` over all data of ``source``, end its input and run on until every window has closed."""
+    spark = source.sparkSession
+    base = base or shared_dir(spark, purpose)
+    _run(plan(windows.with_closing(source, f"{base}/end")), base)
+    windows.close_stream(spark, source.schema, f"{base}/end", time_column, **values)
+    result = plan(windows.with_closing(source, f"{base}/end"))
+    _run(result, base)
+    return spark.read.schema(result.schema).parquet(f"{base}/rows")
 
 
 def stream_multi_window(spark, sf_dir):
     points = views.event_metrics_of(event_stream(spark, sf_dir))
-    return metric_queries.window_columns(drain(windows.stream_multi_window(points, DELAY), "windows"))
+    closed = drain_closed(points, lambda p: windows.stream_multi_window(p, DELAY), "windows", "timestamp")
+    return metric_queries.window_columns(closed)
 
 
-STREAM_MULTI_WINDOW = metric_queries.window_sql(
-    where=f"name <> 'item_price' AND (epoch_us(\"timestamp\") // us) * us + us <= {_CLOSED_US}"
-)
+STREAM_MULTI_WINDOW = metric_queries.window_sql(where="name <> 'item_price'")
 
 
 def stream_window_cascade(spark, sf_dir):
     """Minutes from the raw stream into a table; hours and days from a stream over that table, a file at a time."""
     points = views.event_metrics_of(event_stream(spark, sf_dir))
     base = shared_dir(spark, "minutes")
-    minutes = drain(windows.stream_multi_window(points, DELAY, {"1m": 60}), "minutes", base)
+    minutes = drain_closed(points, lambda p: windows.stream_multi_window(p, DELAY, {"1m": 60}), "minutes", "timestamp", base)
     again = spark.readStream.schema(minutes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/rows")
     write = windows.coarser_window_writer(f"{base}/states", {"5m": 300, "1h": 3600, "1d": 86400})
     query = again.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/coarser").trigger(availableNow=True).start()
@@ -69,13 +85,12 @@ def stream_window_cascade(spark, sf_dir):
     return metric_queries.window_columns(minutes.unionByName(coarser))
 
 
-STREAM_WINDOW_CASCADE = metric_queries.window_sql(
-    where=f"""name <> 'item_price' AND (epoch_us("timestamp") // 60000000) * 60000000 + 60000000 <= {_CLOSED_US}"""
-)
+STREAM_WINDOW_CASCADE = STREAM_MULTI_WINDOW
 
 
 def stream_severity_counts(spark, sf_dir):
-    counts = drain(windows.stream_severity_counts(views.logs_of(event_stream(spark, sf_dir)), DELAY), "severity")
+    logs = views.logs_of(event_stream(spark, sf_dir)).select("timestamp", "service_name", "severity")
+    counts = drain_closed(logs, lambda rows: windows.stream_severity_counts(rows, DELAY), "severity", "timestamp")
     return counts.select(
         "service_name", F.col("severity").cast("bigint").alias("severity"), F.unix_micros("bucket").alias("bucket_us"), "cnt"
     )
@@ -83,7 +98,7 @@ def stream_severity_counts(spark, sf_dir):
 
 STREAM_SEVERITY_COUNTS = f"""WITH logs_v AS ({LOGS_SQL})
 SELECT service_name, CAST(severity AS BIGINT) AS severity, epoch_us(date_trunc('minute', "timestamp")) AS bucket_us, count(*) AS cnt
-FROM logs_v GROUP BY 1, 2, 3 HAVING bucket_us + 60000000 <= {_CLOSED_US}"""
+FROM logs_v GROUP BY 1, 2, 3"""
 
 
 def stream_log_fields(spark, sf_dir):
@@ -116,12 +131,16 @@ def stream_trace_summaries(spark, sf_dir):
 
 
 def stream_alert_transitions(spark, sf_dir):
-    """Evaluations of the batch plan, streamed through the alert state machine."""
+    """Evaluations of the batch plan, dealt over files in no order of time, streamed through the alert states."""
     base = shared_dir(spark, "evaluations")
-    evaluated = alert_queries.evaluations(spark, sf_dir)
-    evaluated.write.parquet(base)
-    stream = spark.readStream.schema(evaluated.schema).parquet(base)
-    moved = drain(alerting.stream_alert_transitions(stream), "transitions")
+    columns = ["fingerprint", "rule_name", "tick_us", "firing", "duration_s", "value"]
+    evaluated = alert_queries.evaluations(spark, sf_dir).select(columns)
+    evaluated.repartition(6, F.xxhash64("tick_us")).write.parquet(base)
+    stream = spark.readStream.schema(evaluated.schema).option("maxFilesPerTrigger", 2).parquet(base)
+    # Ticks of the whole month may come from the last file, so that is how long the watermark waits.
+    plan = lambda rows: alerting.stream_alert_transitions(rows, "31 days")
+    with alerting.timer_store(spark):
+        moved = drain_closed(stream, plan, "transitions", "tick_us", fingerprint="", firing=False, duration_s=0, value=0.0)
     return moved.select(
         "fingerprint", "rule_name", "tick_us", "state", "starts_us", "ends_us", F.round("value", 4).alias("value")
     )
@@ -133,9 +152,12 @@ def stream_sent(spark, sf_dir):
     moved = alert_transitions(alert_queries.states(spark, sf_dir))
     silences = current_silences(alert_queries.silence_changes(spark))
     candidates = route(unsilenced(moved, silences), alert_queries.channels(spark))
-    candidates.write.parquet(base)
-    stream = spark.readStream.schema(candidates.schema).parquet(base)
-    return drain(alerting.stream_suppress_repeats(stream), "sent")
+    narrow = candidates.select("fingerprint", "channel", "state", "tick_us", "repeat_interval_s")
+    narrow.write.parquet(base)
+    stream = spark.readStream.schema(narrow.schema).parquet(base)
+    plan = lambda rows: alerting.stream_suppress_repeats(rows, "31 days")
+    with alerting.timer_store(spark):
+        return drain_closed(stream, plan, "sent", "tick_us", fingerprint="", channel="", state="", repeat_interval_s=0)
 
 
 def stored_spans(spark, sf_dir):

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterable
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from telemill.functions.timegrid import micros, prune_days
 
@@ -168,11 +168,11 @@ class DayTable:
         return self._commit(change)
 
     def _of(self, commits: dict[str, list[str]]) -> DataFrame:
-        full = StructType(self.schema.fields).add("_date", "date")
+        full = StructType([*self.schema.fields, StructField("_date", DateType())])
         paths = [f"{self.path}/data/_date={day}/commit={name}" for day, names in sorted(commits.items()) for name in names]
         if not paths:
             return self.spark.createDataFrame([], full)
-        reader = self.spark.read.schema(full.add("commit", "string")).option("basePath", f"{self.path}/data")
+        reader = self.spark.read.schema(StructType([*full.fields, StructField("commit", StringType())])).option("basePath", f"{self.path}/data")
         return reader.parquet(*paths).drop("commit")
 
     def days(self, start=None, end=None) -> dict[str, list[str]]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
-from telemill.functions.timegrid import bucket_start
+from telemill.functions.timegrid import bucket_start, micros
 from telemill.operators.metrics import WINDOW_SECONDS
 from telemill.operators.spans import trace_states
 
@@ -109,6 +111,29 @@ def trace_state_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType) for f in schema.fields])
+
+
+def with_closing(stream: DataFrame, folder: str) -> DataFrame:
+    """``stream`` and the rows that :func:`close_stream` puts into ``folder``."""
+    spark, schema = stream.sparkSession, _nullable(stream.schema)
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+def close_stream(spark: SparkSession, schema: StructType, folder: str, time_column: str, **values) -> None:
+    """End the input of a stream of :func:`with_closing`: one row so late that every window of the data closes.
+
+    Its time is the year 2262, the last that pandas can hold, as a timestamp or in microseconds as the column's type asks for; the other columns are
+    null but for ``values``.  Its own windows never close, so it shows in no result.  Run the query once more after it.
+    """
+    end = datetime(2262, 1, 1, tzinfo=timezone.utc)
+    end = end if isinstance(schema[time_column].dataType, TimestampType) else micros(end)
+    row = {time_column: end, **values}
+    spark.createDataFrame([tuple(row.get(c) for c in schema.names)], _nullable(schema)).write.mode("append").parquet(folder)
+
+
 def late_rows(query) -> int:
     """Rows a query has dropped because they came after the watermark."""
     return sum(

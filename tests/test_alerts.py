@@ -281,3 +281,52 @@ def test_invalid_silences_are_reported_and_ties_are_settled(spark):
         ("b", "no matchers"), ("c", "end is not after start"), ("d", "no creator"),
     ]
     assert rows(ops.current_silences(changes), "id") == [("e",)]
+
+
+def test_a_long_silence_lies_in_few_cells(spark):
+    """Every day of a silence lies in exactly one cell, whatever its length."""
+    from datetime import datetime, timedelta, timezone
+
+    rng = random.Random(2)
+    day = lambda n: datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(days=n)
+    ranges = [(0, 1), (5, 6), (3, 200), (-400, 700), (19723, 19724), (16, 64), (19000, 2_932_000)]
+    ranges += [(a := rng.randrange(-5000, 30000), a + rng.randrange(1, 5000)) for _ in range(60)]
+    rows_ = [(str(i), [("team", "a", False, True)], day(a), day(b), "x", "", at(0), False) for i, (a, b) in enumerate(ranges)]
+    cells = ops.silence_cells(spark.createDataFrame(rows_, SILENCE_SCHEMA)).groupBy("s_from", "s_to").agg(F.collect_list(F.struct("level", "cell")).alias("c"))
+    for r in cells.collect():
+        assert len(r["c"]) < 100
+        covered = sorted((c["cell"] * ops.CELL_BASE ** c["level"], (c["cell"] + 1) * ops.CELL_BASE ** c["level"]) for c in r["c"])
+        assert covered[0][0] == r["s_from"] // ops.DAY_US and covered[-1][1] == r["s_to"] // ops.DAY_US
+        assert all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+
+
+def test_silences_of_any_length_against_brute_force(spark):
+    rng = random.Random(6)
+    quiet = [(f"s{i}", [("team", rng.choice("abc"), False, True)], s := rng.randrange(-90 * 86400, 60 * 86400), s + rng.choice([60, 86400, 40 * 86400, 250 * 10**9])) for i in range(12)]
+    frame = silences(spark, *[(i, m, at(s), at(e), "x", "", at(0), False) for i, m, s, e in quiet])
+    ticks = [(rng.choice("abc"), rng.randrange(-100 * 86400, 100 * 86400)) for _ in range(400)]
+    base = micros(at(0))
+    moved = spark.createDataFrame([({"team": t}, base + s * MICROS) for t, s in ticks], "labels map<string,string>, tick_us bigint")
+    want = sorted((t, s) for t, s in ticks if not any(m[0][1] == t and a <= s < b for _, m, a, b in quiet))
+    for limits in ((None, None), (at(-101 * 86400), at(101 * 86400))):
+        got = sorted((r["labels"]["team"], (r["tick_us"] - base) // MICROS) for r in ops.unsilenced(moved, frame, *limits).collect())
+        assert got == want and 0 < len(want) < len(ticks)
+
+
+def test_a_bad_pattern_is_a_reject(spark):
+    changes = silences(spark, silence("good", matchers=(("team", "^a(b|$)", True, True),)), silence("bad", matchers=(("team", "a(", True, True),)), silence("plain", matchers=(("team", "a(", False, True),)))
+    assert rows(ops.invalid_silences(changes), "id", "reason") == [("bad", "bad pattern")]
+    current = ops.current_silences(changes)
+    assert sorted(rows(current, "id")) == [("good",), ("plain",)]
+    moved = spark.createDataFrame([({"team": "a"}, micros(at(0))), ({"team": "x"}, micros(at(0)))], "labels map<string,string>, tick_us bigint")
+    assert [r["labels"]["team"] for r in ops.unsilenced(moved, current).collect()] == ["x"]
+
+
+def test_a_million_instants_of_one_key(spark):
+    """One key, one pass: 90 s apart, repeated no sooner than 100 s, so every second one goes out."""
+    df = spark.range(1_000_000).selectExpr("'f' AS fingerprint", "'c' AS channel", "'firing' AS state", "id * 90000000 AS tick_us", "100L AS repeat_interval_s", "'payload' AS more")
+    sent = ops.suppress_repeats(df)
+    assert sent.agg(F.count("*"), F.min("tick_us"), F.max("tick_us"), F.sum(F.col("tick_us") % 180000000)).first()[:] == (500_000, 0, 999_998 * 90000000, 0)
+    assert sent.columns == df.columns
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

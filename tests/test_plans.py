@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-from telemill.plans import views
+from telemill.plans import store_queries, views
 from telemill.plans.registry import REGISTERED
 
 SF = "/root/testdata/sf0.001"
-STREAMED = {name for name in REGISTERED if name.startswith("stream_")} | {"stored_spans"}
+STREAMED = {name for name in REGISTERED if name.startswith("stream_")} | {"stored_spans"} | set(store_queries.QUERIES)
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas", "SinglePartition")
 
 

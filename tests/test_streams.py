@@ -102,32 +102,82 @@ def test_ingest_stream_with_trace_states(spark, tmp_path):
     assert len(os.listdir(tmp_path / "states")) == 2
 
 
-def test_alert_transitions_with_restarts(spark, tmp_path):
+BEGIN = 86400
+
+
+@pytest.fixture
+def timers(spark):
+    with alerting.timer_store(spark):
+        yield
+
+
+def alert_stream(spark, schema, source, out, delay):
+    return alerting.stream_alert_transitions(windows.with_closing(spark.readStream.schema(schema).parquet(source), f"{out}/end"), delay)
+
+
+def state_rows(query):
+    """Rows in the state store after each batch of a query's run."""
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_alert_transitions_in_any_file_order_with_restarts(spark, tmp_path, timers):
+    """Files hold ticks of all times; what the watermark has not passed waits, over restarts, too."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    evals = evaluations(spark, random_runs(11))
-    for part in range(3):
-        low, high = part * 800 * 1_000_000, (part + 1) * 800 * 1_000_000
-        evals.filter(evals.tick_us.between(low, high - 1)).write.mode("append").parquet(source)
-        stream = alerting.stream_alert_transitions(spark.readStream.schema(evals.schema).parquet(source))
-        run(stream, out)  # a new query each time: state comes back from the checkpoint
+    evals = evaluations(spark, random_runs(11)).select("fingerprint", "rule_name", "tick_us", "firing", "duration_s", "value")
+    evals = evals.withColumn("tick_us", evals.tick_us + 86400 * 1_000_000)  # the watermark begins at the epoch
+    for part in (2, 0, 1):  # the latest ticks first
+        evals.filter(f"pmod(tick_us div 30000000, 3) = {part}").coalesce(1).write.mode("append").parquet(source)
+        stream = alert_stream(spark, evals.schema, source, out, "1 hour")
+        run(stream, out)  # a new query each time: what waits comes back from the checkpoint
+    assert result(spark, stream, out).count() == 0
+    windows.close_stream(spark, evals.schema, f"{out}/end", "tick_us", fingerprint="", firing=False, duration_s=0, value=0.0)
+    query = run(alert_stream(spark, evals.schema, source, out, "1 hour"), out)
     columns = ["fingerprint", "rule_name", "state", "tick_us", "starts_us", "ends_us", "value"]
     got = sorted(rows(result(spark, stream, out), *columns), key=str)
     want = sorted(rows(alerts.alert_transitions(alerts.alert_states(evals)), *columns), key=str)
     assert got == want and len(got) > 50
+    # Nothing waits but the closing row, and only alerts that are under way have a state.
+    open_alerts = {r[0] for r in want} - {fp for fp, state, tick in ((r[0], r[2], r[3]) for r in want) if state == "resolved" and tick == max(w[3] for w in want if w[0] == fp)}
+    assert state_rows(query)[-1] <= 3 * (len(open_alerts) + 1)
+
+
+def test_late_ticks_are_dropped_and_counted_and_state_leaves(spark, tmp_path, timers):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "fingerprint string, rule_name string, tick_us bigint, firing boolean, duration_s bigint, value double"
+
+    def arrive(*ticks):
+        spark.createDataFrame([(f, "r", (BEGIN + t) * 1_000_000, on, 0, float(t)) for f, t, on in ticks], schema).coalesce(1).write.mode("append").parquet(source)
+        shape = spark.read.parquet(source).schema
+        return run(alert_stream(spark, shape, source, out, "60 seconds"), out)
+
+    arrive(("a", 0, True), ("a", 60, False), ("b", 30, True), ("c", 1000, False))
+    query = arrive(("a", 30, True), ("c", 990, True), ("c", 2000, False))  # the first is late: the watermark stands at 940
+    assert windows.late_rows(query) == 1
+    got = sorted(rows(result(spark, alert_stream(spark, spark.read.parquet(source).schema, source, out, "60 seconds"), out), "fingerprint", "state", "tick_us"))
+    assert [(f, s, t // 1_000_000 - BEGIN) for f, s, t in got] == [("a", "pending", 0), ("a", "resolved", 60), ("b", "pending", 30), ("c", "pending", 990), ("c", "resolved", 1000)]
+    quiet = arrive(("c", 5000, False))
+    # the state of b, and one waiting tick of c with its timer
+    assert state_rows(quiet)[-1] < state_rows(query)[0] + 4
 
 
-def test_repeat_suppression_with_restarts(spark, tmp_path):
+def test_repeat_suppression_with_restarts(spark, tmp_path, timers):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     candidates = spark.createDataFrame(
-        [(f"f{k}", "c", "firing", (t * 70 + k) * 1_000_000, 300) for k in range(4) for t in range(50) if (t * 7 + k) % 3],
+        [(f"f{k}", "c", "firing", (BEGIN + t * 70 + k) * 1_000_000, 300) for k in range(4) for t in range(50) if (t * 7 + k) % 3],
         "fingerprint string, channel string, state string, tick_us bigint, repeat_interval_s bigint",
     )
+
+    def stream():
+        return alerting.stream_suppress_repeats(windows.with_closing(spark.readStream.schema(candidates.schema).parquet(source), f"{out}/end"), "1 minute")
+
     for low, high in ((0, 1500), (1500, 9999)):
-        candidates.filter(candidates.tick_us.between(low * 1_000_000, high * 1_000_000 - 1)).write.mode("append").parquet(source)
-        stream = alerting.stream_suppress_repeats(spark.readStream.schema(candidates.schema).parquet(source))
-        run(stream, out)
+        candidates.filter(candidates.tick_us.between((BEGIN + low) * 1_000_000, (BEGIN + high) * 1_000_000 - 1)).write.mode("append").parquet(source)
+        run(stream(), out)
+    windows.close_stream(spark, candidates.schema, f"{out}/end", "tick_us", fingerprint="", channel="", state="", repeat_interval_s=0)
+    query = run(stream(), out)
     columns = ["fingerprint", "channel", "state", "tick_us"]
-    assert sorted(rows(result(spark, stream, out), *columns)) == sorted(rows(alerts.suppress_repeats(candidates), *columns))
+    assert sorted(rows(result(spark, stream(), out), *columns)) == sorted(rows(alerts.suppress_repeats(candidates), *columns))
+    assert state_rows(query)[-1] <= 3  # all intervals are over; the closing row waits
 
 
 def test_severity_stream_equals_batch_on_closed_minutes(spark, tmp_path):
