@@ -39,6 +39,8 @@ class Rule:
     group: int = 0
     least: int = 0
     hints: tuple[str, ...] = ()
+    #: The group that is the finding.
+    span: int = 0
 
     @property
     def label(self) -> str:
@@ -56,10 +58,12 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0,
          ("private key-----",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ("eyj",)),
+    # Of a run only its first place is tried: what comes before the token is passed once, and never given back.
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+         0, 0, ("eyj",), 1),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, ("xox",)),
-    Rule("url", 1, r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@", 1, 4, ("://",)),
+    Rule("url", 2, r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@]++:([^\s/@]++)@)", 2, 4, ("://",), 1),
 )
 BASE = ("assign", "access", "hex")
 FINDING = "array<struct<kind:string,start:int,end:int>>"
@@ -69,7 +73,7 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, rule by rule."""
     low = text.lower()
     return [
-        (rule.name, m.start(), m.end())
+        (rule.name, m.start(rule.span), m.end(rule.span))
         for rule in rules
         if not rule.hints or any(h in low for h in rule.hints)
         for m in re.finditer(rule.pattern, text)
@@ -121,7 +125,7 @@ def scan_unseen(docs: DataFrame, blobs: DataFrame, ledger: str, rules: tuple[Rul
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob, findings (by start, then in the order of the rules) of every row of ``docs``.
 
-    A null text is the empty blob.  Rows with equal texts share one scan; rows that repeat an id are fine, each text
+    A null text is the empty blob; very long texts are searched whole, in time linear in their length.  Rows with equal texts share one scan; rows that repeat an id are fine, each text
     has its own blob.  Findings of rules or versions that are not asked for are left out.
     """
     blobs = written(docs.select("doc_id", F.sha2(whole(), 256).alias("blob")), "blobs")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from telemill.llm import queries, secret_scan
 from telemill.llm.secret_scan import RULES, Rule
@@ -74,3 +75,22 @@ def test_registered_query(spark, sample):
         assert got[doc_id]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert [got[doc_id][f"n_{k}"] for k in secret_scan.BASE] == [sum(w[0] == k for w in want) for k in secret_scan.BASE]
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(got[doc_id]["spans"].split(","))
+
+
+def test_long_runs_take_linear_time_and_lose_nothing():
+    """A megabyte that looks like the beginning of a finding, everywhere."""
+    old = {"jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "url": r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@"}
+    rules = tuple(r for r in RULES if r.name in old)
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"
+    texts = [token, f"x{token}", f"a.b-{token}.c", "eyJ.eyJ." + token, "eyJshort." + token, f"{token} {token}", "eyJ" * 5 + "." + token, "a.eyJ12345678.eyJ12345678.12345678"]
+    texts += ["http://u:pass@h", "9+http://u:pass@h", "..9a+b://u:pass@h", "x http://u:pass@h http://v:word@i", "http://u:p@h ftp://a:secret@b", "a://b:c:d@e", "://a:bcde@f", "1://u:pass@h", "http://u:passw@h:http://x:abcdef@y"]
+    for text in texts:
+        want = []
+        for rule in rules:
+            group = 1 if rule.name == "url" else 0
+            want += [(rule.name, m.start(), m.end()) for m in re.finditer(old[rule.name], text) if m.end(group) - m.start(group) >= rule.least]
+        assert secret_scan.find(text, rules) == want, text
+    begun = time.process_time()
+    for text in ("a" * 1_000_000 + "://", "eyJ" * 330_000 + ".eyJ", "+" * 1_000_000 + "a://", "://a:" * 200_000, "AKIA" * 250_000, "-----BEGIN " * 90_000, "token " * 160_000 + "=", "ghp_" * 250_000, "xoxb-" * 200_000):
+        secret_scan.find(text, RULES)
+    assert time.process_time() - begun < 15
