@@ -193,6 +193,7 @@ def evaluate_rules(
         .withColumn("absent", ~present & F.exists("conditions", lambda c: c["type"] == "absence"))
     )
     fallback = present & (F.size("conditions") == 0) & (F.col("last_value") > 0)
+    # The wording and the number formats of messages.
     message = (
         F.when(F.col("absent"), F.concat(F.lit("no data for "), _span_text(lookback_s())))
         .when(
@@ -466,6 +467,7 @@ def notifications(candidates: DataFrame) -> DataFrame:
         F.array(
             F.struct("rule_name", "severity", "labels", "annotations", "value", "starts_us", "ends_us", "fingerprint")
         ).alias("alerts"),
+        # Fixed value: the wording of titles.
         F.format_string("[%s] %d alert(s)", F.upper("state"), F.lit(1)).alias("title"),
         F.timestamp_micros("tick_us").alias("sent_at"),
     )

@@ -142,12 +142,13 @@ def _fields(df: DataFrame, *keys: str) -> DataFrame:
 
 
 # The patterns in the notation of the engine that computes the reference result.
+USER_ID_SQL = r"regexp_extract({0}, 'user[_\s]?id[=:\s]+(\d+)', 1) AS user_id"
 _FIELDS_SQL = r"""
   regexp_extract({0}, '(?i)(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+/', 1) AS http_method,
   regexp_extract({0}, '\bHTTP[/ ][\d.]+\s+(\d{{3}})\b', 1) AS http_status,
   regexp_extract({0}, '([A-Z][a-zA-Z]+Error|[A-Z][a-zA-Z]+Exception):', 1) AS error_type,
   regexp_extract({0}, 'duration[=:\s]+([\d.]+)\s*ms', 1) AS duration_ms,
-  regexp_extract({0}, 'user[_\s]?id[=:\s]+(\d+)', 1) AS user_id"""
+  """ + USER_ID_SQL
 
 
 def extract_fields(spark, sf_dir):

@@ -14,6 +14,7 @@ from telemill.functions.timegrid import prune_days
 from telemill.operators import logs as log_ops, spans as span_ops
 from telemill.operators.alerts import alert_transitions, current_silences, route, unsilenced
 from telemill.plans import alert_queries, metric_queries, trace_queries, views
+from telemill.plans.log_queries import USER_ID_SQL
 from telemill.plans.views import LOGS_SQL, SPANS_SQL
 from telemill.schemas import SPAN_SCHEMA
 from telemill.session import prepare_session, shared_dir
@@ -109,9 +110,9 @@ def stream_log_fields(spark, sf_dir):
     )
 
 
-STREAM_LOG_FIELDS = rf"""WITH logs_v AS ({LOGS_SQL})
+STREAM_LOG_FIELDS = f"""WITH logs_v AS ({LOGS_SQL})
 SELECT span_id, CASE WHEN service_name = '' THEN resource_service ELSE service_name END AS service_name,
-  regexp_extract(body, 'user[_\s]?id[=:\s]+(\d+)', 1) AS user_id FROM logs_v WHERE severity > 5"""
+  {USER_ID_SQL.format("body")} FROM logs_v WHERE severity > 5"""
 
 
 def stream_trace_summaries(spark, sf_dir):
