@@ -169,8 +169,8 @@ def stored_days(spark, sf_dir):
     """Commits and rows per day after many small batches and compaction: one commit a day."""
     table = rollups.span_table(spark, shared_dir(spark, "days"))
     rows = tables.stored_form(_aligned(views.spans(spark, sf_dir), SPAN_SCHEMA))
-    for i in range(12):
-        table.append(rows.filter(F.pmod(F.xxhash64("span_id"), F.lit(12)) == i), "spans", i)
+    for i in range(6):
+        table.append(rows.filter(F.pmod(F.xxhash64("span_id"), F.lit(6)) == i), "spans", i)
     table.compact()
     commits = {day: len(names) for day, names in table.days().items()}
     counted = table.read().groupBy(F.col("_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("spans"))

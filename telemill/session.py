@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # up to so many folders are listed by the driver itself, without a job for it
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "512",
 }
 
 # Settings a session takes only when it is created.  Without the first, PySpark inspects the Python stack

@@ -7,7 +7,7 @@ failed writer leaves files nobody reads, and of two writers that started from on
 
 * A batch whose number is not above its source's last one has been committed before and is left out, so a stream may
   deliver batches again, and a neighbour's failure costs a sink nothing.
-* Reading a range opens the commits of its days: nothing is listed, whatever the number of batches.
+* Reading a range lists and opens the commits of its own days alone, whatever the number of batches.
 * Compaction rewrites the days that have many commits, each to files of about a target size, and swaps them in.
 * Expiry drops days from the manifest.  ``vacuum`` removes files no version that is kept names.
 
