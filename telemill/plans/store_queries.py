@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from telemill.operators import logs as log_ops
+from telemill.operators import logs as log_ops, spans as span_ops
 from telemill.operators.metrics import Selector, select_points
 from telemill.plans import ingest, views
 from telemill.plans.metric_queries import _KEY_SQL, _points, _rollup_columns, _rollup_sql, _sql
@@ -259,7 +259,40 @@ SELECT signal, service_name, strftime(seen, '%Y-%m-%d') AS day, count(*) AS n_ro
 
 _LOGS = f"WITH logs_v AS ({LOGS_SQL}) SELECT {_LOG_SQL} FROM logs_v"
 
+
+def _slowest_trace(spark, sf_dir) -> str:
+    """The trace with the longest span."""
+    return views.spans(spark, sf_dir).orderBy(F.desc("duration_ms"), "trace_id").select("trace_id").first()["trace_id"]
+
+
+def stored_trace(spark, sf_dir):
+    """A trace looked up by id in the span table of all days: its header on each of its spans."""
+    rows = tables.stored_form(_aligned(views.spans(spark, sf_dir), SPAN_SCHEMA))
+    table = _filled(rollups.span_table(spark, shared_dir(spark, "trace")), rows)
+    trace_id = _slowest_trace(spark, sf_dir)
+    header, found = span_ops.get_trace(table.lookup(trace_id), trace_id)
+    return found.join(header.select("trace_id", "span_count"), "trace_id").select(
+        "trace_id", "span_id", "service_name", F.unix_micros("start_time").alias("start_us"), "duration_ms", "span_count"
+    )
+
+
+STORED_TRACE = f"""WITH spans_v AS ({SPANS_SQL})
+SELECT trace_id, span_id, service_name, epoch_us(start_time) AS start_us, duration_ms, count(*) OVER () AS span_count FROM spans_v
+WHERE trace_id = (SELECT trace_id FROM spans_v ORDER BY duration_ms DESC, trace_id LIMIT 1)"""
+
+
+def stored_trace_logs(spark, sf_dir):
+    """The log records of a trace, looked up by id in the log table of all days."""
+    table, trace_id = _stored_logs(spark, sf_dir), _slowest_trace(spark, sf_dir)
+    return _log_columns(log_ops.log_context(table.lookup(trace_id), trace_id))
+
+
+STORED_TRACE_LOGS = f"""WITH logs_v AS ({LOGS_SQL}), spans_v AS ({SPANS_SQL}) SELECT {_LOG_SQL} FROM logs_v
+WHERE trace_id = (SELECT trace_id FROM spans_v ORDER BY duration_ms DESC, trace_id LIMIT 1)"""
+
 QUERIES = {
+    "stored_trace": (stored_trace, STORED_TRACE),
+    "stored_trace_logs": (stored_trace_logs, STORED_TRACE_LOGS),
     "stored_rollups": (stored_rollups, STORED_ROLLUPS),
     "stored_routes": (stored_routes, STORED_ROUTES),
     "stored_severity": (stored_severity, STORED_SEVERITY),

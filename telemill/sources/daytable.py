@@ -10,6 +10,9 @@ failed writer leaves files nobody reads, and of two writers that started from on
 * Reading a range lists and opens the commits of its own days alone, whatever the number of batches.
 * Compaction rewrites the days that have many commits, each to files of about a target size, and swaps them in.
 * Expiry drops days from the manifest.  ``vacuum`` removes files no version that is kept names.
+* A table with a ``key`` finds the rows of one key without reading its days.  Every commit comes with a list of its
+  (key, day) pairs, sorted and dealt to folders by a hash of the key, and with Bloom filters on the key in its files; so a
+  lookup opens one folder of each commit's list, then only the days and commits that hold the key.
 
 What the manifest holds grows with days and with commits since the last compaction.  Renaming without replacing must be
 atomic in the file system, as in HDFS and local ones.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import copy
 import json
 import uuid
+import zlib
 from collections.abc import Callable, Iterable
 from datetime import date, datetime, timedelta, timezone
 
@@ -30,6 +34,8 @@ from telemill.functions.timegrid import micros, prune_days
 
 TARGET_BYTES = 128 << 20
 KEPT_VERSIONS = 10
+#: Folders a commit's list of keys is dealt to; part of the folders' names, so it may change between commits.
+KEY_FOLDERS = 64
 
 Merge = Callable[[DataFrame], DataFrame]
 
@@ -126,10 +132,15 @@ class Ledger:
 
 
 class DayTable:
-    """A table of rows with a time column, stored by UTC day; ``sort`` is the order inside a file."""
+    """A table of rows with a time column, stored by UTC day; ``sort`` is the order inside a file.
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, time_column: str, sort: Iterable[str] = ()):
-        self.spark, self.path, self.time_column, self.sort = spark, path.rstrip("/"), time_column, list(sort)
+    ``key`` names a string column, such as a trace's id, by which :meth:`lookup` finds rows of any day.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, time_column: str, sort: Iterable[str] = (), key: str | None = None
+    ):
+        self.spark, self.path, self.time_column, self.sort, self.key = spark, path.rstrip("/"), time_column, list(sort), key
         self.schema = StructType([f for f in schema.fields if f.name not in ("_date", "commit")])
         self.files = Files(spark, self.path)
         self.ledger = Ledger(self.files, f"{self.path}/manifest")
@@ -145,8 +156,22 @@ class DayTable:
         """Write rows as one commit that no version names yet; the days it has rows of."""
         dated = rows.select(*self.schema.names).withColumn("_date", F.to_date(self.time_column)).withColumn("commit", F.lit(name))
         order = ["_date", *self.sort]
-        dated.sortWithinPartitions(*order).write.mode("append").partitionBy("_date", "commit").parquet(f"{self.path}/data")
-        return [folder.split("/")[-2][6:] for folder in self.files.found(f"{self.path}/data/_date=*/commit={name}")]
+        writer = dated.sortWithinPartitions(*order).write.mode("append").partitionBy("_date", "commit")
+        if self.key:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.path}/data")
+        touched = [folder.split("/")[-2][6:] for folder in self.files.found(f"{self.path}/data/_date=*/commit={name}")]
+        if self.key and touched:
+            self._write_keys({day: [name] for day in touched}, name)
+        return touched
+
+    def _write_keys(self, commits: dict[str, list[str]], name: str) -> None:
+        """List the keys of a commit with their days, from the files just written, of which only the key is read."""
+        pairs = self._of(commits).select(F.col(self.key).alias("key"), F.col("_date").alias("day")).filter("key IS NOT NULL").distinct()
+        folder = F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(KEY_FOLDERS)).cast("int")
+        placed = pairs.select("key", "day", F.lit(name).alias("commit"), F.lit(KEY_FOLDERS).alias("of"), folder.alias("folder"))
+        dealt = placed.repartitionByRange("folder", "key").sortWithinPartitions("folder", "key", "day")
+        dealt.write.mode("append").partitionBy("commit", "of", "folder").parquet(f"{self.path}/keys")
 
     def append(self, rows: DataFrame, source: str | None = None, batch_id: int | None = None) -> bool:
         """Add a batch; False if this batch of the source is in the table already."""
@@ -188,6 +213,33 @@ class DayTable:
             return rows
         return prune_days(rows, self.time_column, "0001-01-01" if start is None else start, "9999-12-31" if end is None else end)
 
+    def holding(self, key: str) -> dict[str, list[str]]:
+        """The commits of the days that hold a key; those without a list of keys (written before it had one) all do.
+
+        What comes to the driver are pairs of a day and a commit, which the manifest names anyway.
+        """
+        if self.key is None:
+            raise ValueError("the table has no key")
+        named = self.manifest()["days"]
+        live = {name for names in named.values() for name in names}
+        listed, paths = set(), []
+        for folder in self.files.found(f"{self.path}/keys/commit=*/of=*"):
+            name, of = (part.split("=")[1] for part in folder.split("/")[-2:])
+            if name in live:
+                listed.add(name)
+                paths += self.files.found(f"{folder}/folder={zlib.crc32(key.encode()) % int(of)}")
+        found = set()
+        if paths:
+            lists = self.spark.read.schema("key string, day date, commit string").option("basePath", f"{self.path}/keys").parquet(*paths)
+            hits = lists.filter(F.col("key") == key).select(F.col("day").cast("string").alias("day"), "commit").distinct()
+            found = {(row["day"], row["commit"]) for row in hits.collect()}
+        held = {day: [n for n in names if n not in listed or (day, n) in found] for day, names in named.items()}
+        return {day: names for day, names in held.items() if names}
+
+    def lookup(self, key: str) -> DataFrame:
+        """The rows of one key, whatever their day, with ``_date``; none if no row has it."""
+        return self._of(self.holding(key)).filter(F.col(self.key) == key)
+
     def compact(self, merge: Merge | None = None, least_commits: int = 2, target_bytes: int = TARGET_BYTES) -> list[str]:
         """Rewrite the days with at least so many commits, each to files of about ``target_bytes``; the days rewritten.
 
@@ -244,6 +296,10 @@ class DayTable:
             if (day, name) not in named:
                 self.files.delete(folder)
                 removed += 1
+        commits = {name for _, name in named}
+        for folder in self.files.found(f"{self.path}/keys/commit=*"):
+            if folder.rsplit("=", 1)[1] not in commits:
+                self.files.delete(folder)
         for old in versions[:-keep]:
             self.files.delete(f"{self.path}/manifest/{old}")
         return removed

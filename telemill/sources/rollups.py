@@ -25,18 +25,19 @@ SEVERITY_SCHEMA = StructType(
 )
 
 
-def _table(spark: SparkSession, path: str, schema: StructType, layout: TableLayout) -> DayTable:
-    return DayTable(spark, path, schema, layout.time_column, layout.sort_columns)
+def _table(spark: SparkSession, path: str, schema: StructType, layout: TableLayout, key: str | None = None) -> DayTable:
+    return DayTable(spark, path, schema, layout.time_column, layout.sort_columns, key)
 
 
 def span_table(spark: SparkSession, path: str) -> DayTable:
-    """Spans as :func:`tables.stored_form` gives them."""
+    """Spans as :func:`tables.stored_form` gives them; ``lookup`` finds those of a trace."""
     stored = StructType([StructField(f.name, TEXT if f.name in ("events", "links") else f.dataType) for f in SPAN_SCHEMA.fields])
-    return _table(spark, path, stored, SPANS)
+    return _table(spark, path, stored, SPANS, "trace_id")
 
 
 def log_table(spark: SparkSession, path: str) -> DayTable:
-    return _table(spark, path, LOG_SCHEMA, LOGS)
+    """Log records; ``lookup`` finds those of a trace."""
+    return _table(spark, path, LOG_SCHEMA, LOGS, "trace_id")
 
 
 def metric_table(spark: SparkSession, path: str) -> DayTable:

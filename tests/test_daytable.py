@@ -50,6 +50,70 @@ def test_a_range_opens_its_own_files(spark, table):
     assert len(read.inputFiles()) == 2 and all("_date=2024-01-02" in f for f in read.inputFiles())
 
 
+@pytest.fixture
+def keyed(spark, tmp_path):
+    return DayTable(spark, str(tmp_path / "keyed"), LOG_SCHEMA, "timestamp", ["service_name", "timestamp"], "trace_id")
+
+
+def traced(spark, *ids_and_days):
+    return logs(spark, *[log(f"{i}@{day}", seconds=day * DAY, trace_id=i) for i, day in ids_and_days]).coalesce(1)
+
+
+def test_a_lookup_opens_few_files_of_many_days(spark, keyed):
+    """One trace over two of thirty days, in batches with late rows: two data files are opened, before and after compaction."""
+    for i in range(3):
+        days = range(i, 30, 3)
+        keyed.append(traced(spark, *[(f"t{day}-{n}", day) for day in days for n in range(20)], *[("wide", day) for day in days if day in (4, 20)]), "s", i)
+    keyed.append(traced(spark, ("late", 4), ("é", 5), (None, 6)), "s", 3)
+    for _ in range(2):
+        found = keyed.lookup("wide")
+        assert bodies(found) == ["wide@20", "wide@4"] and len(found.inputFiles()) == 2 and found.columns[-1] == "_date"
+        assert bodies(keyed.lookup("late")) == ["late@4"] and len(keyed.lookup("late").inputFiles()) == 1
+        assert bodies(keyed.lookup("é")) == ["é@5"]
+        assert keyed.lookup("nobody").count() == 0 and keyed.lookup("nobody").inputFiles() == []
+        assert len(keyed.read().inputFiles()) >= 30
+        keyed.compact()
+    keyed.expire(at(40 * DAY), 30)
+    assert bodies(keyed.lookup("wide")) == ["wide@20"]
+    keyed.vacuum(1)
+    assert bodies(keyed.lookup("wide")) == ["wide@20"] and keyed.holding("late") == {}
+
+
+def test_files_of_a_keyed_table_hold_bloom_filters(spark, keyed):
+    """More different keys than a dictionary page takes, so that the filter is what leaves a file out."""
+    ids = spark.range(0, 200_000).selectExpr("md5(cast(id AS string)) AS trace_id")
+    rows = logs(spark, log("x")).drop("trace_id").crossJoin(ids).select(*LOG_SCHEMA.names)
+    keyed.append(rows.coalesce(1))
+    path = keyed.read().inputFiles()[0]
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+        spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(keyed.files.path(path), keyed.files.conf)
+    )
+    try:
+        block = reader.getFooter().getBlocks().get(0)
+        offsets = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in block.getColumns()}
+    finally:
+        reader.close()
+    assert offsets["trace_id"] > 0 and offsets["body"] <= 0
+
+
+def test_lookup_reads_commits_that_have_no_list(spark, table, keyed):
+    """Batches from before the table had a key are read whole; a table without a key refuses."""
+    old = DayTable(spark, keyed.path, LOG_SCHEMA, "timestamp")
+    old.append(traced(spark, ("a", 0), ("b", 1)))
+    keyed.append(traced(spark, ("a", 2), ("c", 3)))
+    assert bodies(keyed.lookup("a")) == ["a@0", "a@2"] and len(keyed.lookup("a").inputFiles()) == 3
+    with pytest.raises(ValueError):
+        old.lookup("a")
+
+
+def test_a_batch_that_lost_its_race_is_not_looked_up(spark, keyed):
+    keyed.append(traced(spark, ("a", 0)), "s", 0)
+    keyed._write(traced(spark, ("a", 1)), "unnamed")
+    assert bodies(keyed.lookup("a")) == ["a@0"]
+    keyed.vacuum()
+    assert keyed.files.found(f"{keyed.path}/keys/commit=unnamed") == []
+
+
 def test_what_a_failed_writer_left_is_never_read(spark, table):
     table.append(batch(spark, ("kept", 0)), "s", 0)
     table._write(batch(spark, ("lost", 0)), "unnamed")  # and then the writer died
