@@ -1,7 +1,11 @@
 """Mix sources to target weights with a multivariate-hypergeometric splitting tree.
 
 A source's documents lie on a line in the order of a seeded hash of their ids; a prefix sum of their sizes places them.
-The mix takes the line from 0 to the source's target, wrapping round up to three times.  The taken stretch is cut into
+The mix takes the line from 0 to the source's target, wrapping round up to three times: every copy that ends before the
+target.  What is missing up to the target is filled from the documents of the hash range in which the line stopped, each
+once more at most: in rounds, the largest that fit, as a prefix sum over falling sizes.  Every round takes the largest
+one that fits or more, which at least halves the gap or leaves none that fits; at last the smallest one left is taken
+if that brings the source nearer to its target.  The taken stretch is cut into
 a quota of equal blocks (by largest share of a fixed number of blocks, one at least).  The tree hands the quotas to the
 output shards: each node splits its tickets, one per block, into two halves by rank under a fresh hash, so that the
 counts per source on either side are a multivariate-hypergeometric draw, and exact.  Each shard then takes its count of
@@ -22,6 +26,7 @@ REPEATS = 3
 TREE_DEPTH = 4
 BLOCKS_PER_SHARD = 64
 RANGE_ROWS = 4096
+FILL_ROUNDS = 8
 SEED = "mix-1"
 
 
@@ -100,9 +105,9 @@ def mix(docs: DataFrame, depth: int = TREE_DEPTH, per_shard: int = BLOCKS_PER_SH
     """
     sizes = written(docs.select("doc_id", "source", n_words(whole()).alias("size")), "mix-sizes")
     targets = written(source_targets(sizes), "mix-targets")
-    sources = targets.join(block_shards(targets, depth, per_shard), "_no", "left").withColumnsRenamed({"source": "_source"})
-    sources = written(sources, "mix-sources")
-    rows = sizes.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
+    shards = written(block_shards(targets, depth, per_shard), "mix-shards")
+    named = targets.join(shards.drop("_shards"), "_no", "left").withColumnsRenamed({"source": "_source"})
+    rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
         "_key", _key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     )
     ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
@@ -113,26 +118,52 @@ def mix(docs: DataFrame, depth: int = TREE_DEPTH, per_shard: int = BLOCKS_PER_SH
     per_range = per_range.select("_no", "_range", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_no", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(per_range, ["_no", "_range"])
-    placed = placed.withColumn("_at", F.col("_base") + F.col("_inner"))
+    placed = filled(placed.withColumn("_at", F.col("_base") + F.col("_inner")))
     start = lambda p: F.col("source_size") * p + F.col("_at")
-    taken = F.filter(
-        F.sequence(F.lit(0), F.lit(REPEATS - 1)),
-        lambda p: (F.col("size") > 0) & (2 * start(p) + F.col("size") <= 2 * F.col("target")),
-    )
     block = lambda p: F.least(F.floor(start(p) * F.col("_quota") / F.col("target")).cast("int"), F.col("_quota") - 1)
-    placed = placed.withColumn("_passes", taken)
+    placed = placed.join(shards.select("_no", "_shards"), "_no", "left")
+    passes = F.filter(F.sequence(F.lit(0), F.lit(REPEATS - 1)), lambda p: p < F.col("_copies"))
     return placed.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("size") * F.size("_passes")).cast("long").alias("taken"),
+        (F.col("size") * F.col("_copies")).cast("long").alias("taken"),
         F.transform(
-            "_passes", lambda p: F.struct(p.alias("pass"), block(p).alias("block"), F.get("_shards", block(p)).alias("shard"))
+            passes, lambda p: F.struct(p.alias("pass"), block(p).alias("block"), F.get("_shards", block(p)).alias("shard"))
         ).alias("copies"),
     )
 
 
+def filled(placed: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
+    """Rows of the line (_no, _range, _key, _at, size, source_size, target) with ``_copies``, how often each is taken.
+
+    The copy that crosses the target tells its hash range the gap; in all other ranges the gap is 0 and nothing changes.
+    All sums run inside a hash range, on the partitioning the rows have.
+    """
+    part = Window.partitionBy("_no", "_range")
+    falling = part.orderBy(F.desc("size"), "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = lambda p: F.col("source_size") * p + F.col("_at")
+    whole_copies = sum(((start(p) + F.col("size")) <= F.col("target")).cast("int") for p in range(REPEATS))
+    rows = placed.withColumn("_copies", F.when(F.col("size") > 0, whole_copies).otherwise(0))
+    rows = rows.withColumn("_open", (F.col("size") > 0) & (F.col("_copies") < REPEATS))
+    crossing = F.when(F.col("_open") & (start(F.col("_copies")) < F.col("target")), F.col("target") - start(F.col("_copies")))
+    rows = rows.withColumn("_gap", F.coalesce(F.max(crossing).over(part), F.lit(0.0)))
+    for _ in range(rounds):
+        rows = rows.withColumn("_fits", F.col("_open") & (F.col("size") <= F.col("_gap")))
+        upto = F.sum(F.when(F.col("_fits"), F.col("size"))).over(falling)
+        rows = rows.withColumn("_takes", F.col("_fits") & (upto <= F.col("_gap")))
+        rows = rows.withColumns({
+            "_gap": F.col("_gap") - F.coalesce(F.sum(F.when(F.col("_takes"), F.col("size"))).over(part), F.lit(0)),
+            "_open": F.col("_open") & ~F.col("_takes"),
+            "_copies": F.col("_copies") + F.col("_takes").cast("int"),
+        })
+    is_open = F.when(F.col("_open"), 1)
+    smallest = F.col("_open") & (F.count(is_open).over(falling) == F.count(is_open).over(part))
+    nearer = smallest & (F.col("size") <= 2 * F.col("_gap"))
+    return rows.withColumn("_copies", F.col("_copies") + nearer.cast("int")).drop("_open", "_gap", "_fits", "_takes")
+
+
 def mixed(docs: DataFrame, depth: int = TREE_DEPTH, per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
     """The rows of the mix: every taken copy with all columns of ``docs``, by shard and in shuffled order inside it.
 

@@ -55,6 +55,15 @@ def _op5_sql() -> str:
             f"md5(concat_ws('|', '{seed}', 'split{level}', no, a)), no, a) > (count(*) OVER (PARTITION BY node) + 1) // 2 "
             f"THEN 1 ELSE 0 END AS node FROM t{level})"
         )
+    line = " + ".join(f"(ss * {p} + a + size <= target)::INT" for p in range(mixing.REPEATS))
+    fills = []
+    for i in range(mixing.FILL_ROUNDS):
+        fills += [
+            f"h{i} AS (SELECT *, open AND size <= gap AND sum(CASE WHEN open AND size <= gap THEN size END) OVER (PARTITION BY no, rng "
+            f"ORDER BY size DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= gap AS takes FROM f{i})",
+            f"f{i + 1} AS (SELECT * EXCLUDE (takes) REPLACE (open AND NOT takes AS open, n + takes::INT AS n, gap - coalesce("
+            f"sum(CASE WHEN takes THEN size END) OVER (PARTITION BY no, rng), 0) AS gap) FROM h{i})",
+        ]
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD_SQL}))::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
@@ -71,12 +80,21 @@ q AS (SELECT no, greatest(1, round(target * {blocks} / total))::INT AS quota FRO
 drawn AS (SELECT no, node AS shard, row_number() OVER (PARTITION BY no ORDER BY node, a) AS r FROM t{depth}),
 perm AS (SELECT no, quota, a, row_number() OVER (PARTITION BY no ORDER BY md5(concat_ws('|', '{seed}', 'block', no, a)), a) AS r FROM t0),
 placed AS (SELECT perm.no, quota, a, shard FROM perm JOIN drawn USING (no, r)),
-r AS (SELECT doc_id, size, no, ss, target, coalesce(sum(size) OVER (PARTITION BY no
-        ORDER BY md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''))), size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+r0 AS (SELECT doc_id, size, no, ss, target, md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''))) AS key,
+        (count(*) OVER (PARTITION BY no) + {mixing.RANGE_ROWS - 1}) // {mixing.RANGE_ROWS} AS ranges
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, unnest(range({mixing.REPEATS})) AS pass FROM r),
-s AS (SELECT k.*, ss * pass + k.a AS start FROM k WHERE size > 0 AND 2 * (ss * pass + k.a) + size <= 2 * target),
+r AS (SELECT *, (('0x' || key[1:8])::BIGINT * ranges) // 4294967296 AS rng, coalesce(sum(size) OVER (PARTITION BY no
+        ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM r0),
+l AS (SELECT *, CASE WHEN size > 0 THEN {line} ELSE 0 END AS n FROM r),
+f0 AS (SELECT *, size > 0 AND n < {mixing.REPEATS} AS open, coalesce(max(CASE WHEN size > 0 AND n < {mixing.REPEATS}
+        AND ss * n + a < target THEN target - (ss * n + a) END) OVER (PARTITION BY no, rng), 0) AS gap FROM l),
+{", ".join(fills)},
+n AS (SELECT * REPLACE (n + (open AND size <= 2 * gap AND count(*) FILTER (open) OVER falling
+        = count(*) FILTER (open) OVER (PARTITION BY no, rng))::INT AS n)
+      FROM f{mixing.FILL_ROUNDS} WINDOW falling AS (PARTITION BY no, rng ORDER BY size DESC, key
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, unnest(range({mixing.REPEATS})) AS pass FROM n),
+s AS (SELECT k.*, ss * pass + k.a AS start FROM k WHERE pass < n),
 b AS (SELECT doc_id, s.no, pass, size, shard FROM s JOIN placed ON s.no = placed.no
         AND placed.a = least(floor(start * quota / target)::INT, quota - 1)),
 t AS (SELECT doc_id, sum(size)::BIGINT AS taken, string_agg(shard::VARCHAR, ',' ORDER BY pass) AS shards FROM b GROUP BY doc_id)
