@@ -33,6 +33,11 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from telemill.functions.timegrid import micros, prune_days
 
 TARGET_BYTES = 128 << 20
+#: Rows a task of compaction sorts, about.  Files are compressed, sorted signals down to a few bytes a row, so the
+#: size of the files alone does not tell how much room their rows take.
+TARGET_ROWS = 1_000_000
+#: Cells a day of a batch is dealt to before it is sorted.
+CELLS = 16
 KEPT_VERSIONS = 10
 #: Folders a commit's list of keys is dealt to; part of the folders' names, so it may change between commits.
 KEY_FOLDERS = 64
@@ -152,6 +157,15 @@ class DayTable:
     def _commit(self, change: Callable[[dict], dict | None]) -> bool:
         return self.ledger.change(lambda latest: change({"days": {}, **latest}))
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """A batch dealt by day and a hash of the sort columns, so that no task sorts a whole piece of the input.
+
+        The hint lets AQE merge small shares and split large ones; without AQE the rows stay where they are.
+        """
+        cell = F.pmod(F.xxhash64(*(self.sort or [self.time_column])), F.lit(CELLS))
+        placed = rows.select(*self.schema.names, F.to_date(self.time_column).alias("_date"), cell.alias("_cell"))
+        return placed.hint("rebalance", "_date", "_cell")
+
     def _write(self, rows: DataFrame, name: str) -> list[str]:
         """Write rows as one commit that no version names yet; the days it has rows of."""
         dated = rows.select(*self.schema.names).withColumn("_date", F.to_date(self.time_column)).withColumn("commit", F.lit(name))
@@ -179,7 +193,7 @@ class DayTable:
         if Ledger.knows(self.manifest(), source, batch_id):
             return False
         name = uuid.uuid4().hex
-        touched = self._write(rows, name)
+        touched = self._write(self._dealt(rows), name)
 
         def change(manifest: dict) -> dict | None:
             if Ledger.knows(manifest, source, batch_id):
@@ -240,21 +254,25 @@ class DayTable:
         """The rows of one key, whatever their day, with ``_date``; none if no row has it."""
         return self._of(self.holding(key)).filter(F.col(self.key) == key)
 
-    def compact(self, merge: Merge | None = None, least_commits: int = 2, target_bytes: int = TARGET_BYTES) -> list[str]:
-        """Rewrite the days with at least so many commits, each to files of about ``target_bytes``; the days rewritten.
+    def compact(
+        self, merge: Merge | None = None, least_commits: int = 2, target_bytes: int = TARGET_BYTES, target_rows: int = TARGET_ROWS
+    ) -> list[str]:
+        """Rewrite the days with at least so many commits; the days rewritten.
 
-        ``merge`` folds the rows of a day, as for tables of mergeable states.  Batches that are appended meanwhile stay.
+        A file gets about ``target_bytes`` or ``target_rows``, whichever comes first.  ``merge`` folds the rows of a day,
+        as for tables of mergeable states.  Batches that are appended meanwhile stay.
         """
         old = {day: names for day, names in self.manifest()["days"].items() if len(names) >= least_commits}
         if not old:
             return []
         size = sum(self.files.size(f"{self.path}/data/_date={day}/commit={name}") for day, names in old.items() for name in names)
         rows = self._of(old)
+        ranges = max(1, -(-size // target_bytes), -(-rows.count() // target_rows))
         rows = merge(rows.drop("_date")) if merge else rows
         dated = rows.select(*self.schema.names).withColumn("_date", F.to_date(self.time_column))
         name = uuid.uuid4().hex
         # the sort columns cut a large day into several ranges; the days themselves are sorted apart
-        dealt = dated.repartitionByRange(max(1, -(-size // target_bytes)), "_date", *self.sort)
+        dealt = dated.repartitionByRange(ranges, "_date", *self.sort)
         touched = set(self._write(dealt, name))
 
         def change(manifest: dict) -> dict:

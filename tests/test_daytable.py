@@ -273,3 +273,18 @@ def test_manifest_is_plain_json(spark, table):
     with open(f"{folder}/{name}") as file:
         document = json.load(file)
     assert document["version"] == 1 and document["batches"] == {"s": 4} and list(document["days"]) == ["2024-01-01"]
+
+
+def test_no_task_sorts_a_whole_batch_or_table(spark, tmp_path):
+    """Rows that compress well are many in few bytes: neither the input's pieces nor the size of files bound a task."""
+    table = DayTable(spark, str(tmp_path / "wide"), LOG_SCHEMA, "timestamp", ["service_name", "timestamp"])
+    own = logs(spark, *[log("same", seconds=i) for i in range(400)]).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.append(own, "s", 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(table.read().inputFiles()) > 1  # one task held the rows, several sorted them
+    table.append(own, "s", 1)
+    assert table.compact(target_rows=100) == ["2024-01-01"]
+    assert len(table.read().inputFiles()) > 4 and table.read().count() == 800
