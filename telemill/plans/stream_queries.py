@@ -74,11 +74,16 @@ STREAM_MULTI_WINDOW = metric_queries.window_sql(where="name <> 'item_price'")
 
 
 def stream_window_cascade(spark, sf_dir):
-    """Minutes from the raw stream into a table; hours and days from a stream over that table, a file at a time."""
+    """Minutes from the raw stream into a table; hours and days from a stream over that table, a file at a time.
+
+    The stream leaves a file per state partition and batch; reading packs many of them into a task, and a file per task
+    is what the second stream goes through.
+    """
     points = views.event_metrics_of(event_stream(spark, sf_dir))
     base = shared_dir(spark, "minutes")
     minutes = drain_closed(points, lambda p: windows.stream_multi_window(p, DELAY, {"1m": 60}), "minutes", "timestamp", base)
-    again = spark.readStream.schema(minutes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/rows")
+    minutes.write.parquet(f"{base}/packed")
+    again = spark.readStream.schema(minutes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/packed")
     write = windows.coarser_window_writer(f"{base}/states", {"5m": 300, "1h": 3600, "1d": 86400})
     query = again.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/coarser").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -5,10 +5,12 @@ import os
 
 import pytest
 from conftest import at, log, point, points, rows, span, spans
+from pyspark.sql import functions as F
 from test_alerts import evaluations, random_runs
 
 from telemill.operators import alerts, metrics as metric_ops, spans as span_ops
 from telemill.operators.processors import normalize_services
+from telemill.plans import stream_queries
 from telemill.plans.ingest import ingest_stream
 from telemill.schemas import METRIC_SCHEMA, SPAN_SCHEMA
 from telemill.sources import topics
@@ -212,3 +214,23 @@ def test_cascade_loses_no_minute(spark, tmp_path, files):
     # The last point is at 2587 s, so minutes up to 2520 s are closed.
     closed = points(spark, *[p for p in data if p["timestamp"] < at(2520)])
     assert got == window_rows(metric_ops.multi_window_aggregate(closed, {"5m": 300})) and len(got) == 18
+
+
+def test_the_cascade_goes_through_few_files(spark, tmp_path):
+    """The second stream takes a batch per file, so state partitions must not set the number of batches."""
+    ids = spark.range(1200)
+    events = ids.select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"),
+    )
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        windows_of = rows(stream_queries.stream_window_cascade(spark, str(tmp_path)), "window_size", "count")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {s: sum(n for size, n in windows_of if size == s) for s in ("1m", "5m", "1h", "1d")} == dict.fromkeys(("1m", "5m", "1h", "1d"), 2400)
+    (made,) = [f for f in set(os.listdir(shared)) - before if f.startswith("minutes-")]
+    assert len(os.listdir(f"{shared}/{made}/states")) < 20
