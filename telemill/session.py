@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # shares are merged up to this size as compressed; the same rows can take fifty times as much where they are sorted
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     "spark.sql.parquet.filterPushdown": "true",
     # up to so many folders are listed by the driver itself, without a job for it
     "spark.sql.sources.parallelPartitionDiscovery.threshold": "512",

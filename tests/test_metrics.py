@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from telemill.operators import metrics as ops
 from telemill.operators.metrics import Selector
 from telemill.schemas import HISTOGRAM_SCHEMA
+from telemill.session import prepare_session
 
 
 def vector(df, *labels):
@@ -240,3 +241,15 @@ def test_matrix_of_a_long_range_has_no_step_limit(spark):
     df = points(spark, *[point("m", i, 3600 * i) for i in range(40)])
     assert rows(ops.query_matrix(df, at(0), at(30 * 86400), 60).selectExpr("size(values) AS n"), "n") == [(40,)]
     assert ops.stepped_samples(df, at(0), at(30 * 86400), 60).count() == 40
+
+
+def test_a_sorted_matrix_is_cut_into_small_ranges(spark):
+    """Samples alike take few bytes in a shuffle; merging up to Spark's own size would sort millions in one task."""
+    assert prepare_session(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4m"
+    every = points(spark, point("m", 1.0, a="x")).crossJoin(spark.range(0, 1_500_000, 1, 8)).drop("id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        shuffled = ops.matrix_samples(every.withColumn("value", F.rand(3)))
+        assert shuffled.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
