@@ -5,8 +5,9 @@ library's BPE model works on characters; its merges are all splits of a token in
 and a piece that is a token itself stays whole.  The pattern cuts a text into pieces before.
 
 Texts are cut at places that no piece of the pattern goes over (``unit_starts``), so each unit encodes alike wherever
-it stands.  The distinct units of a slice come from Arrow's dictionary encoding; the library encodes those that a worker
-has not seen lately (it keeps about ``CACHED_UNITS``), and the ids of all units are gathered by index.
+it stands.  Arrow's dictionary encoding numbers the units that a worker keeps (about ``CACHED_UNITS``, and ``CACHED_BYTES``
+of text) and then those of a slice; the library encodes the new ones, and the ids of all units are gathered by index.
+When there are too many, the most frequent half stays.
 
 Decoding joins the tokens' bytes.  A character whose bytes lie in several tokens belongs, by its offsets, to each of
 them; its bytes meet again when the whole text is joined.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHED_UNITS = 250_000
+CACHED_BYTES = 16 << 20
 #: Texts encoded together; bounds what a worker holds beside its batch.
 SLICE_BYTES = 4 << 20
 
@@ -109,7 +111,7 @@ def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit, each distinct unit of a batch once; ids are unsigned 32-bit integers.
+    """Encodes texts unit by unit, each distinct unit of a slice once at most; ids are unsigned 32-bit integers.
 
     With ``words_whole`` the tokenizer's pattern takes letters, with or without a space before them, as one piece; such
     units go to its merges directly.  The text of a token added to the tokenizer is ordinary text, or with ``added_tokens`` that token, as by the library's
@@ -121,7 +123,9 @@ class UnitEncoder:
         self.words_whole = words_whole
         self.characters = dict(enumerate(byte_characters())) | {0x0A: "\n"}  # no word holds a line end
         self.lengths = byte_lengths
-        self.known: dict[bytes, bytes] = {}
+        # The units kept, how often they came, how many ids each has, and these ids in a row.
+        self.known = pa.array([], pa.binary())
+        self.uses, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.added: re.Pattern[bytes] | None = None
         if not added_tokens:
             self.tokenizer.encode_special_tokens = True
@@ -148,38 +152,46 @@ class UnitEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[bytes]) -> None:
-        """Encode new units: words after a space as one text, other words as lines of one text, the rest singly."""
+    def _learn(self, units: list[bytes]) -> list[bytes]:
+        """The ids of new units: words after a space go as one text, other words as lines of one text, the rest singly."""
+        found: dict[bytes, bytes] = {}
         spaced, plain, rest = [], [], []
         for raw in units:
             text = raw.decode()
-            if self.added and self.added.search(raw):
-                rest.append((raw, text))
-                continue
             kind = spaced if text[0] == " " and text[1:].isalpha() else plain if text.isalpha() else rest
-            kind.append((raw, text))
-        self.known.update(zip((r for r, _ in rest), (i.tobytes() for i in self._whole([t for _, t in rest]))))
-        if self.words_whole and (own := [r for r, _ in spaced + plain]):
+            (rest if self.added and self.added.search(raw) else kind).append(raw)
+        found.update(zip(rest, (i.tobytes() for i in self._whole([r.decode() for r in rest]))))
+        if self.words_whole and (own := spaced + plain):
             merged = self.tokenizer.model.tokenize
             words = b"\n".join(own).decode("latin-1").translate(self.characters).split("\n")
-            self.known.update(zip(own, (array("I", [t.id for t in merged(w)]).tobytes() for w in words)))
-            return
-        for own, joint in ((spaced, ""), (plain, "\n")):
+            found.update(zip(own, (array("I", [t.id for t in merged(w)]).tobytes() for w in words)))
+            return list(map(found.__getitem__, units))
+        for own, joint in ((spaced, b""), (plain, b"\n")):
             if not own:
                 continue
-            ids = self._whole([joint.join(t for _, t in own)])[0]
-            sizes = np.fromiter((len(r) for r, _ in own), np.int64, len(own)) + len(joint)
+            ids = self._whole([joint.join(own).decode()])[0]
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) + len(joint)
             # Tokens until each unit's last byte; a line end is a token of its own.
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes) - len(joint)) + 1
             begins = np.concatenate([[0], cuts[:-1] + len(joint)])
             out = ids.tobytes()
-            self.known.update((r, out[4 * b : 4 * e]) for (r, _), b, e in zip(own, begins.tolist(), cuts.tolist()))
+            found.update((r, out[4 * b : 4 * e]) for r, b, e in zip(own, begins.tolist(), cuts.tolist()))
+        return list(map(found.__getitem__, units))
+
+    def _forget(self) -> None:
+        """Keep the most frequent units, up to half of both limits; their uses so far count half from now on."""
+        order = np.argsort(-self.uses, kind="stable")[: CACHED_UNITS // 2]
+        held = np.cumsum(np.asarray(pc.binary_length(self.known)).astype(np.int64)[order])
+        keep = np.sort(order[held <= CACHED_BYTES // 2])
+        ids = np.zeros(len(self.counts), bool)
+        ids[keep] = True
+        self.flat = self.flat[np.repeat(ids, self.counts)]
+        self.known, self.uses, self.counts = self.known.take(pa.array(keep)), self.uses[keep] // 2, self.counts[keep]
 
     def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the place at which each text (as UTF-8) ends."""
-        known = self.known
-        if len(known) > CACHED_UNITS:
-            known.clear()
+        if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
+            self._forget()
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or offsets[-1] == offsets[0]:
@@ -189,14 +201,16 @@ class UnitEncoder:
         starts = self._around_added(raw, offsets, unit_starts(raw, offsets))
         bounds = np.append(starts, len(raw)).astype(np.int32)
         units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
-        coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if new := [u for u in distinct if u not in known]:
-            self._learn(new)
-        entries = list(map(known.__getitem__, distinct))
+        coded = pa.chunked_array([self.known, units]).dictionary_encode().chunks[-1]
+        if new := coded.dictionary[len(self.known) :].to_pylist():
+            entries = self._learn(new)
+            self.counts = np.append(self.counts, np.fromiter(map(len, entries), np.int64, len(entries)) // 4)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(entries), "<u4"))
+            self.known = coded.dictionary
         at = np.asarray(coded.indices)
-        counts = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        flat = np.frombuffer(b"".join(entries), "<u4")
+        uses = np.bincount(at, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses, counts, flat = uses, self.counts, self.flat
         places = np.cumsum(counts) - counts
         n = counts[at]
         stops = np.cumsum(n)

@@ -35,7 +35,8 @@ def _pack(plane: np.ndarray) -> tuple[bytes, list[int], list[int]]:
     packed = np.packbits(plane).tobytes()
     step = BLOCK_BITS // 8
     blocks = [squeeze.compress(packed[i : i + step]) for i in range(0, len(packed), step)]
-    per = np.add.reduceat(plane, np.arange(0, len(plane), BLOCK_BITS), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
+    ones = np.bitwise_count(np.frombuffer(packed, np.uint8))
+    per = np.add.reduceat(ones, np.arange(0, len(ones), step), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
     return b"".join(blocks), [len(b) for b in blocks], (np.cumsum(per) - per).tolist()
 
 
@@ -45,13 +46,13 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     current = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, directory = [], []
     for bit in range(bits - 1, -1, -1):
-        ones = (current >> bit).astype(np.uint8) & 1
+        ones = current & current.dtype.type(1 << bit) != 0
         raw, sizes, ranks = _pack(ones)
         planes.append(raw)
-        mask = ones.view(bool)
-        zero = current[~mask]
+        # By places: a mask as index takes twice the time.
+        zero = current.take(np.flatnonzero(~ones))
         directory.append(np.array([len(zero), *sizes, *ranks], "<u4").tobytes())
-        current = np.concatenate([zero, current[mask]])
+        current = np.concatenate([zero, current.take(np.flatnonzero(ones))])
     nulls = np.packbits([d is None for d in doc_ids]).tobytes()
     names = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + nulls)
     head = struct.pack("<4sIQQQ", MAGIC, bits, len(ids), len(doc_ids), len(names))
@@ -138,12 +139,11 @@ class Shard:
         blocks = self.begins.shape[1]
         for plane in range(self.bits - 1, -1, -1):
             packed = b"".join(self.open.decompress(self.raw[self.begins[plane, k] : self.ends[plane, k]]) for k in range(blocks))
-            ones = np.unpackbits(np.frombuffer(packed, np.uint8))[: self.n]
-            mask = ones.view(bool)
+            ones = np.unpackbits(np.frombuffer(packed, np.uint8))[: self.n].view(bool)
             above = np.empty_like(current)
             zeros = int(self.zeros[plane])
-            above[~mask] = current[:zeros]
-            above[mask] = current[zeros:] | current.dtype.type(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~ones)] = current[:zeros]
+            above[np.flatnonzero(ones)] = current[zeros:] | current.dtype.type(1 << (self.bits - 1 - plane))
             current = above
         return current
 

@@ -92,6 +92,49 @@ def test_wavelet_matrix_answers_from_its_file():
         shard.locate(400, 0)
 
 
+def test_shard_file_holds_stable_planes():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 2), (1, 1), (7, 2), (70_001, 50_257), (40_000, 90_000)):
+        ids = rng.integers(0, top, n).astype("<u4")
+        shard = token_shards.Shard(token_shards.build(ids, [1], [n]))
+        current = ids.tolist()
+        for plane in range(shard.bits):
+            ones = [i >> (shard.bits - 1 - plane) & 1 for i in current]
+            blocks = [ones[b : b + token_shards.BLOCK_BITS] for b in range(0, n, token_shards.BLOCK_BITS)]
+            assert [shard.block(plane, k).tolist() for k in range(len(blocks))] == blocks
+            assert shard.ranks[plane].tolist() == [sum(map(sum, blocks[:k])) for k in range(len(blocks))]
+            current = [i for i, one in zip(current, ones) if not one] + [i for i, one in zip(current, ones) if one]
+            assert shard.zeros[plane] == n - sum(ones)
+        assert (shard.ids() == ids).all() and len(shard.ids()) == n
+
+
+def test_units_in_use_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_UNITS", 40)
+    whole = Tokenizer.from_file(JSON)
+    own = token_shards.file_encoder.__wrapped__(JSON, True)
+    learned = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda units: learned.extend(units) or learn(units))
+    common = " ".join(f"often{chr(97 + i)}" for i in range(20))
+    for k in range(30):
+        rare = " ".join(f"seldom{chr(97 + k % 26)}{chr(97 + i)}{'z' * (k // 26)}" for i in range(15))
+        text = f"{common} {rare}"
+        assert encoded(own, [text]) == [whole.encode(text, add_special_tokens=False).ids]
+        assert len(own.known) < 100
+    assert sum(b"often" in u for u in learned) == 20
+    assert len(own.known) == len(own.counts) == len(own.uses) and len(own.flat) == own.counts.sum()
+
+
+def test_long_units_do_not_pile_up(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 20_000)
+    whole = Tokenizer.from_file(JSON)
+    own = token_shards.file_encoder.__wrapped__(JSON, True)
+    for k in range(12):
+        text = f"short {chr(97 + k) * 5_000} " + "日本" * 20 + str(k) * 900
+        assert encoded(own, [text, ""]) == [whole.encode(text, add_special_tokens=False).ids, []]
+        assert own.known.nbytes < 30_000 and len(own.flat) == own.counts.sum()
+
+
 def test_shards_hold_every_document_in_order(spark, documents, sample):
     rows = [(d, t) for d, t, _ in sample] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(20_000, None), (20_001, "x " * 60_000)]
     out = shared_dir(spark, "shards")
