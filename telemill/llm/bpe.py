@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 CACHED_UNITS = 250_000
 CACHED_BYTES = 16 << 20
 #: Texts encoded together; bounds what a worker holds beside its batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: New units that the library encodes together: its results take far more room than ids.
+LEARNT_UNITS = 8192
 
 
 def byte_characters() -> list[str]:
@@ -202,8 +204,9 @@ class UnitEncoder:
         bounds = np.append(starts, len(raw)).astype(np.int32)
         units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         coded = pa.chunked_array([self.known, units]).dictionary_encode().chunks[-1]
-        if new := coded.dictionary[len(self.known) :].to_pylist():
-            entries = self._learn(new)
+        if len(new := coded.dictionary[len(self.known) :]):
+            parts = (new.slice(at, LEARNT_UNITS).to_pylist() for at in range(0, len(new), LEARNT_UNITS))
+            entries = [ids for part in parts for ids in self._learn(part)]
             self.counts = np.append(self.counts, np.fromiter(map(len, entries), np.int64, len(entries)) // 4)
             self.flat = np.append(self.flat, np.frombuffer(b"".join(entries), "<u4"))
             self.known = coded.dictionary

@@ -135,6 +135,18 @@ def test_long_units_do_not_pile_up(monkeypatch):
         assert own.known.nbytes < 30_000 and len(own.flat) == own.counts.sum()
 
 
+def test_the_library_holds_few_new_units_at_once(monkeypatch):
+    whole = Tokenizer.from_file(JSON)
+    own = token_shards.file_encoder.__wrapped__(JSON)
+    asked, encode = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda texts: asked.append((len(texts), sum(map(len, texts)))) or encode(texts))
+    text = " ".join(f"{k} word{''.join(chr(97 + int(c)) for c in str(k))}" for k in range(30_000))
+    assert encoded(own, [text, ""]) == [whole.encode(text, add_special_tokens=False).ids, []]
+    assert max(n for n, _ in asked) <= 8192 and max(size for _, size in asked) < 150_000
+    rows = pa.array([b"a" * 300_000] * 20, pa.large_binary())
+    assert max(end - begin for begin, end in bpe.slices(rows)) <= 3
+
+
 def test_shards_hold_every_document_in_order(spark, documents, sample):
     rows = [(d, t) for d, t, _ in sample] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(20_000, None), (20_001, "x " * 60_000)]
     out = shared_dir(spark, "shards")
