@@ -6,8 +6,9 @@ and a piece that is a token itself stays whole.  The pattern cuts a text into pi
 
 Texts are cut at places that no piece of the pattern goes over (``unit_starts``), so each unit encodes alike wherever
 it stands.  Arrow's dictionary encoding numbers the units that a worker keeps (about ``CACHED_UNITS``, and ``CACHED_BYTES``
-of text) and then those of a slice; the library encodes the new ones, and the ids of all units are gathered by index.
-When there are too many, the most frequent half stays.
+of text) and then those of a few slices, so that the units kept are hashed once for all of these; the library encodes the
+new ones, and the ids of all units are gathered by index, slice by slice.  When there are too many, the most frequent
+half stays.
 
 Decoding joins the tokens' bytes.  A character whose bytes lie in several tokens belongs, by its offsets, to each of
 them; its bytes meet again when the whole text is joined.
@@ -19,8 +20,9 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ CACHED_UNITS = 250_000
 CACHED_BYTES = 16 << 20
 #: Texts encoded together; bounds what a worker holds beside its batch.
 SLICE_BYTES = 1 << 20
+#: Slices whose units are numbered together; until their ids are gathered, a unit takes 8 bytes.
+SLICES_TOGETHER = 4
 #: New units that the library encodes together: its results take far more room than ids.
 LEARNT_UNITS = 8192
 
@@ -112,6 +116,26 @@ def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(edge[:n])
 
 
+def sure_words(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which parts of UTF-8 bytes, one byte between two of them, are ASCII or Latin letters, with or without a space before."""
+    letter = (_KIND[raw] & 1) > 0
+    latin = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    letter[1:] |= latin
+    letter[:-1] |= latin
+    spaced = raw[begins] == 0x20
+    letter[begins[spaced]] = True
+    letter[(begins + sizes)[:-1]] = True
+    sure = ~spaced | (sizes > 1)
+    sure[np.searchsorted(begins, np.flatnonzero(~letter), "right") - 1] = False
+    return sure
+
+
+def runs(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` values from each of the places ``begins`` on, in a row."""
+    stops = np.cumsum(counts)
+    return values[np.repeat(begins - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)]
+
+
 class UnitEncoder:
     """Encodes texts unit by unit, each distinct unit of a slice once at most; ids are unsigned 32-bit integers.
 
@@ -123,8 +147,9 @@ class UnitEncoder:
     def __init__(self, tokenizer, byte_lengths: np.ndarray, added_tokens: bool = False, words_whole: bool = False):
         self.tokenizer = tokenizer
         self.words_whole = words_whole
-        self.characters = dict(enumerate(byte_characters())) | {0x0A: "\n"}  # no word holds a line end
         self.lengths = byte_lengths
+        self.characters = np.array([*map(ord, byte_characters())], "<u4")
+        self.characters[0x0A] = 0x0A  # no word holds a line end
         # The units kept, how often they came, how many ids each has, and these ids in a row.
         self.known = pa.array([], pa.binary())
         self.uses, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -154,31 +179,58 @@ class UnitEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[bytes]) -> list[bytes]:
-        """The ids of new units: words after a space go as one text, other words as lines of one text, the rest singly."""
-        found: dict[bytes, bytes] = {}
-        spaced, plain, rest = [], [], []
-        for raw in units:
-            text = raw.decode()
-            kind = spaced if text[0] == " " and text[1:].isalpha() else plain if text.isalpha() else rest
-            (rest if self.added and self.added.search(raw) else kind).append(raw)
-        found.update(zip(rest, (i.tobytes() for i in self._whole([r.decode() for r in rest]))))
-        if self.words_whole and (own := spaced + plain):
-            merged = self.tokenizer.model.tokenize
-            words = b"\n".join(own).decode("latin-1").translate(self.characters).split("\n")
-            found.update(zip(own, (array("I", [t.id for t in merged(w)]).tobytes() for w in words)))
-            return list(map(found.__getitem__, units))
-        for own, joint in ((spaced, b""), (plain, b"\n")):
-            if not own:
-                continue
-            ids = self._whole([joint.join(own).decode()])[0]
-            sizes = np.fromiter(map(len, own), np.int64, len(own)) + len(joint)
-            # Tokens until each unit's last byte; a line end is a token of its own.
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes) - len(joint)) + 1
-            begins = np.concatenate([[0], cuts[:-1] + len(joint)])
-            out = ids.tobytes()
-            found.update((r, out[4 * b : 4 * e]) for r, b, e in zip(own, begins.tolist(), cuts.tolist()))
-        return list(map(found.__getitem__, units))
+    def _joint(self, units: list[bytes], between: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of units that go as one text, where each unit's begin, and how many they are."""
+        ids = self._whole([between.join(units).decode()])[0]
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) + len(between)
+        # Tokens until each unit's last byte; a line end is a token of its own.
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes) - len(between)) + 1
+        begins = np.concatenate([[0], cuts[:-1] + len(between)])
+        return ids, begins, cuts - begins
+
+    def _singly(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of units that go one by one."""
+        own = self._whole([raw.decode() for raw in units])
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        return np.concatenate(own), np.cumsum(counts) - counts, counts
+
+    def _words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words, by the model alone, without the pattern."""
+        shown = self.characters[np.frombuffer(b"\n".join(units), np.uint8)].tobytes().decode("utf-32-le")
+        merged, ids, stops = self.tokenizer.model.tokenize, array("I"), array("q", [0])
+        for word in shown.split("\n"):  # one at a time: many of the library's tokens held together cost more
+            ids.extend([token.id for token in merged(word)])
+            stops.append(len(ids))
+        places = np.frombuffer(stops, np.int64)
+        return np.frombuffer(ids, np.uint32), places[:-1], np.diff(places)
+
+    def _learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each new unit has, and these in a row.
+
+        Words after a space go as one text, other words as lines of one text, the rest singly.
+        """
+        joint = b"\n".join(units)
+        raw, sizes = np.frombuffer(joint, np.uint8), np.fromiter(map(len, units), np.int64, len(units))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        words = sure_words(raw, begins, sizes)
+        spaced = words & (raw[begins] == 0x20)
+        odd = ~words if not self.added or not self.added.search(joint) else np.ones(len(units), bool)
+        for at in np.flatnonzero(odd).tolist():
+            text = units[at].decode()
+            words[at] = text[text[0] == " " :].isalpha() and not (self.added and self.added.search(units[at]))
+            spaced[at] = words[at] and text[0] == " "
+        found, total, begins, counts = [], 0, np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        kinds = [(words, self._words)] if self.words_whole else [
+            (spaced, lambda own: self._joint(own, b"")), (words & ~spaced, lambda own: self._joint(own, b"\n"))
+        ]
+        for kind, encode in (*kinds, (~words, self._singly)):
+            places = np.flatnonzero(kind)
+            if len(places):
+                ids, at, counts[places] = encode([units[k] for k in places.tolist()])
+                begins[places] = at + total
+                found.append(ids)
+                total += len(ids)
+        return counts, runs(np.concatenate(found), begins, counts)
 
     def _forget(self) -> None:
         """Keep the most frequent units, up to half of both limits; their uses so far count half from now on."""
@@ -190,36 +242,48 @@ class UnitEncoder:
         self.flat = self.flat[np.repeat(ids, self.counts)]
         self.known, self.uses, self.counts = self.known.take(pa.array(keep)), self.uses[keep] // 2, self.counts[keep]
 
-    def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the place at which each text (as UTF-8) ends."""
-        if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
-            self._forget()
+    def _units(self, texts: pa.LargeBinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The units of all texts, and how many there are until each text's end."""
         _, offsets, data = texts.buffers()
+        if not len(texts) or not data:
+            return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts) or offsets[-1] == offsets[0]:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
+        if not len(raw):
+            return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
         starts = self._around_added(raw, offsets, unit_starts(raw, offsets))
         bounds = np.append(starts, len(raw)).astype(np.int32)
         units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
-        coded = pa.chunked_array([self.known, units]).dictionary_encode().chunks[-1]
-        if len(new := coded.dictionary[len(self.known) :]):
-            parts = (new.slice(at, LEARNT_UNITS).to_pylist() for at in range(0, len(new), LEARNT_UNITS))
-            entries = [ids for part in parts for ids in self._learn(part)]
-            self.counts = np.append(self.counts, np.fromiter(map(len, entries), np.int64, len(entries)) // 4)
-            self.flat = np.append(self.flat, np.frombuffer(b"".join(entries), "<u4"))
-            self.known = coded.dictionary
-        at = np.asarray(coded.indices)
-        uses = np.bincount(at, minlength=len(self.known))
+        return units, np.searchsorted(starts, offsets[1:])
+
+    def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the place at which each text (as UTF-8) ends."""
+        return next(self.encode_slices([texts]))
+
+    def encode_slices(self, slices: Sequence[pa.LargeBinaryArray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of a few slices, which are cut into units and numbered together."""
+        if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
+            self._forget()
+        parts = [self._units(texts) for texts in slices]
+        coded = pa.chunked_array([self.known, *(units for units, _ in parts)]).dictionary_encode()
+        indices = np.concatenate([c.indices for c in coded.chunks])[len(self.known) :]
+        known = coded.chunks[-1].dictionary
+        if len(new := known[len(self.known) :]):
+            learnt = [self._learn(new.slice(at, LEARNT_UNITS).to_pylist()) for at in range(0, len(new), LEARNT_UNITS)]
+            self.counts = np.concatenate([self.counts, *(counts for counts, _ in learnt)])
+            self.flat = np.concatenate([self.flat, *(ids for _, ids in learnt)])
+            self.known = known
+        uses = np.bincount(indices, minlength=len(self.known))
         uses[: len(self.uses)] += self.uses
         self.uses, counts, flat = uses, self.counts, self.flat
         places = np.cumsum(counts) - counts
-        n = counts[at]
-        stops = np.cumsum(n)
-        ids = flat[np.repeat(places[at] - (stops - n), n) + np.arange(stops[-1])]
-        ends = np.searchsorted(starts, offsets[1:])  # units before each text's end
-        return ids, np.concatenate([[0], stops])[ends]
+        begin = 0
+        for units, ends in parts:
+            at = indices[begin : begin + len(units)]
+            begin += len(units)
+            n = counts[at]
+            yield runs(flat, places[at], n), np.concatenate([[0], np.cumsum(n)])[ends]
 
 
 @lru_cache(maxsize=2)
@@ -247,9 +311,10 @@ def slices(texts: pa.LargeBinaryArray) -> Iterator[tuple[int, int]]:
 def encoded_batches(batch: pa.RecordBatch, encoder: UnitEncoder) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the ids of each row's text; null counts as empty."""
     texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "").cast(pa.large_binary())
-    for begin, end in slices(texts):
-        ids, stops = encoder.encode(texts.slice(begin, end - begin))
-        yield batch.slice(begin, end - begin), np.split(ids, stops[:-1])
+    for ranges in batched(slices(texts), SLICES_TOGETHER):
+        encoded = encoder.encode_slices([texts.slice(begin, end - begin) for begin, end in ranges])
+        for (begin, end), (ids, stops) in zip(ranges, encoded):
+            yield batch.slice(begin, end - begin), np.split(ids, stops[:-1])
 
 
 def offsets(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,8 @@ from telemill.llm.bpe import UnitEncoder, byte_characters, encoded_batches
 
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 15
+#: Values of a plane that are moved together: their places stay in the processor's cache.
+MOVED = 1 << 16
 MAGIC = b"WVM1"
 
 
@@ -40,6 +42,19 @@ def _pack(plane: np.ndarray) -> tuple[bytes, list[int], list[int]]:
     return b"".join(blocks), [len(b) for b in blocks], (np.cumsum(per) - per).tolist()
 
 
+def _parted(values: np.ndarray, ones: np.ndarray, zeros: int) -> np.ndarray:
+    """The values at the plane's zeros, then those at its ones, by places: a mask as index takes twice the time."""
+    out = np.empty_like(values)
+    zero, one = 0, zeros
+    for at in range(0, len(values), MOVED):
+        own, mask = values[at : at + MOVED], ones[at : at + MOVED]
+        low, high = np.flatnonzero(~mask), np.flatnonzero(mask)
+        own.take(low, out=out[zero : zero + len(low)], mode="clip")  # other modes copy
+        own.take(high, out=out[one : one + len(high)], mode="clip")
+        zero, one = zero + len(low), one + len(high)
+    return out
+
+
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """The file of one shard."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
@@ -49,10 +64,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         ones = current & current.dtype.type(1 << bit) != 0
         raw, sizes, ranks = _pack(ones)
         planes.append(raw)
-        # By places: a mask as index takes twice the time.
-        zero = current.take(np.flatnonzero(~ones))
-        directory.append(np.array([len(zero), *sizes, *ranks], "<u4").tobytes())
-        current = np.concatenate([zero, current.take(np.flatnonzero(ones))])
+        zeros = len(ones) - int(np.count_nonzero(ones))
+        directory.append(np.array([zeros, *sizes, *ranks], "<u4").tobytes())
+        current = _parted(current, ones, zeros)
     nulls = np.packbits([d is None for d in doc_ids]).tobytes()
     names = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + nulls)
     head = struct.pack("<4sIQQQ", MAGIC, bits, len(ids), len(doc_ids), len(names))

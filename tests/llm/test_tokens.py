@@ -147,6 +147,29 @@ def test_the_library_holds_few_new_units_at_once(monkeypatch):
     assert max(end - begin for begin, end in bpe.slices(rows)) <= 3
 
 
+def test_slices_are_numbered_together(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 400)
+    whole = Tokenizer.from_file(JSON)
+    own = token_shards.file_encoder.__wrapped__(JSON, True)
+    rows = [(k, f"often {k} w{chr(97 + k % 26) * (k // 26 + 1)} " * 12 if k % 5 else None) for k in range(60)]
+    batch = pa.RecordBatch.from_pylist([dict(doc_id=k, text=t) for k, t in rows])
+    count = len(list(bpe.slices(pa.array([(t or "").encode() for _, t in rows], pa.large_binary()))))
+    calls, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda units: calls.append(len(units)) or learn(units))
+    got = [(k, ids.tolist()) for part, all_ids in bpe.encoded_batches(batch, own) for k, ids in zip(part.column("doc_id").to_pylist(), all_ids)]
+    assert got == [(k, whole.encode(t or "", add_special_tokens=False).ids) for k, t in rows]
+    assert count > 16 and len(calls) <= -(-count // bpe.SLICES_TOGETHER)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ é×÷ÿÀ日1'\n\xa0"), min_size=1, max_size=5), min_size=1, max_size=30))
+def test_sure_words_are_letters_after_a_space_at_most(texts):
+    units = [t.encode() for t in texts]
+    sizes = np.array(list(map(len, units)))
+    sure = bpe.sure_words(np.frombuffer(b"\n".join(units), np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes)
+    assert sure.tolist() == [(w := t[t[0] == " " :]).isalpha() and "日" not in w for t in texts]
+
+
 def test_shards_hold_every_document_in_order(spark, documents, sample):
     rows = [(d, t) for d, t, _ in sample] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(20_000, None), (20_001, "x " * 60_000)]
     out = shared_dir(spark, "shards")
